@@ -1,0 +1 @@
+"""Left empty on purpose: the work rebuilt here is batch only, without streams or state."""
