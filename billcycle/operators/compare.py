@@ -186,7 +186,7 @@ def revenue_bridge(
             "common_delta": F.round(F.col("b_common") - F.col("a_common"), 2),
         }
     )
-    sums = sums.withColumn("explained", F.round(-F.col("churned") + F.col("new") + F.col("common_delta"), 2))
+    sums = sums.withColumn("explained", F.round(F.col("new") - F.col("churned") + F.col("common_delta"), 2))
     residual = F.round(F.col("total_delta") - F.col("explained"), 2)
     nothing, zero = F.lit(None).cast("double"), F.lit(0.0)
 
@@ -205,7 +205,7 @@ def revenue_bridge(
                 line(f"{first} total realised revenue", F.col("a_total")),
                 line(f"{second} total realised revenue", F.col("b_total")),
                 line(f"Total delta ({second} - {first})", F.col("total_delta")),
-                line(f"Component 1: Churned ({left}-only)", -F.col("churned"), F.col("churned"), zero),
+                line(f"Component 1: Churned ({left}-only)", zero - F.col("churned"), F.col("churned"), zero),
                 line("Component 2: New activations", F.col("new"), zero, F.col("new")),
                 line(
                     "Component 3: Common entity delta",

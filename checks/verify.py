@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import decimal
-import math
 import sys
 import time
 
@@ -23,7 +22,7 @@ def _plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return "NaN" if math.isnan(value) else repr(round(value, 6) + 0.0)
+        return repr(value)
     return str(value)
 
 
