@@ -8,11 +8,13 @@ per task before anything is shuffled.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from billcycle.functions.dates import month_start
 from billcycle.functions.money import as_amount, money_sum
 from billcycle.schemas import PERIOD_TYPES
 
@@ -146,7 +148,27 @@ def entity_pair(
     ``in_<side>`` tells presence; ``<side>_realised_total`` is the exact sum behind the rounded
     ``<side>_realised``.
     """
-    sides = stack_sides(a, b, _MEASURES)
+    return _pair_of(stack_sides(a, b, _MEASURES), left, right, period_types)
+
+
+def entity_pair_of_months(
+    snapshots: DataFrame,
+    first: str | dt.date,
+    second: str | dt.date,
+    *,
+    left: str = "feb",
+    right: str = "mar",
+    period_types: Sequence[str] | None = PERIOD_TYPES,
+) -> DataFrame:
+    """:func:`entity_pair` of two months of one snapshot table, which is then read once."""
+    months = [F.lit(month_start(m)) for m in (first, second)]
+    sides = snapshots.where(F.col("snapshot_month").isin(months)).select(
+        *_MEASURES, (F.col("snapshot_month") == months[1]).alias("_in_b")
+    )
+    return _pair_of(sides, left, right, period_types)
+
+
+def _pair_of(sides: DataFrame, left: str, right: str, period_types: Sequence[str] | None) -> DataFrame:
     aggregates: list[Column] = []
     for prefix, side in ((left, ~F.col("_in_b")), (right, F.col("_in_b"))):
         found = _measures(side, period_types)

@@ -152,76 +152,66 @@ def filter_new_returning(
 # ---- sums of facts ----------------------------------------------------------------------------
 
 
-def _sums(
-    facts: DataFrame,
-    date_column: str,
-    states: Sequence[str],
-    months: Sequence[Month],
-    tables: KpiTables,
-    filters: KpiFilters,
-    vertical: str,
+def _amounts(
+    facts: DataFrame, date_column: str, states: Sequence[str], months: Sequence[Month], filters: KpiFilters
 ) -> DataFrame:
-    """One row, a column ``m<i>`` per month. Bounds reach the scan; no amount counts as 0."""
-    bounds = [month_bounds(m) for m in months]
+    """Live facts of the months: customer, amount, a flag per month. The bounds reach the scan."""
     day = F.col(date_column)
-    inside = [(day >= F.lit(start)) & (day < F.lit(end)) for start, end, _ in bounds]
+    inside = [(day >= F.lit(start)) & (day < F.lit(end)) for start, end, _ in map(month_bounds, months)]
     live = facts.where(F.col("deleted_at").isNull() & F.col("state").isin(list(states)))
     live = live.where(reduce(lambda x, y: x | y, inside))
     live = filter_vertical(filter_city_direct(live, filters.city_ids), filters.verticals)
-    amounts = live.select(
+    return live.select(
         "customer_identifier",
-        *[c.alias(f"_in{i}") for i, c in enumerate(inside)],
         money(json_value("monetary_components", TAXABLE_AMOUNT_PATH, "double")).alias("_amount"),
+        *[c.alias(f"_in{i}") for i, c in enumerate(inside)],
     )
-    per_month = [F.sum(F.when(F.col(f"_in{i}"), F.col("_amount"))).alias(f"m{i}") for i in range(len(months))]
-    if filters.customer_type == ALL:
-        sums = amounts.agg(*per_month)
-    else:
-        activated = first_activation(tables.items, tables.orders, vertical)
-        per_customer = amounts.groupBy("customer_identifier").agg(*per_month)
-        sums = per_customer.join(activated, "customer_identifier").agg(
-            *[
-                F.sum(F.when(_of_type(filters.customer_type, start, end), F.col(f"m{i}"))).alias(f"m{i}")
-                for i, (start, end, _) in enumerate(bounds)
-            ]
-        )
-    return sums.select(*[F.coalesce(as_amount(F.col(f"m{i}")), F.lit(0.0)).alias(f"m{i}") for i in range(len(months))])
 
 
-def mrr_by_month(
-    tables: KpiTables, months: Sequence[Month], filters: KpiFilters = KpiFilters(), vertical: str = RENTAL_VERTICAL
-) -> DataFrame:
-    """Recognised revenue of the months, one row, columns ``m0``, ``m1``, ..."""
-    return _sums(
-        tables.revenue_recognitions, "to_be_recognised_on", RECOGNISED_STATES, months, tables, filters, vertical
-    )
+def _recognised(tables: KpiTables, months: Sequence[Month], filters: KpiFilters) -> DataFrame:
+    return _amounts(tables.revenue_recognitions, "to_be_recognised_on", RECOGNISED_STATES, months, filters)
 
 
-def billed_by_month(
-    tables: KpiTables, months: Sequence[Month], filters: KpiFilters = KpiFilters(), vertical: str = RENTAL_VERTICAL
+def _billed(tables: KpiTables, months: Sequence[Month], filters: KpiFilters) -> DataFrame:
+    return _amounts(tables.invoice_cycles, "created_at", BILLED_STATES, months, filters)
+
+
+def _total(total: Column) -> Column:
+    """No facts and no amounts count as 0."""
+    return F.coalesce(as_amount(total), F.lit(0.0))
+
+
+def _sums(
+    amounts: DataFrame, name: str, months: Sequence[Month], tables: KpiTables, filters: KpiFilters, vertical: str
 ) -> DataFrame:
-    """Revenue of the billing cycles created in the months."""
-    return _sums(tables.invoice_cycles, "created_at", BILLED_STATES, months, tables, filters, vertical)
+    """One row, a column ``<name><i>`` per month."""
+    per_month = {
+        f"{name}{i}": F.sum(F.when(F.col(f"_in{i}"), F.col("_amount"))) for i in range(len(months))
+    }
+    if filters.customer_type == ALL:
+        return amounts.agg(*[_total(total).alias(c) for c, total in per_month.items()])
+    per_customer = amounts.groupBy("customer_identifier").agg(*[t.alias(c) for c, t in per_month.items()])
+    activated = first_activation(tables.items, tables.orders, vertical)
+    return per_customer.join(activated, "customer_identifier").agg(
+        *[
+            _total(F.sum(F.when(_of_type(filters.customer_type, start, end), F.col(c)))).alias(c)
+            for c, (start, end, _) in zip(per_month, map(month_bounds, months))
+        ]
+    )
 
 
 # ---- counts of customers ----------------------------------------------------------------------
 
 
-def customers_by_month(
-    tables: KpiTables,
-    months: Sequence[Month],
-    filters: KpiFilters = KpiFilters(),
-    vertical: str = RENTAL_VERTICAL,
-    *,
-    legacy_bound: bool = False,
+def customer_activity(
+    tables: KpiTables, months: Sequence[Month], filters: KpiFilters = KpiFilters(), vertical: str = RENTAL_VERTICAL
 ) -> DataFrame:
-    """Active and churned customers of the months, one row, columns ``active<i>``, ``churned<i>``.
+    """Per customer: first activation, ``active<i>`` and ``churned<i>`` for every month.
 
     Distinct counts become flags per customer: one aggregate answers both KPIs for every month,
     and the first activation that tells new from returning customers falls out of it as well.
-    ``legacy_bound`` treats the last day of the month as not new in the active count.
+    Vertical, tenure and plan restrict the items that set a flag, not those that activate.
     """
-    bounds = [month_bounds(m) for m in months]
     allowed = (
         _one_of("order_vertical", filters.verticals)
         & _in_bucket(filters.tenure_range, "tenure_in_months")
@@ -230,36 +220,64 @@ def customers_by_month(
     pickup = F.col("pickup_date")
     not_excluded = ~F.col("state").isin(list(KPI_EXCLUDED_STATES))
     flags = [F.min("activation_date").alias("first_activation_date")]
-    for i, (start, end, last) in enumerate(bounds):
+    for i, (start, end, last) in enumerate(map(month_bounds, months)):
         active = not_excluded & (F.col("activation_date") <= F.lit(last)) & (pickup.isNull() | (pickup > F.lit(last)))
         churned = (F.col("state") == PICKED_UP_STATE) & (pickup >= F.lit(start)) & (pickup < F.lit(end))
         flags.append(F.bool_or(allowed & active).alias(f"active{i}"))
         flags.append(F.bool_or(allowed & churned).alias(f"churned{i}"))
-    per_customer = (
+    return (
         customer_items(tables.items, tables.orders, vertical)
         .where(F.col("customer_identifier").isNotNull())
         .groupBy("customer_identifier")
         .agg(*flags)
     )
-    per_customer = filter_city_customers(per_customer, tables.invoiceable_groups, filters.city_ids)
-    counts = []
-    for i, (start, end, last) in enumerate(bounds):
+
+
+def _counts(months: Sequence[Month], filters: KpiFilters, legacy_bound: bool, counted: Column) -> list[Column]:
+    """Count columns over ``customer_activity``.
+
+    ``legacy_bound`` treats the last day of the month as not new in the active count.
+    """
+    columns = []
+    for i, (start, end, last) in enumerate(map(month_bounds, months)):
         active_type = _of_type(filters.customer_type, start, last if legacy_bound else end)
         churned_type = _of_type(filters.customer_type, start, end)
-        counts.append(F.count_if(F.col(f"active{i}") & active_type).alias(f"active{i}"))
-        counts.append(F.count_if(F.col(f"churned{i}") & churned_type).alias(f"churned{i}"))
-    return per_customer.agg(*counts)
+        columns.append(F.count_if(counted & F.col(f"active{i}") & active_type).alias(f"active{i}"))
+        columns.append(F.count_if(counted & F.col(f"churned{i}") & churned_type).alias(f"churned{i}"))
+    return columns
+
+
+def customers_by_month(
+    tables: KpiTables,
+    months: Sequence[Month],
+    filters: KpiFilters = KpiFilters(),
+    vertical: str = RENTAL_VERTICAL,
+    *,
+    legacy_bound: bool = False,
+) -> DataFrame:
+    """Active and churned customers of the months, one row, columns ``active<i>``, ``churned<i>``."""
+    activity = customer_activity(tables, months, filters, vertical)
+    located = filter_city_customers(activity, tables.invoiceable_groups, filters.city_ids)
+    return located.agg(*_counts(months, filters, legacy_bound, F.lit(True)))
 
 
 # ---- one KPI of one month ---------------------------------------------------------------------
 
 
-def kpi_mrr(tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), **options) -> DataFrame:
-    return mrr_by_month(tables, [month], filters, **options).select(F.col("m0").alias("mrr"))
+def kpi_mrr(
+    tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), vertical: str = RENTAL_VERTICAL
+) -> DataFrame:
+    """Recognised revenue of the month."""
+    sums = _sums(_recognised(tables, [month], filters), "mrr", [month], tables, filters, vertical)
+    return sums.select(F.col("mrr0").alias("mrr"))
 
 
-def kpi_revenue_billed(tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), **options) -> DataFrame:
-    return billed_by_month(tables, [month], filters, **options).select(F.col("m0").alias("revenue_billed"))
+def kpi_revenue_billed(
+    tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), vertical: str = RENTAL_VERTICAL
+) -> DataFrame:
+    """Revenue of the billing cycles created in the month."""
+    sums = _sums(_billed(tables, [month], filters), "billed", [month], tables, filters, vertical)
+    return sums.select(F.col("billed0").alias("revenue_billed"))
 
 
 def kpi_active_subscriptions(
@@ -281,41 +299,95 @@ def kpi_churned_customers(
 # ---- all KPIs ---------------------------------------------------------------------------------
 
 
-def kpi_by_month(
-    tables: KpiTables,
-    months: Sequence[Month],
-    filters: KpiFilters = KpiFilters(),
-    vertical: str = RENTAL_VERTICAL,
-    *,
-    legacy_bound: bool = False,
-) -> DataFrame:
-    """One row per metric, a column ``m<i>`` per month; every table is read once."""
-    columns = range(len(months))
+_PREFIXES = {
+    "mrr": "mrr",
+    "active_subscriptions": "active",
+    "churned_customers": "churned",
+    "revenue_billed": "billed",
+}
 
-    def line(source: DataFrame, metric: str, prefix: str) -> DataFrame:
-        return source.select(
-            F.lit(metric).alias("metric"), *[F.col(f"{prefix}{i}").cast("double").alias(f"m{i}") for i in columns]
-        )
 
-    counts = customers_by_month(tables, months, filters, vertical, legacy_bound=legacy_bound)
-    both = counts.select(
+def _metric_rows(row: DataFrame, metrics: Sequence[str], n_months: int) -> DataFrame:
+    """The one-row ``row`` as a row per metric with a column ``m<i>`` per month."""
+    return row.select(
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(metric).alias("metric"),
-                        *[F.col(f"{prefix}{i}").cast("double").alias(f"m{i}") for i in columns],
+                        *[F.col(f"{_PREFIXES[metric]}{i}").cast("double").alias(f"m{i}") for i in range(n_months)],
                     )
-                    for metric, prefix in (("active_subscriptions", "active"), ("churned_customers", "churned"))
+                    for metric in metrics
                 ]
             )
         )
     )
-    return (
-        line(mrr_by_month(tables, months, filters, vertical), "mrr", "m")
-        .unionByName(both)
-        .unionByName(line(billed_by_month(tables, months, filters, vertical), "revenue_billed", "m"))
+
+
+def kpi_by_month(
+    tables: KpiTables,
+    months: Sequence[Month],
+    filters: KpiFilters = KpiFilters(),
+    vertical: str = RENTAL_VERTICAL,
+    *,
+    legacy_bound: bool = False,
+) -> DataFrame:
+    """One row per metric, a column ``m<i>`` per month; every table is read once.
+
+    Without a customer type the sums need no customer. With one, both sums are taken per customer
+    and meet the customer's first activation in the one join that all four metrics share.
+    """
+    n = len(months)
+    if filters.customer_type == ALL:
+        return (
+            _metric_rows(_sums(_recognised(tables, months, filters), "mrr", months, tables, filters, vertical), ["mrr"], n)
+            .unionByName(
+                _metric_rows(
+                    customers_by_month(tables, months, filters, vertical),
+                    ["active_subscriptions", "churned_customers"],
+                    n,
+                )
+            )
+            .unionByName(
+                _metric_rows(
+                    _sums(_billed(tables, months, filters), "billed", months, tables, filters, vertical),
+                    ["revenue_billed"],
+                    n,
+                )
+            )
+        )
+
+    amounts = (
+        _recognised(tables, months, filters)
+        .withColumn("_metric", F.lit("mrr"))
+        .unionByName(_billed(tables, months, filters).withColumn("_metric", F.lit("billed")))
+    )
+    names = [(metric, i) for metric in ("mrr", "billed") for i in range(n)]
+    per_customer = amounts.groupBy("customer_identifier").agg(
+        *[
+            F.sum(F.when((F.col("_metric") == metric) & F.col(f"_in{i}"), F.col("_amount"))).alias(f"{metric}{i}")
+            for metric, i in names
+        ]
+    )
+    customers = customer_activity(tables, months, filters, vertical)
+    counted = F.lit(True)
+    if filters.city_ids:
+        located = filter_city_direct(tables.invoiceable_groups, filters.city_ids).select("customer_identifier")
+        customers = customers.join(
+            located.distinct().withColumn("_located", F.lit(True)), "customer_identifier", "left"
+        )
+        counted = F.col("_located").isNotNull()
+    bounds = [month_bounds(m) for m in months]
+    row = customers.join(per_customer, "customer_identifier", "left").agg(
+        *[
+            _total(F.sum(F.when(_of_type(filters.customer_type, *bounds[i][:2]), F.col(f"{metric}{i}")))).alias(
+                f"{metric}{i}"
+            )
+            for metric, i in names
+        ],
+        *_counts(months, filters, legacy_bound, counted),
     )
+    return _metric_rows(row, METRICS, n)
 
 
 def month_over_month(values: DataFrame) -> DataFrame:

@@ -2,34 +2,42 @@
 
 ``events`` becomes the transition log with JSON after-images, ``customer`` the items, ``part`` the
 attachments, ``orders`` the purchase links and the customers' orders, ``lineitem`` the revenue
-facts. ``oracle.VIEWS`` states the same mapping in SQL.
+facts. ``oracle.VIEWS`` states the same mapping in the other SQL dialect.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billcycle.operators.cycles import in_month
 from billcycle.operators.kpi import KpiTables
 from billcycle.plans.reports import HoldingTables, LogTables
 from billcycle.sources.tables import load
 
 CITY = 6
+_CITY_OF_NATION = f"cast(element_at(array({CITY}, 1, 2, 4), c_nationkey % 4 + 1) as int) as city_id"
 
 
-def _day(origin: str, days: Column) -> Column:
-    return F.date_add(F.lit(origin).cast("date"), days.cast("int"))
+def _payment(amount: str) -> str:
+    return f"""to_json(named_struct('payableAfterPaymentOffers', named_struct('byCashPreTax', {amount})))
+      as payment_details"""
 
 
-def _text(day: Column) -> Column:
-    return day.cast("string")
+def _tenure(origin: str, days: str, late: str) -> list[str]:
+    """Tenure of 30 days from ``origin + days`` and, if late, the overdue cycle after it."""
 
+    def day(offset: int) -> str:
+        return f"date_add(date'{origin}', cast({days} + {offset} as int))"
 
-def _by_key(key: str, values: list) -> Column:
-    """The value at ``key % len(values)``."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+    return [
+        f"{day(0)} as tenure_start_date",
+        f"{day(29)} as tenure_end_date",
+        f"case when {late} then {day(30)} end as renewal_overdue_cycle_start_date",
+        f"case when {late} then {day(59)} end as renewal_overdue_cycle_end_date",
+    ]
 
 
 class DriverViews:
@@ -43,64 +51,50 @@ class DriverViews:
 
     @cached_property
     def state_transitions(self) -> DataFrame:
-        ev = self.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-        k, kind, slot = F.col("k"), F.col("event_type"), F.dayofmonth("ts") - 1
-        tsd = _day("2021-01-01", slot * 30)
-        ted = F.date_add(tsd, (30 * (1 + k % 3) - 1).cast("int"))
-        overdue = kind == "error"
-        state = F.when(overdue, "RENEWAL_OVERDUE").otherwise("ACTIVE")
-        snapshot = F.to_json(
-            F.struct(
-                F.when(k < 95, "RENTAL").otherwise("FURNITURE").alias("vertical"),
-                state.alias("state"),
-                F.col("user_id").cast("string").alias("deliveryAddressId"),
-                F.when((kind != "signup") | (k >= 10), _text(tsd)).alias("tenureStartDate"),
-                _text(ted).alias("tenureEndDate"),
-                (1 + k % 3).alias("tenureInMonths"),
-                F.when(overdue, _text(F.date_add(ted, 1))).alias("renewalOverdueCycleStartDate"),
-                F.when(overdue, _text(F.date_add(ted, 30))).alias("renewalOverdueCycleEndDate"),
-                F.when(F.col("value") >= 0.5, _text(_day("2021-01-01", F.col("user_id") % 30 * 30))).alias(
-                    "activationDate"
-                ),
-                F.when(k >= 90, _text(F.date_add(tsd, 15))).alias("pickupDate"),
-                F.struct(
-                    F.struct(
-                        F.col("value").alias("byCashPreTax"), (F.col("value") + k).alias("byCashPostTax")
-                    ).alias("payableAfterPaymentOffers")
-                ).alias("paymentDetails"),
-                F.struct(F.when(k % 10 != 0, k * 10 + F.lit(0.5)).alias("basePrice")).alias(
-                    "currentPricingDetails"
-                ),
-            )
+        keyed = self.table("events").selectExpr(
+            "*",
+            "cast(get_json_object(props, '$.k') as int) as k",
+            "date_add(date'2021-01-01', 30 * (dayofmonth(ts) - 1)) as tsd",
+            "case when event_type = 'error' then 'RENEWAL_OVERDUE' else 'ACTIVE' end as new_state",
         )
-        return ev.select(
-            F.col("event_id").alias("id"),
-            F.when(F.floor(k / 4) % 5 == 0, "ATTACHMENT").otherwise("ITEM").alias("entity_type"),
-            (F.col("user_id") * 4 + k % 4).alias("entity_id"),
-            F.col("event_id"),
-            F.lit("ACTIVE").alias("from_state"),
-            state.alias("to_state"),
-            snapshot.alias("snapshot"),
-            F.col("ts").alias("created_at"),
+        return keyed.selectExpr("*", "date_add(tsd, 30 * (1 + k % 3) - 1) as ted").selectExpr(
+            "event_id as id",
+            "case when (k div 4) % 5 = 0 then 'ATTACHMENT' else 'ITEM' end as entity_type",
+            "user_id * 4 + k % 4 as entity_id",
+            "event_id",
+            "'ACTIVE' as from_state",
+            "new_state as to_state",
+            """to_json(named_struct(
+              'vertical', case when k < 95 then 'RENTAL' else 'FURNITURE' end,
+              'state', new_state,
+              'deliveryAddressId', cast(user_id as string),
+              'tenureStartDate', case when event_type <> 'signup' or k >= 10 then cast(tsd as string) end,
+              'tenureEndDate', cast(ted as string),
+              'tenureInMonths', 1 + k % 3,
+              'renewalOverdueCycleStartDate', case when event_type = 'error' then cast(date_add(ted, 1) as string) end,
+              'renewalOverdueCycleEndDate', case when event_type = 'error' then cast(date_add(ted, 30) as string) end,
+              'activationDate', case when value >= 0.5
+                then cast(date_add(date'2021-01-01', cast(user_id % 30 * 30 as int)) as string) end,
+              'pickupDate', case when k >= 90 then cast(date_add(tsd, 15) as string) end,
+              'paymentDetails', named_struct('payableAfterPaymentOffers',
+                named_struct('byCashPreTax', value, 'byCashPostTax', value + k)),
+              'currentPricingDetails', named_struct('basePrice', case when k % 10 <> 0 then k * 10 + 0.5D end)
+            )) as snapshot""",
+            "ts as created_at",
         )
 
     @cached_property
     def events(self) -> DataFrame:
-        kind = F.col("event_type")
-        name = (
-            F.when(kind == "purchase", "RENEWAL_APPLIED")
-            .when(kind == "error", "RENEWAL_OVERDUE")
-            .when(kind == "signup", "ORDER_SHIPMENT_DELIVERED")
-            .when(kind == "view", "ORDER_FULFILLMENT_FULFILLED")
-            .otherwise("PRICE_UPDATED")
+        return self.table("events").selectExpr(
+            "event_id as id",
+            """case event_type when 'purchase' then 'RENEWAL_APPLIED' when 'error' then 'RENEWAL_OVERDUE'
+              when 'signup' then 'ORDER_SHIPMENT_DELIVERED' when 'view' then 'ORDER_FULFILLMENT_FULFILLED'
+              else 'PRICE_UPDATED' end as name""",
         )
-        return self.table("events").select(F.col("event_id").alias("id"), name.alias("name"))
 
     @cached_property
     def addresses(self) -> DataFrame:
-        return self.table("customer").select(
-            F.col("c_custkey").alias("id"), _by_key("c_nationkey", [CITY, 1, 2, 4]).cast("int").alias("city_id")
-        )
+        return self.table("customer").selectExpr("c_custkey as id", _CITY_OF_NATION)
 
     @property
     def log(self) -> LogTables:
@@ -110,76 +104,45 @@ class DriverViews:
 
     @cached_property
     def items(self) -> DataFrame:
-        key, segment = F.col("c_custkey"), F.col("c_mktsegment")
-        start = _day("2022-06-01", key % 300)
-        late = (segment == "AUTOMOBILE") & (key % 3 == 0)
-        return self.table("customer").select(
-            key.alias("id"),
-            F.col("c_name").alias("name"),
-            F.when(segment == "BUILDING", "ACTIVE")
-            .when(segment == "AUTOMOBILE", "RENEWAL_OVERDUE")
-            .when(segment == "MACHINERY", "CANCELLED")
-            .when(segment == "HOUSEHOLD", "PICKED_UP")
-            .otherwise("PURCHASED")
-            .alias("state"),
-            F.when(F.col("c_nationkey") == 24, "FURNITURE").otherwise("RENTAL").alias("vertical"),
-            _day("2021-01-01", key * 7 % 600).alias("activation_date"),
-            F.when(segment == "HOUSEHOLD", _day("2023-01-15", key * 7 % 90)).alias("pickup_date"),
-            start.alias("tenure_start_date"),
-            F.date_add(start, 29).alias("tenure_end_date"),
-            (1 + key % 12).cast("int").alias("tenure_in_months"),
-            key.alias("user_id"),
-            F.when(late, F.date_add(start, 30)).alias("renewal_overdue_cycle_start_date"),
-            F.when(late, F.date_add(start, 59)).alias("renewal_overdue_cycle_end_date"),
-            F.to_json(
-                F.struct(
-                    F.struct(F.col("c_acctbal").alias("byCashPreTax")).alias("payableAfterPaymentOffers")
-                )
-            ).alias("payment_details"),
-            F.to_json(F.struct((F.col("c_nationkey") * 10 + F.lit(0.5)).alias("basePrice"))).alias(
-                "current_pricing_details"
-            ),
+        return self.table("customer").selectExpr(
+            "c_custkey as id",
+            "c_name as name",
+            """case c_mktsegment when 'BUILDING' then 'ACTIVE' when 'AUTOMOBILE' then 'RENEWAL_OVERDUE'
+              when 'MACHINERY' then 'CANCELLED' when 'HOUSEHOLD' then 'PICKED_UP' else 'PURCHASED' end as state""",
+            "case when c_nationkey = 24 then 'FURNITURE' else 'RENTAL' end as vertical",
+            "date_add(date'2021-01-01', cast(c_custkey * 7 % 600 as int)) as activation_date",
+            """case when c_mktsegment = 'HOUSEHOLD' then date_add(date'2023-01-15', cast(c_custkey * 7 % 90 as int))
+              end as pickup_date""",
+            *_tenure("2022-06-01", "c_custkey % 300", "c_mktsegment = 'AUTOMOBILE' and c_custkey % 3 = 0"),
+            "cast(1 + c_custkey % 12 as int) as tenure_in_months",
+            "c_custkey as user_id",
+            _payment("c_acctbal"),
+            "to_json(named_struct('basePrice', c_nationkey * 10 + 0.5D)) as current_pricing_details",
         )
 
     @cached_property
     def attachments(self) -> DataFrame:
-        key, kind = F.col("p_partkey"), F.col("p_size")
-        start = _day("2022-07-01", key % 280)
-        late = kind % 4 == 1
-        return self.table("part").select(
-            key.alias("id"),
-            F.col("p_name").alias("name"),
-            F.when(kind % 4 == 0, "ACTIVE")
-            .when(kind % 4 == 1, "RENEWAL_OVERDUE")
-            .when(kind % 4 == 2, "PICKED_UP")
-            .otherwise("CANCELLED")
-            .alias("state"),
-            F.lit("RENTAL").alias("vertical"),
-            _day("2021-01-01", key * 3 % 600).alias("activation_date"),
-            F.when(kind % 4 == 2, _day("2023-01-15", key * 7 % 90)).alias("pickup_date"),
-            start.alias("tenure_start_date"),
-            F.date_add(start, 29).alias("tenure_end_date"),
-            (1 + key % 12).cast("int").alias("tenure_in_months"),
-            key.alias("user_id"),
-            F.when(late, F.date_add(start, 30)).alias("renewal_overdue_cycle_start_date"),
-            F.when(late, F.date_add(start, 59)).alias("renewal_overdue_cycle_end_date"),
-            F.to_json(
-                F.struct(
-                    F.struct(F.col("p_retailprice").alias("byCashPreTax")).alias("payableAfterPaymentOffers")
-                )
-            ).alias("payment_details"),
-            F.to_json(F.struct((kind * 10 + F.lit(0.5)).alias("basePrice"))).alias("pricing_details"),
+        return self.table("part").selectExpr(
+            "p_partkey as id",
+            "p_name as name",
+            """case p_size % 4 when 0 then 'ACTIVE' when 1 then 'RENEWAL_OVERDUE' when 2 then 'PICKED_UP'
+              else 'CANCELLED' end as state""",
+            "'RENTAL' as vertical",
+            "date_add(date'2021-01-01', cast(p_partkey * 3 % 600 as int)) as activation_date",
+            """case when p_size % 4 = 2 then date_add(date'2023-01-15', cast(p_partkey * 7 % 90 as int))
+              end as pickup_date""",
+            *_tenure("2022-07-01", "p_partkey % 280", "p_size % 4 = 1"),
+            "cast(1 + p_partkey % 12 as int) as tenure_in_months",
+            "p_partkey as user_id",
+            _payment("p_retailprice"),
+            "to_json(named_struct('basePrice', p_size * 10 + 0.5D)) as pricing_details",
         )
 
     def _links(self, priority: str, column: str) -> DataFrame:
         return (
             self.table("orders")
             .where(F.col("o_orderpriority") == priority)
-            .select(
-                F.col("o_orderkey").alias("id"),
-                F.col("o_custkey").alias(column),
-                F.col("o_orderkey").alias("rent_to_purchase_order_id"),
-            )
+            .selectExpr("o_orderkey as id", f"o_custkey as {column}", "o_orderkey as rent_to_purchase_order_id")
         )
 
     @cached_property
@@ -190,13 +153,16 @@ class DriverViews:
     def attachment_links(self) -> DataFrame:
         return self._links("2-HIGH", "attachment_id")
 
+    def _purchase_orders(self, created_at: str) -> DataFrame:
+        return self.table("orders").selectExpr(
+            "o_orderkey as id",
+            "case when o_orderstatus = 'F' then 'CANCELLED' else 'SUCCESS' end as state",
+            f"{created_at} as created_at",
+        )
+
     @cached_property
     def purchase_orders(self) -> DataFrame:
-        return self.table("orders").select(
-            F.col("o_orderkey").alias("id"),
-            F.when(F.col("o_orderstatus") == "F", "CANCELLED").otherwise("SUCCESS").alias("state"),
-            (F.col("o_orderdate") + F.expr("interval 8035 days")).alias("created_at"),
-        )
+        return self._purchase_orders("o_orderdate + interval 8035 days")
 
     @property
     def holdings(self) -> HoldingTables:
@@ -211,27 +177,23 @@ class DriverViews:
         """Every order as a billing cycle of its customer."""
         orders = self.table("orders")
         activated = orders.groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("activation_date"))
-        key, price = F.col("o_orderkey"), F.col("o_totalprice")
-        start = F.col("o_orderdate").cast("date")
-        amount = ((1 + F.floor(price / 250000)) * 100).cast("double")
-        return orders.join(activated, "o_custkey").select(
-            F.col("o_custkey").alias("entity_id"),
-            (key % 12 + 1).alias("cycle_num"),
-            start.alias("period_start"),
-            F.date_add(start, (28 + 31 * (key % 3)).cast("int")).alias("period_end"),
+        return orders.join(activated, "o_custkey").selectExpr(
+            "o_custkey as entity_id",
+            "o_orderkey % 12 + 1 as cycle_num",
+            "cast(o_orderdate as date) as period_start",
+            "date_add(o_orderdate, cast(28 + 31 * (o_orderkey % 3) as int)) as period_end",
             "activation_date",
-            F.when(key % 5 == 0, F.date_add(start, 20)).alias("pickup_date"),
-            amount.alias("cycle_amount"),
-            F.when(F.col("o_orderstatus") == "F", "PURE_OVERDUE").otherwise("TENURE").alias("period_type"),
-            key.alias("state_transition_id"),
-            (29 + 31 * (key % 3)).alias("days"),
-            (amount * (1 + key % 2) / 2).alias("realised_revenue"),
+            "case when o_orderkey % 5 = 0 then date_add(o_orderdate, 20) end as pickup_date",
+            "cast((1 + floor(o_totalprice / 250000)) * 100 as double) as cycle_amount",
+            "case when o_orderstatus = 'F' then 'PURE_OVERDUE' else 'TENURE' end as period_type",
+            "o_orderkey as state_transition_id",
+            "29 + 31 * (o_orderkey % 3) as days",
+            """cast((1 + floor(o_totalprice / 250000)) * 100 as double) * (1 + o_orderkey % 2) / 2
+              as realised_revenue""",
         )
 
     def order_snapshot(self, month: str, starts_before: str) -> DataFrame:
         """The cut of ``order_cycles`` for a month."""
-        from billcycle.operators.cycles import in_month
-
         return in_month(self.order_cycles, month).where(F.col("period_start") < F.lit(starts_before).cast("date"))
 
     @cached_property
@@ -245,84 +207,61 @@ class DriverViews:
     @cached_property
     def rca_items(self) -> DataFrame:
         """Customers as the items behind ``order_cycles``."""
-        key, segment = F.col("c_custkey"), F.col("c_mktsegment")
-        return self.table("customer").select(
-            key.alias("id"),
-            F.when(segment == "HOUSEHOLD", "PICKED_UP")
-            .when(segment == "MACHINERY", "CANCELLED")
-            .otherwise("ACTIVE")
-            .alias("state"),
-            F.when(segment == "HOUSEHOLD", _day("1996-01-15", key * 7 % 90)).alias("pickup_date"),
+        return self.table("customer").selectExpr(
+            "c_custkey as id",
+            """case c_mktsegment when 'HOUSEHOLD' then 'PICKED_UP' when 'MACHINERY' then 'CANCELLED'
+              else 'ACTIVE' end as state""",
+            """case when c_mktsegment = 'HOUSEHOLD' then date_add(date'1996-01-15', cast(c_custkey * 7 % 90 as int))
+              end as pickup_date""",
         )
 
     @cached_property
     def rca_purchase_orders(self) -> DataFrame:
-        return self.table("orders").select(
-            F.col("o_orderkey").alias("id"),
-            F.when(F.col("o_orderstatus") == "F", "CANCELLED").otherwise("SUCCESS").alias("state"),
-            F.col("o_orderdate").alias("created_at"),
-        )
+        return self._purchase_orders("o_orderdate")
 
     # ---- KPI tables ---------------------------------------------------------------------------
 
     @cached_property
     def kpi(self) -> KpiTables:
         orders, line = self.table("orders"), self.table("lineitem")
-        key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
-        day = F.col("o_orderdate").cast("date")
-        rental_orders = orders.select(
-            key.alias("id"),
-            F.to_json(F.struct(F.concat(F.lit("C"), F.col("o_custkey")).alias("displayId"))).alias("user_details"),
-            F.when(priority == "1-URGENT", "FURNITURE")
-            .when(priority == "2-HIGH", "APPLIANCES")
-            .otherwise("RENTAL")
-            .alias("vertical"),
-        )
-        items = orders.select(
-            key.alias("id"),
-            key.alias("order_id"),
-            F.when(status == "F", "PICKED_UP")
-            .when(status == "O", "ACTIVE")
-            .otherwise(_by_key("o_orderkey", ["ACTIVE", "CANCELLED", "SWAPPED", "PURCHASED"]))
-            .alias("state"),
-            F.when(priority == "5-LOW", "FURNITURE").otherwise("RENTAL").alias("vertical"),
-            day.alias("activation_date"),
-            F.when(status == "F", F.date_add(day, (key % 400).cast("int"))).alias("pickup_date"),
-            (key % 15).cast("int").alias("tenure_in_months"),
+        rental_orders = orders.selectExpr(
+            "o_orderkey as id",
+            "to_json(named_struct('displayId', concat('C', o_custkey))) as user_details",
+            """case o_orderpriority when '1-URGENT' then 'FURNITURE' when '2-HIGH' then 'APPLIANCES'
+              else 'RENTAL' end as vertical""",
         )
-        groups = self.table("customer").select(
-            F.concat(F.lit("C"), F.col("c_custkey")).alias("customer_identifier"),
-            _by_key("c_nationkey", [CITY, 1, 2, 4]).cast("int").alias("city_id"),
+        items = orders.selectExpr(
+            "o_orderkey as id",
+            "o_orderkey as order_id",
+            """case o_orderstatus when 'F' then 'PICKED_UP' when 'O' then 'ACTIVE' else
+              element_at(array('ACTIVE', 'CANCELLED', 'SWAPPED', 'PURCHASED'), cast(o_orderkey % 4 + 1 as int))
+              end as state""",
+            "case when o_orderpriority = '5-LOW' then 'FURNITURE' else 'RENTAL' end as vertical",
+            "cast(o_orderdate as date) as activation_date",
+            "case when o_orderstatus = 'F' then date_add(o_orderdate, cast(o_orderkey % 400 as int)) end as pickup_date",
+            "cast(o_orderkey % 15 as int) as tenure_in_months",
         )
+        groups = self.table("customer").selectExpr("concat('C', c_custkey) as customer_identifier", _CITY_OF_NATION)
         fact = [
-            F.concat(F.lit("C"), F.col("l_partkey")).alias("customer_identifier"),
-            F.col("l_linenumber").cast("int").alias("city_id"),
-            F.when(F.col("l_returnflag") == "R", "RENTAL")
-            .when(F.col("l_returnflag") == "A", "FURNITURE")
-            .otherwise("APPLIANCES")
-            .alias("vertical"),
-            F.when(F.col("l_discount") == 0, F.col("l_shipdate")).alias("deleted_at"),
+            "concat('C', l_partkey) as customer_identifier",
+            "l_linenumber as city_id",
+            "case l_returnflag when 'R' then 'RENTAL' when 'A' then 'FURNITURE' else 'APPLIANCES' end as vertical",
+            "case when l_discount = 0 then l_shipdate end as deleted_at",
         ]
-        amount = F.when(F.col("l_quantity") != 1, F.col("l_extendedprice"))
-        finished = F.col("l_linestatus") == "F"
-        recognitions = line.select(
+        recognitions = line.selectExpr(
             *fact,
-            F.when(finished, "PROCESSED")
-            .when(F.col("l_tax") >= 0.04, "FUTURE")
-            .otherwise("CANCELLED")
-            .alias("state"),
-            F.col("l_shipdate").cast("date").alias("to_be_recognised_on"),
-            F.to_json(F.struct(amount.alias("taxableAmount"))).alias("monetary_components"),
+            """case when l_linestatus = 'F' then 'PROCESSED' when l_tax >= 0.04 then 'FUTURE' else 'CANCELLED'
+              end as state""",
+            "cast(l_shipdate as date) as to_be_recognised_on",
+            """to_json(named_struct('taxableAmount', case when l_quantity <> 1 then l_extendedprice end))
+              as monetary_components""",
         )
-        invoices = line.select(
+        invoices = line.selectExpr(
             *fact,
-            F.when(finished, "INVOICED")
-            .when(F.col("l_tax") < 0.04, "READY_TO_BE_INVOICED")
-            .otherwise("DRAFT")
-            .alias("state"),
-            (F.col("l_shipdate") + F.expr("interval 20 hours")).alias("created_at"),
-            F.to_json(F.struct((amount - F.col("l_quantity")).alias("taxableAmount"))).alias(
-                "monetary_components"
-            ),
+            """case when l_linestatus = 'F' then 'INVOICED' when l_tax < 0.04 then 'READY_TO_BE_INVOICED'
+              else 'DRAFT' end as state""",
+            "l_shipdate + interval 20 hours as created_at",
+            """to_json(named_struct('taxableAmount', case when l_quantity <> 1 then l_extendedprice - l_quantity end))
+              as monetary_components""",
         )
         return KpiTables(items, rental_orders, recognitions, invoices, groups)

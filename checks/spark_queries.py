@@ -232,9 +232,8 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("previous_cycle")
 def _(v: DriverViews) -> DataFrame:
-    everything = _all_base(v)
-    transitions = base.state_transitions_for_base(v.state_transitions, v.events, everything)
-    return base.previous_cycle(transitions, everything).select(
+    transitions = base.billing_transitions(v.state_transitions, v.events)
+    return base.previous_cycle(transitions, _all_base(v)).select(
         "entity_type",
         "entity_id",
         "state_transition_id",
@@ -342,9 +341,7 @@ def _(v: DriverViews) -> DataFrame:
 def _(v: DriverViews) -> DataFrame:
     """From the transition log to the bridge: extract, timeline, two months, drivers."""
     both = reports.snapshots_of_months(v.log, CUT_MONTHS)
-    first, second = (F.lit(f"{m}-01").cast("date") for m in CUT_MONTHS)
-    month = F.col("snapshot_month")
-    return reports.bridge_report(both.where(month == first), both.where(month == second))
+    return compare.bridge_detail(compare.classify_changes(compare.entity_pair_of_months(both, *CUT_MONTHS)))
 
 
 # ---- root causes ------------------------------------------------------------------------------
