@@ -251,6 +251,13 @@ def _(v: DriverViews) -> DataFrame:
     return reports.current_against_previous(v.log, v.holdings, AS_OF)
 
 
+@_query("current_vs_previous_items")
+def _(v: DriverViews) -> DataFrame:
+    """Items only, under the other keep rule."""
+    only_items = reports.HoldingTables(v.items, v.item_links, v.purchase_orders)
+    return reports.current_against_previous(v.log, only_items, AS_OF, keep_rule="next_month")
+
+
 # ---- two snapshots ----------------------------------------------------------------------------
 
 
