@@ -389,12 +389,14 @@ def drilldown(
             f"{side}_{c}" for c in ("cycle_amount", "days", "period_types", "activation_date", "pickup_date")
         ]
     else:
-        both = [
-            f"{s}_{c}"
-            for c in ("cycle_amount", "days", "period_types", "max_cycle_num", "activation_date", "pickup_date")
-            for s in (left, right)
+        columns = deltas + [f"{left}_cycle_amount", f"{right}_cycle_amount", "delta_cycle_amount"]
+        columns += [f"{left}_days", f"{right}_days", "delta_days"]
+        columns += [
+            f"{side}_{c}"
+            for c in ("period_types", "max_cycle_num", "activation_date", "pickup_date")
+            for side in (left, right)
         ]
-        columns = deltas + both + ["delta_cycle_amount", "delta_days", "change_detail"]
+        columns.append("change_detail")
     if driver is None:
         rows = classified.where(F.col("change_driver") != STABLE).select("change_driver", *columns)
     else:

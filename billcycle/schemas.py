@@ -129,6 +129,7 @@ PLANS = {"Monthly (1m)": 1, "Quarterly (3m)": 3, "Semi-Annual (6m)": 6, "Annual
 # The vertical whose holdings are rented out. The stored spelling is the deployment's, so every
 # operator takes it as an argument; this is only the default of the test tables.
 RENTAL_VERTICAL = "RENTAL"
+PRODUCT_VERTICALS = ("FURNITURE", "APPLIANCES", "MATTRESSES")
 
 # JSON paths inside state_transitions.snapshot and the type each is read as.
 SNAPSHOT_PATHS = {
