@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billcycle.functions.dates import local_time, month_start, next_month
+from billcycle.functions.dates import local_time, month_start, next_month, to_date
 from billcycle.functions.firstrow import extreme_row
 from billcycle.functions.jsonx import json_value
 from billcycle.operators.history import effective_tenure, event_priority, named_transitions
@@ -95,7 +95,7 @@ def billable_next_month(
             *[c for c in _PLAIN if c != "vertical"],
             pickup.alias("pickup_date"),
             "by_cash_pre_tax",
-            F.lit(as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(as_of)).alias("as_of_date"),
+            F.lit(to_date(as_of)).alias("as_of_date"),
             bound.alias("next_month_start_date"),
             "vertical",
         )
@@ -170,7 +170,7 @@ def current_base(
         *[c for c in _PLAIN if c != "vertical"],
         pickup.alias("pickup_date"),
         "pre_tax_amount",
-        F.lit(as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(as_of)).alias("as_of_date"),
+        F.lit(to_date(as_of)).alias("as_of_date"),
         "vertical",
         "current_effective_start",
         "current_effective_end",

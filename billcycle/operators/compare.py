@@ -18,6 +18,7 @@ from billcycle.functions.dates import month_start
 from billcycle.functions.money import as_amount, money_sum
 from billcycle.schemas import PERIOD_TYPES
 
+# fixed values: the change drivers, and the difference up to which a bridge counts as balanced
 CHURNED = "churned"
 NEW_ACTIVATION = "new_activation"
 STABLE = "stable"
@@ -221,6 +222,7 @@ def revenue_bridge(
         )
 
     first, second = labels
+    # fixed values: the lines of the bridge, with the month names filled in
     return sums.select(
         F.inline(
             F.array(

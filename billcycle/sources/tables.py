@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from billcycle.functions.dates import month_start
+
 MONTH_COLUMN = "snapshot_month"
 
 
@@ -54,6 +57,6 @@ def write_month_snapshots(cycles: DataFrame, path: str) -> None:
     )
 
 
-def read_month_snapshot(spark: SparkSession, path: str, month) -> DataFrame:
+def read_month_snapshot(spark: SparkSession, path: str, month: str | dt.date) -> DataFrame:
     """One month of a written snapshot table; the filter prunes to its folder."""
-    return load(spark, path).where(F.col(MONTH_COLUMN) == F.lit(month)).drop(MONTH_COLUMN)
+    return load(spark, path).where(F.col(MONTH_COLUMN) == F.lit(month_start(month))).drop(MONTH_COLUMN)

@@ -47,7 +47,7 @@ def test_sink_replaces_only_its_months(spark):
     tables.write_month_snapshots(month(feb, 5).unionByName(month(mar, 7)), path)
     tables.write_month_snapshots(month(mar, 2), path)
     assert tables.read_month_snapshot(spark, path, feb).count() == 5
-    again = tables.read_month_snapshot(spark, path, mar)
+    again = tables.read_month_snapshot(spark, path, "2024-03")
     assert again.count() == 2 and again.columns == ["id"]
     plan = again._jdf.queryExecution().executedPlan().toString()
     assert "snapshot_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
