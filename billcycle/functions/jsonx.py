@@ -47,13 +47,9 @@ def parse_json(
     keep = [c for c in df.columns if c != json_col]
     document = F.from_json(json_col, pruned_schema(path for path, _ in fields.values()))
     opened = df.select(*keep, F.inline(F.array(F.struct(document.alias("_json")))))
-    values = {n: F.col("_json." + path) for n, (path, _) in fields.items()}
     for name, wanted in (required or {}).items():
-        opened = opened.where(values[name].isNotNull() if wanted is None else values[name] == wanted)
-    return opened.select(
-        *keep,
-        *[
-            (values[n] if dtype == "string" else values[n].try_cast(dtype)).alias(n)
-            for n, (_, dtype) in fields.items()
-        ],
+        raw = F.col(f"_json.{fields[name][0]}")
+        opened = opened.where(raw.isNotNull() if wanted is None else raw == wanted)
+    return opened.selectExpr(
+        *keep, *[f"try_cast(_json.{path} as {dtype}) as {name}" for name, (path, dtype) in fields.items()]
     )
