@@ -306,8 +306,8 @@ def bridge_detail(classified: DataFrame, *, left: str = "feb", right: str = "mar
     them and not by reading the entities again. Churned and new appear even when empty.
     """
     a, b = f"{left}_realised", f"{right}_realised"
-    always = classified.sparkSession.createDataFrame(
-        [(CHURNED,), (NEW_ACTIVATION,)], "change_driver string"
+    always = classified.sparkSession.range(0, 1, 1, 1).select(
+        F.explode(F.array(F.lit(CHURNED), F.lit(NEW_ACTIVATION))).alias("change_driver")
     )
     needed = classified.select(
         "entity_id", "change_driver", "change_detail", a, b, "delta_realised",

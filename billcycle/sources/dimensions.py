@@ -12,11 +12,20 @@ from billcycle.functions.dates import to_date
 from billcycle.schemas import CITIES, TENURE_BUCKETS
 
 
+def _constant(spark: SparkSession, columns: dict[str, str], rows: Sequence[tuple]) -> DataFrame:
+    """Literal rows as part of the plan, so that their small size is known to the planner."""
+    lines = [
+        F.struct(*[F.lit(value).cast(dtype).alias(name) for value, (name, dtype) in zip(row, columns.items())])
+        for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*lines)))
+
+
 def dim_city(
     spark: SparkSession, names: Sequence[str] = (), cities: dict[int, str] = CITIES
 ) -> DataFrame:
     """City ids and names, all or only the named ones."""
-    rows = spark.createDataFrame(list(cities.items()), "city_id int, city_name string")
+    rows = _constant(spark, {"city_id": "int", "city_name": "string"}, list(cities.items()))
     return rows.where(F.col("city_name").isin(list(names))) if names else rows
 
 
@@ -34,7 +43,7 @@ def with_city_name(facts: DataFrame, cities: dict[int, str] = CITIES, column: st
 def dim_tenure_bucket(spark: SparkSession) -> DataFrame:
     """Tenure buckets as half-open month ranges."""
     rows = [(name, lo, hi) for name, (lo, hi) in TENURE_BUCKETS.items()]
-    return spark.createDataFrame(rows, "bucket string, min_months int, max_months int")
+    return _constant(spark, {"bucket": "string", "min_months": "int", "max_months": "int"}, rows)
 
 
 def month_spine(spark: SparkSession, as_of: str | dt.date, n: int = 18) -> DataFrame:
