@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billcycle.llm import mixing, ngram_join
+from billcycle.llm import decontaminate, mixing, ngram_join, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_token_ids": token_ids.op2_token_ids,
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.mixing_sql()}
+    return {"op1_mixing": mixing.mixing_sql(), "op3_decontamination": decontaminate.decontamination_sql()}
