@@ -105,9 +105,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes of the lower-cased (A-Z) words of many texts at once; a word is a longest run of bytes outside ``gaps``."""
+    """Hashes of the lower-cased (A-Z) words of many texts at once; a word is a longest run of bytes outside ``gaps``.
 
-    BASE = np.uint64(0x100000001B3)
+    A word's polynomial is the difference of two running sums, shifted to the word's start; the sums begin anew in every
+    stretch of STEP_BYTES (longer only inside a longer word), so memory does not follow the length of a text.
+    """
+
+    BASE = 0x100000001B3
 
     def __init__(self, gaps: bytes) -> None:
         self.inside = np.ones(256, bool)
@@ -116,30 +120,39 @@ class Words:
         self.values = np.arange(1, 257, dtype=np.uint64)
         for upper in range(65, 91):
             self.values[upper] = self.values[upper + 32]
-        self.powers = np.cumprod(np.full(64, self.BASE, np.uint64))
+        self._grow(2 * STEP_BYTES)
+
+    def _grow(self, n: int) -> None:
+        self.powers = np.cumprod(np.full(n, self.BASE, np.uint64))
+        self.back = np.cumprod(np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64))
 
-    def bounds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each word in the bytes."""
+    def _stretch(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each word in the bytes."""
         inside = np.zeros(len(data) + 2, np.int8)
         inside[1:-1] = self.inside[data]
         edge = np.flatnonzero(np.diff(inside))
-        return edge[::2], edge[1::2]
+        starts, ends = edge[::2], edge[1::2]
+        if len(data) > len(self.powers):
+            self._grow(2 * len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        return starts, mixed((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
 
     def hashes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every word, number of the text it is in), in text order."""
         data = np.frombuffer(self.gap.join(x or b"" for x in texts), np.uint8)
-        starts, ends = self.bounds(data)
-        if not len(starts):
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        lengths = ends - starts
-        if lengths.max() > len(self.powers):
-            self.powers = np.cumprod(np.full(int(lengths.max()) * 2, self.BASE, np.uint64))
-        first = np.cumsum(lengths) - lengths
-        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-        inside = data[np.repeat(starts, lengths) + place]
-        hashed = mixed(np.add.reduceat(self.values[inside] * self.powers[place], first) + lengths.astype(np.uint64))
+        begin, starts, hashed = 0, [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        while begin < len(data):
+            end = min(begin + STEP_BYTES, len(data))
+            while end < len(data) and self.inside[data[end]]:  # to the end of the word
+                rest = np.flatnonzero(~self.inside[data[end : end + STEP_BYTES]])
+                end += int(rest[0]) if len(rest) else min(STEP_BYTES, len(data) - end)
+            where, found = self._stretch(data[begin:end])
+            starts.append(where + begin)
+            hashed.append(found)
+            begin = end
         begins = np.cumsum([0] + [len(x or b"") + 1 for x in texts])[:-1]
-        return hashed, np.searchsorted(begins, starts, side="right") - 1
+        return np.concatenate(hashed), np.searchsorted(begins, np.concatenate(starts), side="right") - 1
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
