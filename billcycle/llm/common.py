@@ -15,6 +15,8 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: Bytes of text that one vectorised step looks at, unless one text is longer.
 STEP_BYTES = 1 << 20
+#: Bytes whose words are hashed at once.
+STRETCH = 1 << 17
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -108,7 +110,7 @@ class Words:
     """Hashes of the lower-cased (A-Z) words of many texts at once; a word is a longest run of bytes outside ``gaps``.
 
     A word's polynomial is the difference of two running sums, shifted to the word's start; the sums begin anew in every
-    stretch of STEP_BYTES (longer only inside a longer word), so memory does not follow the length of a text.
+    stretch of STRETCH bytes (longer only inside a longer word), so memory does not follow the length of a text.
     """
 
     BASE = 0x100000001B3
@@ -120,7 +122,7 @@ class Words:
         self.values = np.arange(1, 257, dtype=np.uint64)
         for upper in range(65, 91):
             self.values[upper] = self.values[upper + 32]
-        self._grow(2 * STEP_BYTES)
+        self._grow(2 * STRETCH)
 
     def _grow(self, n: int) -> None:
         self.powers = np.cumprod(np.full(n, self.BASE, np.uint64))
@@ -128,14 +130,14 @@ class Words:
 
     def _stretch(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of each word in the bytes."""
-        inside = np.zeros(len(data) + 2, np.int8)
-        inside[1:-1] = self.inside[data]
-        edge = np.flatnonzero(np.diff(inside))
+        inside = np.zeros(len(data) + 2, bool)
+        np.take(self.inside, data, out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edge[::2], edge[1::2]
         if len(data) > len(self.powers):
             self._grow(2 * len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        np.cumsum(np.take(self.values, data) * self.powers[: len(data)], out=sums[1:])
         return starts, mixed((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
 
     def hashes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,16 +145,17 @@ class Words:
         data = np.frombuffer(self.gap.join(x or b"" for x in texts), np.uint8)
         begin, starts, hashed = 0, [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         while begin < len(data):
-            end = min(begin + STEP_BYTES, len(data))
+            end = min(begin + STRETCH, len(data))
             while end < len(data) and self.inside[data[end]]:  # to the end of the word
-                rest = np.flatnonzero(~self.inside[data[end : end + STEP_BYTES]])
-                end += int(rest[0]) if len(rest) else min(STEP_BYTES, len(data) - end)
+                rest = np.flatnonzero(~self.inside[data[end : end + STRETCH]])
+                end += int(rest[0]) if len(rest) else min(STRETCH, len(data) - end)
             where, found = self._stretch(data[begin:end])
             starts.append(where + begin)
             hashed.append(found)
             begin = end
-        begins = np.cumsum([0] + [len(x or b"") + 1 for x in texts])[:-1]
-        return np.concatenate(hashed), np.searchsorted(begins, np.concatenate(starts), side="right") - 1
+        begins = np.cumsum([0] + [len(x or b"") + 1 for x in texts])
+        cuts = np.searchsorted(np.concatenate(starts), begins)
+        return np.concatenate(hashed), np.repeat(np.arange(len(texts)), np.diff(cuts))
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:

@@ -12,6 +12,7 @@ and of these every pair is multiplied, so the components are exact.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from billcycle.llm.common import SPACE, Words, grams, mixed, scratch, steps, table, texts_of, union_find_table
 
 #: Counters of the sketch that orders the n-grams, and those of one row on its way to the sum.
-SKETCH = 1 << 18
-SLICE = 1 << 12
+SKETCH = 1 << 20
+SLICE = 1 << 14
 #: Bits of the filter by which a task knows the sets that may have a partner.
 FILTER_BITS = 1 << 24
 #: Sets that a task remembers to have sent already.
@@ -37,10 +38,17 @@ def set_sizes(n: int):
 
     def sets(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, int]]:
         hashed, where = words.hashes(texts)
-        cuts = np.searchsorted(where, np.arange(len(texts) + 1))
+        cuts = np.searchsorted(where, np.arange(len(texts) + 1)).tolist()
+        all_grams = grams(hashed, n)
         for i in range(len(texts)):
-            own = hashed[cuts[i] : cuts[i + 1]]
-            found = np.unique(grams(own, min(n, len(own)) or 1))
+            size = cuts[i + 1] - cuts[i]
+            if size >= n:
+                found = all_grams[cuts[i] : cuts[i + 1] - n + 1]
+            else:
+                found = grams(hashed[cuts[i] : cuts[i + 1]], size or 1)
+            found = np.sort(found)
+            if len(found) > 1:
+                found = found[np.concatenate([[True], found[1:] != found[:-1]])]
             # equal sets have equal ids: two independent sums over the members, and their number
             once = int(found.sum(dtype=np.uint64)) * 0x9E6C63D0876A9A47
             twice = int(np.bitwise_xor.reduce(mixed(found), initial=np.uint64(0))) + len(found) * 0xA24BAED4963EE407
@@ -88,7 +96,7 @@ def _sizes(docs: DataFrame, n: int) -> DataFrame:
                     pa.nulls(many, pa.int64()),
                     pa.nulls(many, pa.int64()),
                     pa.array(range(many), pa.int32()),
-                    pa.array([x.tobytes() for x in counts.reshape(many, SLICE)], pa.binary()),
+                    pa.array([zlib.compress(x.tobytes(), 1) for x in counts.reshape(many, SLICE)], pa.binary()),
                 ],
                 names=names,
             )
@@ -105,7 +113,7 @@ def _sketch(slices: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(own, np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(own), np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
             names=["slice", "counts"],
@@ -131,7 +139,7 @@ def _rare_block(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Da
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                first = np.lexsort((found, order[(found & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                first = np.argsort(np.take(order, (found & np.uint64(SKETCH - 1)).astype(np.int64)), kind="stable")
                 own = found[first[: len(found) - _needed(len(found), percent) + 1]]
                 parts.append(own)
                 nodes.append(np.full(len(own), key, np.int64))
@@ -210,10 +218,24 @@ def _bounded(percent: int):
     return (F.least("size", "other") * 100) >= (F.greatest("size", "other") * percent)
 
 
+def _reachable(percent: int):
+    """Whether ``overlap`` common n-grams of the rare block and all those beyond it can add up to the threshold.
+
+    Of two rare blocks one ends first. Up to there both sets are whole in the blocks, and beyond it that set has
+    ceil(t * size) - 1 n-grams.
+    """
+    beyond = F.ceil(F.greatest("size", "other") * percent / 100) - 1
+    return (F.col("overlap") + beyond) * (100 + percent) >= percent * (F.col("size") + F.col("other"))
+
+
 def _pair(one: str, other: str) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return scratch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+
+
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, node, component_id for each row of docs (doc_id, text; more columns are ignored).
 
@@ -238,50 +260,52 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         .select("gram", "node", "size")
     )
     shared = block.groupBy("node").agg(F.count("*").alias("shared"), F.min("size").alias("size"))
-    sets = _whole_sets(docs, n, shared.select("node"))
 
-    # one leader for each column: the node with the largest share of its rare block in common with others
+    # one leader for each column: the node with the largest share of its set in columns that others have too
     rank = F.struct(F.col("shared") / F.col("size"), F.col("node"), F.col("size"))
     ranked = block.join(shared.select("node", "shared"), "node")
-    leaders = scratch(ranked.groupBy("gram").agg(F.max(rank).alias("top")).select("gram", "top.node", "top.size"))
+    leaders = ranked.groupBy("gram").agg(F.max(rank).alias("top")).select("gram", F.col("top.node").alias("leader"), F.col("top.size").alias("other"))
     led = (
-        block.join(leaders.select("gram", F.col("node").alias("leader"), F.col("size").alias("other")), "gram")
+        block.join(leaders, "gram")
         .where((F.col("node") != F.col("leader")) & _bounded(percent))
         .groupBy("node", "leader")
-        .count()
+        .agg(F.count("*").alias("overlap"), F.first("size").alias("size"), F.first("other").alias("other"))
+        .where(_reachable(percent))
     )
-    star = led.groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-    links = scratch(_links(star.select(*_pair("node", "leader")).distinct(), sets, percent))
+    star = scratch(led.groupBy("node").agg(F.max_by("leader", F.struct("overlap", "leader")).alias("leader")).select(*_pair("node", "leader")).distinct())
+    sets = _whole_sets(docs, n, _ends(star))
+    links = scratch(_links(star, sets, percent))
     labels = union_find_table(links)
 
     # what is left: pairs of different components that share a column; one of the two is not of its column's main component
-    for whole in (False, True):
-        coloured = scratch(
-            block.join(labels, "node", "left").select("gram", "node", "size", F.coalesce("label", "node").alias("label"))
-        )
-        by_label = coloured.groupBy("gram", "label").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "size"), "node").alias("head"))
-        mixed_columns = scratch(
-            by_label.groupBy("gram")
-            .agg(F.count("*").alias("labels"), F.max(F.struct("n", "label", "head")).alias("main"))
-            .where("labels > 1")
-            .select("gram", F.col("main.label").alias("main"), F.col("main.head.node").alias("leader"), F.col("main.head.size").alias("other"))
-        )
-        minor = coloured.join(mixed_columns, "gram").where("label <> main")
-        if whole:
-            left = minor.select("gram", "node", "size", "label", "main")
-            right = coloured.select("gram", F.col("node").alias("peer"), F.col("size").alias("other"), F.col("label").alias("peer_label"))
-            # two minor ones meet twice; keep one
-            open_pairs = (
-                left.join(right, "gram")
-                .where((F.col("label") != F.col("peer_label")) & ((F.col("peer_label") == F.col("main")) | (F.col("node") < F.col("peer"))))
-                .where(_bounded(percent))
-                .select(*_pair("node", "peer"))
-                .distinct()
-            )
-        else:
-            open_pairs = minor.where(_bounded(percent)).select(*_pair("node", "leader")).distinct()
-        links = links.unionByName(scratch(_links(open_pairs, sets, percent)))
-        labels = union_find_table(links)
+    coloured = scratch(
+        block.join(labels, "node", "left").select("gram", "node", "size", F.coalesce("label", "node").alias("label"))
+    )
+    main = coloured.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram")
+    main = scratch(
+        main.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
+        .where("labels > 1")
+        .select("gram", "main")
+    )
+    minor = coloured.join(main, "gram").where("label <> main")
+    peers = coloured.select(
+        "gram", F.col("node").alias("peer"), F.col("size").alias("other"), F.col("label").alias("peer_label")
+    )
+    # two that are both not of the main component meet twice; one meeting counts
+    once = (F.col("peer_label") == F.col("main")) | (F.col("node") < F.col("peer"))
+    met = minor.join(peers, "gram").where((F.col("label") != F.col("peer_label")) & once & _bounded(percent))
+    open_pairs = (
+        met.select(*_pair("node", "peer"), "size", "other")
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("overlap"), F.first(F.least("size", "other")).alias("size"), F.first(F.greatest("size", "other")).alias("other"))
+        .where(_reachable(percent))
+        .select("a", "b")
+    )
+    open_pairs = scratch(open_pairs.join(star, ["a", "b"], "left_anti"))
+    more = _ends(open_pairs).join(sets, "node", "left_anti")
+    sets = sets.unionByName(_whole_sets(docs, n, more))
+    links = links.unionByName(scratch(_links(open_pairs, sets, percent)))
+    labels = union_find_table(links)
 
     found = rows.where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = scratch(found.groupBy("label").agg(F.min("doc_id").alias("component_id")))

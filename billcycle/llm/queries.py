@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billcycle.llm import decontaminate, mixing, ngram_join, token_ids
+from billcycle.llm import chat, decontaminate, language, mixing, ngram_join, token_counts, token_ids, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1_mixing,
         "op2_token_ids": token_ids.op2_token_ids,
         "op3_decontamination": decontaminate.op3_decontamination,
+        "op4_token_counts": token_counts.op4_token_counts,
+        "op5_language": language.op5_language,
+        "op6_vectors": vector_dedup.op6_vectors,
+        "op7_chat": chat.op7_chat,
         "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.mixing_sql(), "op3_decontamination": decontaminate.decontamination_sql()}
+    return {
+        "op1_mixing": mixing.mixing_sql(),
+        "op3_decontamination": decontaminate.decontamination_sql(),
+        "op7_chat": chat.chat_sql(),
+    }
