@@ -83,15 +83,17 @@ def union_find_table(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- inside tasks
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds one row or at most ``most`` bytes of text."""
+def steps(
+    batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES, rows: int = 1 << 14
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds one row, or at most ``most`` bytes of text and ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.array([len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()])
         begin, held = 0, 0
         for i, size in enumerate(sizes.tolist()):
-            if i > begin and held + size > most:
+            if i > begin and (held + size > most or i - begin >= rows):
                 yield batch.slice(begin, i - begin)
                 begin, held = i, 0
             held += size
@@ -142,6 +144,10 @@ class Words:
 
     def hashes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every word, number of the text it is in), in text order."""
+        return self.located(texts)[:2]
+
+    def located(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Also the first byte of each word, and the bytes: all texts with a gap between each two."""
         data = np.frombuffer(self.gap.join(x or b"" for x in texts), np.uint8)
         begin, starts, hashed = 0, [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         while begin < len(data):
@@ -154,8 +160,9 @@ class Words:
             hashed.append(found)
             begin = end
         begins = np.cumsum([0] + [len(x or b"") + 1 for x in texts])
-        cuts = np.searchsorted(np.concatenate(starts), begins)
-        return np.concatenate(hashed), np.repeat(np.arange(len(texts)), np.diff(cuts))
+        places = np.concatenate(starts)
+        where = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(places, begins)))
+        return np.concatenate(hashed), where, places, data
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billcycle.llm import chat, decontaminate, language, mixing, ngram_join, token_counts, token_ids, vector_dedup
+from billcycle.llm import (
+    chat,
+    decontaminate,
+    language,
+    lattice_lm,
+    mixing,
+    ngram_join,
+    quality,
+    token_counts,
+    token_ids,
+    vector_dedup,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +29,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language": language.op5_language,
         "op6_vectors": vector_dedup.op6_vectors,
         "op7_chat": chat.op7_chat,
+        "op8_quality": quality.op8_quality,
+        "op9_lattice_lm": lattice_lm.op9_lattice_lm,
         "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
