@@ -23,6 +23,8 @@ from billcycle.llm.common import NOT_ALNUM, Words, mixed, scratch, steps, table,
 GRAM = 5
 #: Bits of the filter with the benchmark's hashes; its size does not depend on the benchmark.
 FILTER_BITS = 1 << 24
+#: Columns of the result; a column of the documents by such a name is replaced.
+ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "candidates", "rid", "items")
 FINGERPRINT = "h: long, pos: int, t: int, ctx: binary"
 
 
@@ -110,6 +112,7 @@ def _bits(hashes: DataFrame) -> np.ndarray:
 def _document_candidates(docs: DataFrame, classes: list[int], bits: np.ndarray) -> DataFrame:
     """The rows of docs with n_words and the fingerprints whose hash may be one of the benchmark's."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    docs = docs.drop(*ADDED)
     columns = docs.columns
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns if c != "text")
 

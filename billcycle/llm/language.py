@@ -196,29 +196,28 @@ def learn(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Networ
     return train(x, y, languages)
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All columns of docs, with lang_pred and score (0 to 1) of the whole text; without a network all are unknown.
+def predict(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, with the language and its score (0 to 1) of the whole text; without a network all are unknown.
 
-    Only text is looked at. Null and empty texts and those without a letter get ``und`` and 0. A column of docs by the name
-    of a new one is replaced.
+    Only text is looked at. Null and empty texts and those without a letter get ``und`` and 0. Columns of docs by the names
+    of the new ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     if net is None:
-        return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return docs.withColumn(names[0], F.lit(UNKNOWN)).withColumn(names[1], F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    names = docs.columns
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    kept = docs.columns
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
         for batch in steps(batches):
             found, scores = predictor.texts(texts_of(batch))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                names=[*names, "lang_pred", "score"],
+                [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *names]
             )
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def op5_language(spark, folder) -> DataFrame:

@@ -277,6 +277,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+#: Columns made on the way; a column of the documents by such a name is not passed on.
+ADDED = ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "base", "sums", "rare", "rid")
+
+
 def score_texts(docs: DataFrame, path: str, fittings: int = FITTINGS, kind: str | None = None) -> DataFrame:
     """The columns of docs but text, with n_tokens, n_known, train_tokens, base_score and score of the whole text.
 
@@ -286,7 +290,7 @@ def score_texts(docs: DataFrame, path: str, fittings: int = FITTINGS, kind: str
     texts are of one kind (null is a kind; beyond KINDS kinds the rarer ones are one); it is not an input of a score.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in ADDED]
     value = F.coalesce(F.col(kind).cast("string"), F.lit("")) if kind else F.lit("")
     listed = docs.where("learn").groupBy(value.alias("value")).count().orderBy(F.desc("count"), "value").limit(KINDS).collect()
     ends = docs.where("learn").count()
@@ -382,7 +386,7 @@ def score_texts(docs: DataFrame, path: str, fittings: int = FITTINGS, kind: str
             )
 
     new = "n_tokens long, n_known long, base double, sums array<double>, rare map<string, long>"
-    found = scratch(docs.mapInArrow(score_docs, f"{schema}, {new}").withColumn("rid", F.monotonically_increasing_id()))
+    found = scratch(docs.select(*names, "text").mapInArrow(score_docs, f"{schema}, {new}").withColumn("rid", F.monotonically_increasing_id()))
     rest = found.select("rid", F.explode("rare").alias("word", "k")).join(scored, "word")
     more = [
         F.sum(F.expr(f"{c} + {math.log(OWN)} + if(k > 1, aggregate(sequence(1L, k - 1), 0D, (a, j) -> a + ln({OWN} * exp({c}) + j)), 0D)"))

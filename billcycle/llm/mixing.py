@@ -59,12 +59,11 @@ def targets(sizes: DataFrame, weights: list[float], most_repeats: int) -> DataFr
     return filled.select("source", "source_size", share.alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most_repeats: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source; more are ignored).
+def thresholds(docs: DataFrame, weights: list[float] = (1, 2, 3), most_repeats: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The sized documents (doc_id, source, size, h), and for each source its target, whole repeats and hash threshold.
 
-    taken is size times whole repeats of the source, plus size again where the document's hash is below the source's
-    threshold. The threshold is the one whose words come nearest to the target, the lower one of two. Null texts have size 0; a
-    null source is a source of its own; documents without words take nothing; an empty table gives an empty result.
+    A document is taken ``repeats`` times, and once more if its hash is below the threshold. The threshold is the one
+    whose words come nearest to the target, the lower one of two.
     """
     sized = scratch(
         docs.select(
@@ -116,20 +115,40 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most_repeats: int = 3
         )
     # the boundary is one hash value now: it is taken if that comes nearer to the target
     threshold = F.when(F.col("words") - F.col("missing") < F.col("missing"), F.col("prefix") + 1).otherwise(F.col("prefix"))
-    chosen = state.withColumn("threshold", threshold)
-    once = F.when(
-        (F.col("d.h") < F.col("s.threshold")) & (F.col("s.repeats") < most_repeats), F.col("d.size")
-    ).otherwise(F.lit(0))
+    return sized, state.select(
+        "source",
+        "source_size",
+        "target",
+        "repeats",
+        # nothing is taken beyond the whole repeats that are allowed
+        F.when(F.col("repeats") < most_repeats, threshold).otherwise(F.lit(0)).alias("threshold"),
+    )
+
+
+def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most_repeats: int = 3) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source; more are ignored).
+
+    Null texts have size 0; a null source is a source of its own; documents without words take nothing; rows equal in id and
+    text are taken equally often; an empty table gives an empty result.
+    """
+    sized, chosen = thresholds(docs, weights, most_repeats)
+    times = F.col("s.repeats") + F.when(F.col("d.h") < F.col("s.threshold"), 1).otherwise(0)
     return sized.alias("d").join(chosen.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
-        "d.doc_id",
-        "d.source",
-        "d.size",
-        "s.source_size",
-        "s.target",
-        (F.col("d.size") * F.col("s.repeats") + once).cast("long").alias("taken"),
+        "d.doc_id", "d.source", "d.size", "s.source_size", "s.target", (F.col("d.size") * times).cast("long").alias("taken")
     )
 
 
+def mixed_rows(docs: DataFrame, weights: list[float] = (1, 2, 3), most_repeats: int = 3) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; the thresholds of the sources are all that is joined."""
+    _, chosen = thresholds(docs, weights, most_repeats)
+    times = F.col("s.repeats") + F.when(
+        document_hash(F.col("d.doc_id"), F.col("d.text")) < F.col("s.threshold"), 1
+    ).otherwise(0)
+    found = docs.alias("d").join(chosen.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))).alias("copy")
+    return found.where(times > 0).select(*[F.col(f"d.`{c}`") for c in docs.columns], copies).drop("copy")
+
+
 def op1_mixing(spark, folder) -> DataFrame:
     mixed = mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
