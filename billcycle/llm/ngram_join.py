@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -28,6 +28,8 @@ SKETCH = 1 << 20
 SLICE = 1 << 14
 #: Bits of the filter by which a task knows the sets that may have a partner.
 FILTER_BITS = 1 << 24
+#: How much of the spare part of the rare blocks is used to ask for more than one common n-gram.
+DEPTH = 0.25
 #: Sets that a task remembers to have sent already.
 SEEN = 200_000
 
@@ -126,13 +128,13 @@ def _sketch(slices: DataFrame) -> np.ndarray:
 
 
 def _rare_block(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """gram, node, size: the rarest n-grams of every set, as many as the bound asks for."""
+    """gram, node, size, pos: the rarest n-grams of every set in order, as many as the bound asks for."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, order, seen = set_sizes(n), shared.value, set()
         for batch in steps(batches):
-            parts, nodes, sizes = [], [], []
+            parts, nodes, sizes, places = [], [], [], []
             for _, found, key in sets(texts_of(batch)):
                 if not len(found) or key in seen:
                     continue
@@ -143,18 +145,20 @@ def _rare_block(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Da
                 own = found[first[: len(found) - _needed(len(found), percent) + 1]]
                 parts.append(own)
                 nodes.append(np.full(len(own), key, np.int64))
-                sizes.append(np.full(len(own), len(found), np.int64))
+                sizes.append(np.full(len(own), len(found), np.int32))
+                places.append(np.arange(len(own), dtype=np.int32))
             if parts:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(parts).view(np.int64)),
                         pa.array(np.concatenate(nodes)),
                         pa.array(np.concatenate(sizes)),
+                        pa.array(np.concatenate(places)),
                     ],
-                    names=["gram", "node", "size"],
+                    names=["gram", "node", "size", "pos"],
                 )
 
-    return docs.select("text").mapInArrow(run, "gram long, node long, size long")
+    return docs.select("text").mapInArrow(run, "gram long, node long, size int, pos int")
 
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
@@ -213,19 +217,20 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _bounded(percent: int):
-    """Sizes that can reach the threshold: the smaller at least t times the larger."""
-    return (F.least("size", "other") * 100) >= (F.greatest("size", "other") * percent)
+def _may_link(percent: int) -> tuple[Column, Column]:
+    """What the sizes, and the places of one common n-gram, of two sets ask for; and the common n-grams that are then needed.
 
-
-def _reachable(percent: int):
-    """Whether ``overlap`` common n-grams of the rare block and all those beyond it can add up to the threshold.
-
-    Of two rare blocks one ends first. Up to there both sets are whole in the blocks, and beyond it that set has
-    ceil(t * size) - 1 n-grams.
+    The sets overlap in at least a = ceil(t / (1 + t) * (size + other)) n-grams, of which l are among the first
+    size - a + l of the one and the first other - a + l of the other, for every l. The rare blocks are long enough for l up to
+    a - ceil(t * larger) + 1; a larger l needs more common n-grams, but lets more of the block count.
     """
-    beyond = F.ceil(F.greatest("size", "other") * percent / 100) - 1
-    return (F.col("overlap") + beyond) * (100 + percent) >= percent * (F.col("size") + F.col("other"))
+    both, larger = F.col("size") + F.col("other"), F.greatest("size", "other")
+    overlap = F.expr(f"int((size + other) * {percent} + {99 + percent}) div {100 + percent}")
+    most = overlap - F.expr(f"(greatest(size, other) * {percent} + 99) div 100") + 1
+    needed = 1 + F.greatest(F.floor((most - 1) * DEPTH), F.lit(0))
+    fits = F.least("size", "other") * 100 >= larger * percent
+    early = (F.col("pos") + overlap < F.col("size") + needed) & (F.col("other_pos") + overlap < F.col("other") + needed)
+    return fits & early & (both > 0), needed
 
 
 def _pair(one: str, other: str) -> list:
@@ -257,20 +262,22 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         .withColumn("high", F.max("node").over(column))
         .where("low < high")
         .dropDuplicates(["gram", "node"])
-        .select("gram", "node", "size")
+        .select("gram", "node", "size", "pos")
     )
+    may_link, needed = _may_link(percent)
     shared = block.groupBy("node").agg(F.count("*").alias("shared"), F.min("size").alias("size"))
 
     # one leader for each column: the node with the largest share of its set in columns that others have too
-    rank = F.struct(F.col("shared") / F.col("size"), F.col("node"), F.col("size"))
+    rank = F.struct(F.col("shared") / F.col("size"), F.col("node"), F.col("size"), F.col("pos"))
     ranked = block.join(shared.select("node", "shared"), "node")
-    leaders = ranked.groupBy("gram").agg(F.max(rank).alias("top")).select("gram", F.col("top.node").alias("leader"), F.col("top.size").alias("other"))
+    leaders = ranked.groupBy("gram").agg(F.max(rank).alias("top")).select(
+        "gram", F.col("top.node").alias("leader"), F.col("top.size").alias("other"), F.col("top.pos").alias("other_pos")
+    )
     led = (
         block.join(leaders, "gram")
-        .where((F.col("node") != F.col("leader")) & _bounded(percent))
-        .groupBy("node", "leader")
-        .agg(F.count("*").alias("overlap"), F.first("size").alias("size"), F.first("other").alias("other"))
-        .where(_reachable(percent))
+        .where((F.col("node") != F.col("leader")) & may_link)
+        .groupBy("node", "leader", "size", "other")
+        .agg(F.count("*").alias("overlap"))
     )
     star = scratch(led.groupBy("node").agg(F.max_by("leader", F.struct("overlap", "leader")).alias("leader")).select(*_pair("node", "leader")).distinct())
     sets = _whole_sets(docs, n, _ends(star))
@@ -279,7 +286,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
     # what is left: pairs of different components that share a column; one of the two is not of its column's main component
     coloured = scratch(
-        block.join(labels, "node", "left").select("gram", "node", "size", F.coalesce("label", "node").alias("label"))
+        block.join(labels, "node", "left").select("gram", "node", "size", "pos", F.coalesce("label", "node").alias("label"))
     )
     main = coloured.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram")
     main = scratch(
@@ -289,16 +296,20 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     )
     minor = coloured.join(main, "gram").where("label <> main")
     peers = coloured.select(
-        "gram", F.col("node").alias("peer"), F.col("size").alias("other"), F.col("label").alias("peer_label")
+        "gram",
+        F.col("node").alias("peer"),
+        F.col("size").alias("other"),
+        F.col("pos").alias("other_pos"),
+        F.col("label").alias("peer_label"),
     )
     # two that are both not of the main component meet twice; one meeting counts
     once = (F.col("peer_label") == F.col("main")) | (F.col("node") < F.col("peer"))
-    met = minor.join(peers, "gram").where((F.col("label") != F.col("peer_label")) & once & _bounded(percent))
+    met = minor.join(peers, "gram").where((F.col("label") != F.col("peer_label")) & once & may_link)
     open_pairs = (
-        met.select(*_pair("node", "peer"), "size", "other")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("overlap"), F.first(F.least("size", "other")).alias("size"), F.first(F.greatest("size", "other")).alias("other"))
-        .where(_reachable(percent))
+        met.select(*_pair("node", "peer"), F.least("size", "other").alias("size"), F.greatest("size", "other").alias("other"))
+        .groupBy("a", "b", "size", "other")
+        .agg(F.count("*").alias("overlap"))
+        .where(F.col("overlap") >= needed)
         .select("a", "b")
     )
     open_pairs = scratch(open_pairs.join(star, ["a", "b"], "left_anti"))

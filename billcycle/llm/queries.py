@@ -18,10 +18,19 @@ from billcycle.llm import (
     token_ids,
     vector_dedup,
 )
+from billcycle.llm.common import ship_code
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_code(spark)
+        return query(spark, folder)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_mixing": mixing.op1_mixing,
         "op2_token_ids": token_ids.op2_token_ids,
         "op3_decontamination": decontaminate.op3_decontamination,
@@ -33,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lattice_lm": lattice_lm.op9_lattice_lm,
         "op10_ngram_join": ngram_join.op10_ngram_join,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

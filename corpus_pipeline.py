@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billcycle.llm.common import scratch, table
+from billcycle.llm.common import scratch, ship_code, table
 from billcycle.llm.decontaminate import decontaminate
 from billcycle.llm.language import learn, predict
 from billcycle.llm.mixing import mixed_rows
@@ -76,6 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = scratch(stage(spark, docs, sf_dir))
