@@ -128,7 +128,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes of the lower-cased (A-Z) words of many texts at once; a word is a longest run of bytes outside ``gaps``.
+    """Hashes of the words of many texts at once, lower-cased (A-Z) or not; a word is a longest run of bytes outside ``gaps``.
 
     A word's polynomial is the difference of two running sums, shifted to the word's start; the sums begin anew in every
     stretch of STRETCH bytes (longer only inside a longer word), so memory does not follow the length of a text.
@@ -136,12 +136,12 @@ class Words:
 
     BASE = 0x100000001B3
 
-    def __init__(self, gaps: bytes) -> None:
+    def __init__(self, gaps: bytes, lower: bool = True) -> None:
         self.inside = np.ones(256, bool)
         self.inside[np.frombuffer(gaps, np.uint8)] = False
         self.gap = gaps[:1]
         self.values = np.arange(1, 257, dtype=np.uint64)
-        for upper in range(65, 91):
+        for upper in range(65, 91 if lower else 65):
             self.values[upper] = self.values[upper + 32]
         self._grow(2 * STRETCH)
 
@@ -149,39 +149,44 @@ class Words:
         self.powers = np.cumprod(np.full(n, self.BASE, np.uint64))
         self.back = np.cumprod(np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64))
 
-    def _stretch(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each word in the bytes."""
+    def bounds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each word in the bytes."""
         inside = np.zeros(len(data) + 2, bool)
         np.take(self.inside, data, out=inside[1:-1])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edge[::2], edge[1::2]
-        if len(data) > len(self.powers):
+        return edge[::2], edge[1::2]
+
+    def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each range of the bytes."""
+        if len(data) >= len(self.powers):
             self._grow(2 * len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(np.take(self.values, data) * self.powers[: len(data)], out=sums[1:])
-        return starts, mixed((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+        return mixed((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
 
     def hashes(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every word, number of the text it is in), in text order."""
         return self.located(texts)[:2]
 
-    def located(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Also the first byte of each word, and the bytes: all texts with a gap between each two."""
+    def located(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Also start and end of each word in the bytes of all texts with a gap between each two, and these bytes."""
         data = np.frombuffer(self.gap.join(x or b"" for x in texts), np.uint8)
-        begin, starts, hashed = 0, [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        begin, hashed = 0, [np.empty(0, np.uint64)]
+        starts, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while begin < len(data):
             end = min(begin + STRETCH, len(data))
             while end < len(data) and self.inside[data[end]]:  # to the end of the word
                 rest = np.flatnonzero(~self.inside[data[end : end + STRETCH]])
                 end += int(rest[0]) if len(rest) else min(STRETCH, len(data) - end)
-            where, found = self._stretch(data[begin:end])
-            starts.append(where + begin)
-            hashed.append(found)
+            first, last = self.bounds(data[begin:end])
+            starts.append(first + begin)
+            ends.append(last + begin)
+            hashed.append(self.ranges(data[begin:end], first, last))
             begin = end
         begins = np.cumsum([0] + [len(x or b"") + 1 for x in texts])
         places = np.concatenate(starts)
         where = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(places, begins)))
-        return np.concatenate(hashed), where, places, data
+        return np.concatenate(hashed), where, places, np.concatenate(ends), data
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:

@@ -42,7 +42,7 @@ class Features:
 
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(number of the text, feature) of every distinct indicator, sorted by text; at most 2^14 texts."""
-        hashed, where, starts, data = self.words.located(texts)
+        hashed, where, starts, _, data = self.words.located(texts)
         place = np.uint64((1 << FEATURE_BITS) - 1)
         parts: list[np.ndarray] = []
 

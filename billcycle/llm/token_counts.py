@@ -17,16 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from billcycle.llm.common import scratch, steps, table
-from billcycle.llm.token_ids import tokenizer_path
+from billcycle.llm.common import Words, scratch, steps, table, texts_of
+from billcycle.llm.token_ids import ODD_SPACE, memo_of_process, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Characters of a chunk, and of the overlap with the next one.
 CHUNK = 1 << 14
 OVERLAP = 256
-#: Runs between blanks whose number of tokens a task keeps; it starts over beyond that.
-MEMO = 400_000
 
 
 class Counter:
@@ -36,28 +34,35 @@ class Counter:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        #: White space other than space and line feed, in either library's sense
-        self.odd = regex.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-        self.runs = regex.compile(r"[ \n]*[^ \n]+|[ \n]+")
+        self.tokenizer, self.memo = Tokenizer.from_file(path), memo_of_process(path, "", " \n", None)
+        self.words = Words(b" \n", lower=False)
+        self.odd = regex.compile(ODD_SPACE)
+        #: Bytes that such white space may begin with
+        self.maybe = np.zeros(256, bool)
+        self.maybe[[*range(9), *range(11, 32), 0xC2, 0xE1, 0xE2, 0xE3]] = True
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Characters next to a chunk's end that may be encoded otherwise when the text goes on
         self.margin = max([len(x) for x in special], default=0) + 2
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def counts(self, texts: list[bytes]) -> list[int]:
         """Tokens of each text. A blank after another character begins a piece, so the runs between are counted one by one."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, plain = self.memo, [not self.odd.search(x) for x in texts]
-        split = [self.runs.findall(x) if p else [x] for x, p in zip(texts, plain, strict=True)]
-        new = list({r for runs in split for r in runs if r not in memo})
-        found = {r: len(x) for r, x in zip(new, self.encoded(new), strict=True)}
-        memo.update((r, n) for r, n in found.items() if len(r) <= 64)
-        found_or_kept = lambda r: memo[r] if r in memo else found[r]
-        return [sum(map(found_or_kept, runs)) for runs in split]
-
-    def encoded(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        if not texts:
+            return []
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([len(x) for x in texts])
+        begins = np.concatenate([[0], ends[:-1]])
+        # a piece is what is between the ends of two words, cut where a text ends
+        cuts = np.unique(np.concatenate([self.words.bounds(data)[1], begins, ends]))
+        starts, stops = cuts[:-1], cuts[1:]
+        at = self.memo.places(self.words.ranges(data, starts, stops), starts, stops, joined)
+        totals = np.bincount(np.searchsorted(ends, starts, side="right"), self.memo.sizes[at], len(texts)).astype(int)
+        doubtful = np.add.reduceat(self.maybe[np.append(data, 0)], begins) * (ends > begins)
+        for i in np.flatnonzero(doubtful).tolist():
+            whole = texts[i].decode()
+            if self.odd.search(whole):
+                totals[i] = len(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0])
+        return totals.tolist()
 
     def boundaries(self, chunk: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Characters at which a piece begins, tokens before each, and tokens in all."""
@@ -65,7 +70,7 @@ class Counter:
         pieces = np.array(found.word_ids, np.int64)
         firsts = np.flatnonzero(np.diff(pieces, prepend=-1))
         # pieces cover the text without gaps, so a piece begins where its first token does
-        begins = np.array([found.offsets[i][0] for i in firsts.tolist()], np.int64)
+        begins = np.array(found.offsets, np.int64).reshape(-1, 2)[firsts, 0]
         return begins, firsts, len(pieces)
 
 
@@ -84,7 +89,8 @@ def _cut(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         for batch in steps(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             short = [i for i, x in enumerate(texts) if len(x) <= chunk + overlap]
-            counts = counter.counts([texts[i] for i in short])
+            raw = texts_of(batch)
+            counts = counter.counts([raw[i] or b"" for i in short])
             rows = [(i, n, 0, 0, True, None) for i, n in zip(short, counts, strict=True)]
             for i, x in enumerate(texts):
                 if len(x) > chunk + overlap:

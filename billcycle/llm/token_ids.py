@@ -23,15 +23,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from billcycle.llm.common import mixed, shared_folder, steps, table
+from billcycle.llm.common import Words, mixed, shared_folder, steps, table, texts_of
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Expected keys of one part of the index, and of one bucket of a part.
 PART_KEYS = 4096
 BUCKET_KEYS = 4
-#: Words whose ids a task keeps; it starts over beyond that.
-MEMO = 300_000
+#: Pieces of text whose ids a Python worker remembers.
+MEMO = 400_000
+#: Bytes of text that are encoded at once, unless one text is longer.
+STEP_BYTES = 1 << 22
+#: White space other than space and line feed, in the sense of any of the libraries.
+ODD_SPACE = r"[^\S \n]|[\x1c-\x1f\x85]"
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,25 +44,138 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo:
+    """What a tokenizer makes of pieces of text, by a 64-bit hash of the piece; the ones longest unused are forgotten."""
+
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], keep_ids: np.dtype | None) -> None:
+        self.encode, self.kind = encode, keep_ids
+        self.keys, self.sizes, self.used = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.starts, self.ids = np.empty(0, np.int64), np.empty(0, keep_ids or np.uint8)
+        self.now = 0
+
+    def places(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
+        """For every piece (its hash and its range of the bytes) where it stands in the memo; valid until the next call."""
+        self.now += 1
+        wanted, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.ones(len(wanted), bool)
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            new = self.keys[near] != wanted
+            self.used[near[~new]] = self.now
+        if new.any():
+            at = first[new]
+            pieces = [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self._learn(wanted[new], self.encode(pieces))
+        found = np.searchsorted(self.keys, wanted)
+        self.used[found] = self.now
+        return found[back]
+
+    def _learn(self, keys: np.ndarray, found: list[np.ndarray]) -> None:
+        if len(self.keys) > MEMO:
+            keep = self.used == self.now
+            keep[np.argsort(-self.used, kind="stable")[: MEMO // 2]] = True
+            if self.kind:
+                taken = _spread(self.starts[keep], self.sizes[keep])
+                self.ids = self.ids[taken]
+                self.starts = np.cumsum(self.sizes[keep]) - self.sizes[keep]
+            self.keys, self.sizes, self.used = self.keys[keep], self.sizes[keep], self.used[keep]
+        sizes = np.array([len(x) for x in found], np.int64)
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.used = np.concatenate([self.used, np.full(len(sizes), self.now)])[order]
+        if self.kind:
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])[order]
+            self.ids = np.concatenate([self.ids, *found]).astype(self.kind)
+        self.sizes = np.concatenate([self.sizes, sizes])[order]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def piece_encoder(path: str, between: str, begin: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Function that encodes many pieces in one call: joined by ``between``, the ids dealt out by the offsets of the library.
+
+    The caller sees to it that ``between`` neither joins nor changes pieces. Those for which that may not hold are encoded alone: those
+    with a special string, white space other than space and line feed, or white space at the end, and those that don't
+    begin with one of ``begin`` where that is given.
+    """
+    import regex
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    special = [regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    doubtful = regex.compile("|".join([*special, ODD_SPACE]))
+
+    def alone(piece: str) -> bool:
+        return not piece or piece[-1] in " \n" or (begin and piece[0] not in begin) or bool(doubtful.search(piece))
+
+    def encode(pieces: list[str]) -> list[np.ndarray]:
+        found: list[np.ndarray | None] = [None] * len(pieces)
+        for first in range(0, len(pieces), 4096):
+            part = range(first, min(first + 4096, len(pieces)))
+            apart = [i for i in part if alone(pieces[i])] if begin or doubtful.search(between.join(pieces[i] for i in part)) else []
+            if apart:
+                whole = tokenizer.encode_batch_fast([pieces[i] for i in apart], add_special_tokens=False)
+                for i, x in zip(apart, whole, strict=True):
+                    found[i] = np.array(x.ids, np.int64)
+                part = [i for i in part if found[i] is None]
+            if not part:
+                continue
+            joined = tokenizer.encode(between.join(pieces[i] for i in part), add_special_tokens=False)
+            ids, places = np.array(joined.ids, np.int64), np.array(joined.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ends = np.cumsum([len(pieces[i]) + len(between) for i in part])
+            cuts = np.searchsorted(places, ends).tolist()
+            for i, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True):
+                found[i] = ids[a:b]
+        return found
+
+    return encode
+
+
+_memos: dict[tuple, Memo] = {}
+
+
+def memo_of_process(path: str, between: str, begin: str, keep_ids: str | None) -> Memo:
+    """The one of this Python worker, so that its tasks share what they have met."""
+    key = (path, between, begin, keep_ids)
+    if key not in _memos:
+        _memos[key] = Memo(piece_encoder(path, between, begin), np.dtype(keep_ids) if keep_ids else None)
+    return _memos[key]
+
+
 def word_encoder(path: str, width: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Function from texts to their ids as bytes, for a tokenizer that drops white space and joins no words.
+    """Function from texts (UTF-8) to their ids as bytes, for a tokenizer that drops white space and joins no words.
 
     Such a tokenizer gives a text the ids of its words one after the other, where words are cut at spaces and line feeds;
-    the tests hold this against whole texts. A word is encoded by the library once and then looked up.
+    the tests hold this against whole texts.
     """
-    from tokenizers import Tokenizer
+    import json
 
-    tokenizer, memo = Tokenizer.from_file(path), {"": b""}
+    from tokenizers import Tokenizer
 
-    def encode(texts: list[str | None]) -> list[bytes]:
-        if len(memo) > MEMO:
-            memo.clear()
-            memo[""] = b""
-        split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        new = list({w for words in split for w in words if w not in memo})
-        found = tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        memo.update((w, np.array(x.ids, width).tobytes()) for w, x in zip(new, found, strict=True))
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+    tokenizer = Tokenizer.from_file(path)
+    # where the tokenizer itself lower-cases, words that differ in the case of A to Z only are one
+    lower = '"Lowercase"' in json.dumps(json.loads(tokenizer.to_str())["normalizer"])
+    special = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    memo, words = memo_of_process(path, " ", "", width), Words(b" \n", lower=lower)
+
+    def encode(texts: list[bytes | None]) -> list[bytes]:
+        hashed, where, starts, ends, data = words.located(texts)
+        joined = data.tobytes()
+        at = memo.places(hashed, starts, ends, joined)
+        sizes = memo.sizes[at]
+        ids = memo.ids[_spread(memo.starts[at], sizes)].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(where, sizes, len(texts)))]).astype(np.int64) * memo.kind.itemsize
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if any(s in joined.lower() for s in special):  # these are not lower-cased
+            for i, text in enumerate(texts):
+                if text and any(s in text.lower() for s in special):
+                    whole = tokenizer.encode(text.decode(), add_special_tokens=False)
+                    out[i] = np.array(whole.ids, memo.kind).tobytes()
+        return out
 
     return encode
 
@@ -93,11 +210,11 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) ->
         out, offset, previous, ordinal = None, 0, object(), 0
         size = np.dtype(width).itemsize
         try:
-            for batch in steps(batches):
+            for batch in steps(batches, most=STEP_BYTES):
                 out = out or files.open_output_stream(f"{root}/ids/{name}")
                 keys = batch.column("doc_id").to_pylist()
                 rows = []
-                for key, ids in zip(keys, encode(batch.column("text").to_pylist()), strict=True):
+                for key, ids in zip(keys, encode(texts_of(batch)), strict=True):
                     ordinal = ordinal + 1 if key == previous else 0
                     previous = key
                     out.write(ids)
