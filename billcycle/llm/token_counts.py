@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billcycle.llm.common import Words, scratch, steps, table, texts_of
-from billcycle.llm.token_ids import ODD_SPACE, memo_of_process, tokenizer_path
+from billcycle.llm.token_ids import ODD_SPACE, STEP_BYTES, memo_of_process, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -44,16 +44,19 @@ class Counter:
         #: Characters next to a chunk's end that may be encoded otherwise when the text goes on
         self.margin = max([len(x) for x in special], default=0) + 2
 
+    def _runs(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where runs of blanks and the word after them begin and end; a blank after another character begins a piece."""
+        return np.unique(np.concatenate([self.words.bounds(data)[1], begins, ends]))
+
     def counts(self, texts: list[bytes]) -> list[int]:
-        """Tokens of each text. A blank after another character begins a piece, so the runs between are counted one by one."""
+        """Tokens of each text, run by run; the library gets whole texts that have other white space."""
         if not texts:
             return []
         joined = b"".join(texts)
         data = np.frombuffer(joined, np.uint8)
         ends = np.cumsum([len(x) for x in texts])
         begins = np.concatenate([[0], ends[:-1]])
-        # a piece is what is between the ends of two words, cut where a text ends
-        cuts = np.unique(np.concatenate([self.words.bounds(data)[1], begins, ends]))
+        cuts = self._runs(data, begins, ends)
         starts, stops = cuts[:-1], cuts[1:]
         at = self.memo.places(self.words.ranges(data, starts, stops), starts, stops, joined)
         totals = np.bincount(np.searchsorted(ends, starts, side="right"), self.memo.sizes[at], len(texts)).astype(int)
@@ -65,13 +68,23 @@ class Counter:
         return totals.tolist()
 
     def boundaries(self, chunk: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """Characters at which a piece begins, tokens before each, and tokens in all."""
-        found = self.tokenizer.encode(chunk, add_special_tokens=False)
-        pieces = np.array(found.word_ids, np.int64)
-        firsts = np.flatnonzero(np.diff(pieces, prepend=-1))
-        # pieces cover the text without gaps, so a piece begins where its first token does
-        begins = np.array(found.offsets, np.int64).reshape(-1, 2)[firsts, 0]
-        return begins, firsts, len(pieces)
+        """Characters at which pieces begin, tokens before each, and tokens in all.
+
+        Where runs begin, or with other white space wherever the library's pieces do.
+        """
+        if self.odd.search(chunk):
+            found = self.tokenizer.encode(chunk, add_special_tokens=False)
+            # pieces cover the text without gaps, so a piece begins where its first token does
+            firsts = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64), prepend=-1))
+            return np.array(found.offsets, np.int64).reshape(-1, 2)[firsts, 0], firsts, len(found)
+        raw = chunk.encode()
+        data = np.frombuffer(raw, np.uint8)
+        cuts = self._runs(data, np.array([0]), np.array([len(data)]))
+        starts, stops = cuts[:-1], cuts[1:]
+        sizes = self.memo.sizes[self.memo.places(self.words.ranges(data, starts, stops), starts, stops, raw)]
+        characters = np.cumsum((data & 0xC0) != 0x80)
+        total = int(sizes.sum())
+        return characters[starts] - 1, np.cumsum(sizes) - sizes, total
 
 
 _ENDS = "head array<struct<at: long, before: long>>, tail array<struct<at: long, before: long>>"
@@ -86,7 +99,7 @@ def _cut(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in steps(batches):
+        for batch in steps(batches, most=STEP_BYTES):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             short = [i for i, x in enumerate(texts) if len(x) <= chunk + overlap]
             raw = texts_of(batch)
