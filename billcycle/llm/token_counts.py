@@ -67,24 +67,33 @@ class Counter:
                 totals[i] = len(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0])
         return totals.tolist()
 
-    def boundaries(self, chunk: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """Characters at which pieces begin, tokens before each, and tokens in all.
+    def boundaries(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each chunk the characters at which pieces begin, the tokens before each, and the tokens in all.
 
-        Where runs begin, or with other white space wherever the library's pieces do.
+        Pieces begin where runs do, or in chunks with other white space wherever the library's pieces do.
         """
-        if self.odd.search(chunk):
-            found = self.tokenizer.encode(chunk, add_special_tokens=False)
-            # pieces cover the text without gaps, so a piece begins where its first token does
-            firsts = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64), prepend=-1))
-            return np.array(found.offsets, np.int64).reshape(-1, 2)[firsts, 0], firsts, len(found)
-        raw = chunk.encode()
-        data = np.frombuffer(raw, np.uint8)
-        cuts = self._runs(data, np.array([0]), np.array([len(data)]))
+        out: list = [None] * len(chunks)
+        for i, chunk in enumerate(chunks):
+            if self.odd.search(chunk):
+                found = self.tokenizer.encode(chunk, add_special_tokens=False)
+                # pieces cover the text without gaps, so a piece begins where its first token does
+                firsts = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64), prepend=-1))
+                out[i] = (np.array(found.offsets, np.int64).reshape(-1, 2)[firsts, 0], firsts, len(found))
+        plain = [i for i, x in enumerate(out) if x is None]
+        raw = [chunks[i].encode() for i in plain]
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([0] + [len(x) for x in raw])
+        cuts = self._runs(data, ends[:-1], ends[1:])
         starts, stops = cuts[:-1], cuts[1:]
-        sizes = self.memo.sizes[self.memo.places(self.words.ranges(data, starts, stops), starts, stops, raw)]
-        characters = np.cumsum((data & 0xC0) != 0x80)
-        total = int(sizes.sum())
-        return characters[starts] - 1, np.cumsum(sizes) - sizes, total
+        places = self.memo.places(self.words.ranges(data, starts, stops), starts, stops, joined)
+        before = np.concatenate([[0], np.cumsum(self.memo.sizes[places])])
+        characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        first = np.searchsorted(cuts, ends)
+        for k, i in enumerate(plain):
+            a, b = first[k], first[k + 1]
+            out[i] = (characters[starts[a:b]] - characters[ends[k]], before[a:b] - before[a], int(before[b] - before[a]))
+        return out
 
 
 _ENDS = "head array<struct<at: long, before: long>>, tail array<struct<at: long, before: long>>"
@@ -126,16 +135,14 @@ def _count_chunks(parts: DataFrame, path: str, overlap: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in steps(batches, "piece"):
+        for batch in steps(batches, "piece", STEP_BYTES):
             pieces, total, begins, chunks, lasts = (
                 batch.column(c).to_pylist() for c in ("piece", "n_tokens", "begin", "chunk", "last")
             )
             heads, tails = [None] * len(pieces), [None] * len(pieces)
-            for i, piece in enumerate(pieces):
-                if piece is None:
-                    continue
-                at, before, total[i] = counter.boundaries(piece)
-                size = len(piece)
+            cut = [i for i, x in enumerate(pieces) if x is not None]
+            for i, (at, before, tokens) in zip(cut, counter.boundaries([pieces[i] for i in cut]), strict=True):
+                total[i], size = tokens, len(pieces[i])
                 head = at < overlap - counter.margin
                 tail = (at >= size - overlap) & (at < size - counter.margin)
                 for keep, out, wanted in ((head, heads, chunks[i] > 0), (tail, tails, not lasts[i])):

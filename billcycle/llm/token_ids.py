@@ -80,14 +80,13 @@ class Memo:
                 self.starts = np.cumsum(self.sizes[keep]) - self.sizes[keep]
             self.keys, self.sizes, self.used = self.keys[keep], self.sizes[keep], self.used[keep]
         sizes = np.array([len(x) for x in found], np.int64)
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.used = np.concatenate([self.used, np.full(len(sizes), self.now)])[order]
+        place = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys = np.insert(self.keys, place, keys)
+        self.used = np.insert(self.used, place, self.now)
         if self.kind:
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])[order]
+            self.starts = np.insert(self.starts, place, len(self.ids) + np.cumsum(sizes) - sizes)
             self.ids = np.concatenate([self.ids, *found]).astype(self.kind)
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        self.sizes = np.insert(self.sizes, place, sizes)
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
