@@ -28,8 +28,6 @@ SKETCH = 1 << 20
 SLICE = 1 << 14
 #: Bits of the filter by which a task knows the sets that may have a partner.
 FILTER_BITS = 1 << 24
-#: How much of the spare part of the rare blocks is used to ask for more than one common n-gram.
-DEPTH = 0.25
 #: Sets that a task remembers to have sent already.
 SEEN = 200_000
 
@@ -217,20 +215,15 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _may_link(percent: int) -> tuple[Column, Column]:
-    """What the sizes, and the places of one common n-gram, of two sets ask for; and the common n-grams that are then needed.
+def _may_link(percent: int) -> Column:
+    """What the sizes of two sets, and the places of one common n-gram, ask for.
 
-    The sets overlap in at least a = ceil(t / (1 + t) * (size + other)) n-grams, of which l are among the first
-    size - a + l of the one and the first other - a + l of the other, for every l. The rare blocks are long enough for l up to
-    a - ceil(t * larger) + 1; a larger l needs more common n-grams, but lets more of the block count.
+    Linked sets overlap in at least a = ceil(t / (1 + t) * (size + other)) n-grams, so one of these is among the first
+    size - a + 1 of the one and the first other - a + 1 of the other. For sets of about one size that is half a rare block.
     """
-    both, larger = F.col("size") + F.col("other"), F.greatest("size", "other")
     overlap = F.expr(f"int((size + other) * {percent} + {99 + percent}) div {100 + percent}")
-    most = overlap - F.expr(f"(greatest(size, other) * {percent} + 99) div 100") + 1
-    needed = 1 + F.greatest(F.floor((most - 1) * DEPTH), F.lit(0))
-    fits = F.least("size", "other") * 100 >= larger * percent
-    early = (F.col("pos") + overlap < F.col("size") + needed) & (F.col("other_pos") + overlap < F.col("other") + needed)
-    return fits & early & (both > 0), needed
+    fits = F.least("size", "other") * 100 >= F.greatest("size", "other") * percent
+    return fits & (F.col("pos") + overlap <= F.col("size")) & (F.col("other_pos") + overlap <= F.col("other"))
 
 
 def _pair(one: str, other: str) -> list:
@@ -264,7 +257,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         .dropDuplicates(["gram", "node"])
         .select("gram", "node", "size", "pos")
     )
-    may_link, needed = _may_link(percent)
+    may_link = _may_link(percent)
     shared = block.groupBy("node").agg(F.count("*").alias("shared"), F.min("size").alias("size"))
 
     # one leader for each column: the node with the largest share of its set in columns that others have too
@@ -305,13 +298,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     # two that are both not of the main component meet twice; one meeting counts
     once = (F.col("peer_label") == F.col("main")) | (F.col("node") < F.col("peer"))
     met = minor.join(peers, "gram").where((F.col("label") != F.col("peer_label")) & once & may_link)
-    open_pairs = (
-        met.select(*_pair("node", "peer"), F.least("size", "other").alias("size"), F.greatest("size", "other").alias("other"))
-        .groupBy("a", "b", "size", "other")
-        .agg(F.count("*").alias("overlap"))
-        .where(F.col("overlap") >= needed)
-        .select("a", "b")
-    )
+    open_pairs = met.select(*_pair("node", "peer")).distinct()
     open_pairs = scratch(open_pairs.join(star, ["a", "b"], "left_anti"))
     more = _ends(open_pairs).join(sets, "node", "left_anti")
     sets = sets.unionByName(_whole_sets(docs, n, more))
