@@ -34,6 +34,14 @@ def json_value(json_col: str | Column, path: str, dtype: str = "string") -> Colu
     return value if dtype == "string" else value.try_cast(dtype)
 
 
+def typed(value: str, dtype: str) -> str:
+    """SQL text of a string value as ``dtype``, NULL if it is none. A whole number may be written ``3.0``."""
+    if dtype not in ("int", "bigint"):
+        return f"try_cast({value} as {dtype})"
+    exact = f"try_cast({value} as decimal(38,6))"
+    return f"if({exact} = floor({exact}), try_cast({exact} as {dtype}), null)"
+
+
 def parse_json(
     df: DataFrame, json_col: str, fields: dict[str, tuple[str, str]], required: dict[str, str | None] | None = None
 ) -> DataFrame:
@@ -50,6 +58,4 @@ def parse_json(
     for name, wanted in (required or {}).items():
         raw = F.col(f"_json.{fields[name][0]}")
         opened = opened.where(raw.isNotNull() if wanted is None else raw == wanted)
-    return opened.selectExpr(
-        *keep, *[f"try_cast(_json.{path} as {dtype}) as {name}" for name, (path, dtype) in fields.items()]
-    )
+    return opened.selectExpr(*keep, *[f"{typed(f'_json.{path}', dtype)} as {name}" for name, (path, dtype) in fields.items()])

@@ -22,7 +22,6 @@ from billcycle.schemas import (
     OVERDUE_STATE,
     PAYMENT_PATH,
     PRICE_PATH,
-    RENTAL_VERTICAL,
 )
 
 
@@ -70,7 +69,7 @@ def billable_next_month(
     purchase_orders: DataFrame,
     *,
     as_of: str | dt.date,
-    vertical: str | None = RENTAL_VERTICAL,
+    vertical: str | None,
     holding: Holding = ITEM_HOLDING,
 ) -> DataFrame:
     """Holdings not picked up before next month, one row per purchase link, cancelled ones included.
@@ -109,7 +108,7 @@ def current_base(
     *,
     as_of: str | dt.date,
     keep_rule: str = "cycle_end",
-    vertical: str | None = RENTAL_VERTICAL,
+    vertical: str | None,
     holding: Holding = ITEM_HOLDING,
     entity_ids: Sequence[int] | None = None,
     prefer_live: bool = False,
@@ -193,7 +192,7 @@ def billing_transitions(
     state_transitions: DataFrame,
     events: DataFrame,
     *,
-    vertical: str | None = RENTAL_VERTICAL,
+    vertical: str | None,
     entity_types: Sequence[str] = (ITEM, ATTACHMENT),
     entity_ids: Sequence[int] | None = None,
 ) -> DataFrame:
@@ -214,14 +213,17 @@ def state_transitions_for_base(
     events: DataFrame,
     base: DataFrame,
     *,
-    vertical: str | None = RENTAL_VERTICAL,
+    vertical: str | None,
     entity_types: Sequence[str] = (ITEM, ATTACHMENT),
 ) -> DataFrame:
     """Transitions with one of the history events, of entities in the base."""
+    return of_base(billing_transitions(state_transitions, events, vertical=vertical, entity_types=entity_types), base)
+
+
+def of_base(transitions: DataFrame, base: DataFrame) -> DataFrame:
+    """Transitions of entities in the base, before anything is reduced."""
     wanted = base.select("entity_type", F.col("id").alias("entity_id"))
-    return billing_transitions(
-        state_transitions, events, vertical=vertical, entity_types=entity_types
-    ).join(wanted, ["entity_type", "entity_id"], "left_semi")
+    return transitions.join(wanted, ["entity_type", "entity_id"], "left_semi")
 
 
 def cycle_tellers(transitions: DataFrame) -> DataFrame:

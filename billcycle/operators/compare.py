@@ -11,12 +11,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billcycle.functions.dates import month_start
 from billcycle.functions.money import as_amount, money_sum
-from billcycle.schemas import PERIOD_TYPES
 
 # fixed values: the change drivers, and the difference up to which a bridge counts as balanced
 CHURNED = "churned"
@@ -43,6 +42,11 @@ def stack_sides(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame
     )
 
 
+def unmatched() -> Column:
+    """Part of the key of stacked sides: a NULL id equals no id of the other side, so its rows stay apart by side."""
+    return F.when(F.col("entity_id").isNull(), F.col("_in_b")).alias("_unmatched")
+
+
 def presence_summary(a: DataFrame, b: DataFrame, *, left: str = "feb", right: str = "mar") -> DataFrame:
     """One row: distinct entities in a, in b, in both, only in a, only in b."""
     sides = stack_sides(a, b, ["entity_id"]).where(F.col("entity_id").isNotNull())
@@ -61,7 +65,8 @@ def presence_summary(a: DataFrame, b: DataFrame, *, left: str = "feb", right: st
 
 def only_in_a(a: DataFrame, b: DataFrame, key: str = "entity_id", *, ordered: bool = False) -> DataFrame:
     """All rows of ``a`` whose key ``b`` does not hold (churned)."""
-    rows = a.join(b.select(key).distinct(), key, "left_anti")
+    # no distinct below the join: it is not needed, and Spark splits a hot key only between plain shuffles
+    rows = a.join(b.select(key), key, "left_anti")
     return rows.orderBy(key) if ordered else rows
 
 
@@ -70,10 +75,13 @@ def only_in_b(a: DataFrame, b: DataFrame, key: str = "entity_id", *, ordered: bo
     return only_in_a(b, a, key, ordered=ordered)
 
 
+CYCLE_KEY = ("entity_id", "period_start", "period_end")
+
+
 def common_side_by_side(
     a: DataFrame,
     b: DataFrame,
-    keys: Sequence[str] = ("entity_id",),
+    keys: Sequence[str] = CYCLE_KEY,
     *,
     left: str = "feb",
     right: str = "mar",
@@ -81,9 +89,10 @@ def common_side_by_side(
 ) -> DataFrame:
     """Inner join with every other column prefixed.
 
-    With the default key the result is what the comparison sheet lists: each of an entity's cycles
-    in a beside each of its cycles in b. With ``("entity_id", "period_start", "period_end")`` a
-    cycle meets only itself in the other month and the result is as long as the input.
+    By default a cycle meets only itself in the other month and the result is as long as the input.
+    With ``("entity_id",)`` the result is what the comparison sheet lists, each of an entity's cycles in a
+    beside each of its cycles in b: m x n rows for an entity of m and n cycles, so ask for it
+    only where entities have few.
     """
 
     def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -100,12 +109,15 @@ def _measures(side: Column | None, period_types: Sequence[str] | None) -> dict[s
     if period_types is None:
         types = F.sort_array(F.collect_set(on_side("period_type")))
     else:
-        # flags keep the aggregate in the hash path, a collected set would force a sort
-        types = F.array_compact(
+        # flags of fixed width; a type that has none fails the query
+        strange = F.bool_or(~on_side("period_type").isin(list(period_types)))
+        known = F.array_compact(
             F.array(
                 *[F.when(F.bool_or(on_side("period_type") == t), F.lit(t)) for t in sorted(period_types)]
             )
         )
+        refused = F.raise_error(F.lit(f"a period type other than {', '.join(period_types)}")).cast("array<string>")
+        types = F.when(strange, refused).otherwise(known)
     return {
         "realised_total": money_sum("realised_revenue", side),
         "cycle_amount": as_amount(money_sum("cycle_amount", side)),
@@ -118,8 +130,11 @@ def _measures(side: Column | None, period_types: Sequence[str] | None) -> dict[s
     }
 
 
-def entity_aggregate(snapshot: DataFrame, period_types: Sequence[str] | None = PERIOD_TYPES) -> DataFrame:
-    """One row per entity of a snapshot. ``period_types=None`` accepts types outside the known two."""
+def entity_aggregate(snapshot: DataFrame, period_types: Sequence[str] | None = None) -> DataFrame:
+    """One row per entity of a snapshot, with whatever period types it has.
+
+    ``period_types`` asserts that there are no others; the aggregate then has fixed-width buffers only.
+    """
     found = _measures(None, period_types)
     realised = as_amount(found.pop("realised_total")).alias("realised_revenue")
     return snapshot.groupBy("entity_id").agg(realised, *[c.alias(n) for n, c in found.items()])
@@ -142,7 +157,7 @@ def entity_pair(
     *,
     left: str = "feb",
     right: str = "mar",
-    period_types: Sequence[str] | None = PERIOD_TYPES,
+    period_types: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per entity of either snapshot with the aggregates of both sides.
 
@@ -159,7 +174,7 @@ def entity_pair_of_months(
     *,
     left: str = "feb",
     right: str = "mar",
-    period_types: Sequence[str] | None = PERIOD_TYPES,
+    period_types: Sequence[str] | None = None,
 ) -> DataFrame:
     """:func:`entity_pair` of two months of one snapshot table, which is then read once."""
     months = [F.lit(month_start(m)) for m in (first, second)]
@@ -177,8 +192,9 @@ def _pair_of(sides: DataFrame, left: str, right: str, period_types: Sequence[str
         aggregates.append(found["realised_total"].alias(f"{prefix}_realised_total"))
         aggregates += [found[n].alias(f"{prefix}_{short}") for n, short in _PAIR_NAMES.items()]
     return (
-        sides.groupBy("entity_id")
+        sides.groupBy("entity_id", unmatched())
         .agg(*aggregates)
+        .drop("_unmatched")
         .withColumns(
             {f"{p}_realised": as_amount(F.col(f"{p}_realised_total")) for p in (left, right)}
         )
@@ -302,8 +318,7 @@ def change_driver(pair: DataFrame, *, left: str = "feb", right: str = "mar", ord
 def bridge_detail(classified: DataFrame, *, left: str = "feb", right: str = "mar") -> DataFrame:
     """Counts and amounts per driver and detail, share of the total delta, and a TOTAL row.
 
-    The groups are few (drivers times sets of period types), so totals are taken by a window over
-    them and not by reading the entities again. Churned and new appear even when empty.
+    Totals are one row over the groups, not another pass over the entities. Churned and new appear even when empty.
     """
     a, b = f"{left}_realised", f"{right}_realised"
     always = classified.sparkSession.range(0, 1, 1, 1).select(
@@ -329,15 +344,11 @@ def bridge_detail(classified: DataFrame, *, left: str = "feb", right: str = "mar
     groups = groups.withColumns(
         {c: F.when(one_sided, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)) for c in (a, b, "delta_realised")}
     )
-    over_all = Window.partitionBy()
-    groups = groups.withColumns(
-        {
-            "_total_a": F.coalesce(as_amount(F.sum("_a").over(over_all)), F.lit(0.0)),
-            "_total_b": F.coalesce(as_amount(F.sum("_b").over(over_all)), F.lit(0.0)),
-            "_first": F.row_number().over(over_all.orderBy("change_driver", "change_detail")) == 1,
-        }
-    )
-    total_delta = F.round(F.col("_total_b") - F.col("_total_a"), 2)
+    totals = groups.agg(
+        F.coalesce(as_amount(F.sum("_a")), F.lit(0.0)).alias("_total_a"),
+        F.coalesce(as_amount(F.sum("_b")), F.lit(0.0)).alias("_total_b"),
+    ).withColumn("_delta", F.round(F.col("_total_b") - F.col("_total_a"), 2))
+    total_delta = totals.select("_delta").scalar()
     share = F.round(F.try_divide(F.col("delta_realised"), total_delta) * 100, 1)
 
     def line(driver: Column, detail: Column, count: Column, on_a: Column, on_b: Column, delta: Column, pct: Column):
@@ -357,9 +368,9 @@ def bridge_detail(classified: DataFrame, *, left: str = "feb", right: str = "mar
     )
     total = line(
         F.lit(TOTAL), F.lit(None).cast("string"), F.lit(None).cast("bigint"),
-        F.col("_total_a"), F.col("_total_b"), total_delta, F.lit(100.0),
+        F.col("_total_a"), F.col("_total_b"), F.col("_delta"), F.lit(100.0),
     )
-    lines = groups.select(F.inline(F.when(F.col("_first"), F.array(group, total)).otherwise(F.array(group))))
+    lines = groups.select(F.inline(F.array(group))).unionByName(totals.select(F.inline(F.array(total))))
     return lines.orderBy(
         F.col("change_driver") == TOTAL, F.abs("delta_realised").desc(), "change_driver", "change_detail"
     )

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from billcycle.functions.dates import month_bounds, next_month, to_date
 from billcycle.functions.firstrow import first_by_id
 from billcycle.functions.jsonx import parse_json
-from billcycle.functions.money import MONEY
-from billcycle.schemas import ITEM, PURE_OVERDUE, RENTAL_VERTICAL, SNAPSHOT_PATHS, TENURE
+from billcycle.functions.money import money
+from billcycle.schemas import ITEM, PURE_OVERDUE, SNAPSHOT_PATHS, TENURE
 
 _TENURE_COLUMNS = (
     "entity_id", "period_start", "period_end", "activation_date", "pickup_date", "months",
@@ -36,13 +36,15 @@ def snapshot_extract(
     *,
     entity_type: str = ITEM,
     city_id: int | None = None,
-    vertical: str | None = RENTAL_VERTICAL,
+    vertical: str | None,
     entity_ids: Sequence[int] | None = None,
+    named: bool = True,
 ) -> DataFrame:
     """Typed columns of the after-image, one row per transition with a tenure start.
 
-    ``city_id`` needs ``addresses``; with ``events`` a transition must have its event and gets its
-    name. Both tables grow with the log (every transition has an event of its own), so no side is
+    ``city_id`` needs ``addresses``; with ``events`` a transition must have its event and, if ``named``, gets its
+    name. What reduces the transitions afterwards does better without: rows of fixed width stay in the hash
+    aggregate, and :func:`with_event_name` names the few that are left. Both tables grow with the log (every transition has an event of its own), so no side is
     hinted: the document is parsed first, and what a join shuffles is the narrow row. The planner
     broadcasts a side only after its size is known to be small.
     """
@@ -77,12 +79,18 @@ def snapshot_extract(
         rows = rows.join(in_city, "delivery_address_id")
     rows = rows.drop("delivery_address_id")
     if events is not None:
-        names = events.select(F.col("id").alias("event_id"), F.col("name").alias("event_name"))
-        rows = rows.join(names, "event_id")
+        rows = with_event_name(rows, events) if named else rows.join(
+            events.select(F.col("id").alias("event_id")), "event_id", "left_semi"
+        )
     order = ["state_transition_id", "entity_id", "event_id"]
     return rows.select(*order, *[c for c in rows.columns if c not in order])
 
 
+def with_event_name(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows that have an ``event_id`` with the name of the event."""
+    return rows.join(events.select(F.col("id").alias("event_id"), F.col("name").alias("event_name")), "event_id")
+
+
 def _with_name(columns: Sequence[str], snapshots: DataFrame) -> list[str]:
     return [*columns, *(["event_name"] if "event_name" in snapshots.columns else [])]
 
@@ -144,6 +152,16 @@ def _cycle_columns(cycles: DataFrame) -> DataFrame:
     )
 
 
+def unreadable_values(state_transitions: DataFrame, *, vertical: str | None, entity_type: str = ITEM) -> DataFrame:
+    """Per field of the after-image the values that are there but are no value of its type, and are read as NULL."""
+    log = state_transitions.where(F.col("entity_type") == entity_type).select("snapshot")
+    raw = {f"raw_{name}": (path, "string") for name, (path, _) in SNAPSHOT_PATHS.items()}
+    rows = parse_json(log, "snapshot", {**SNAPSHOT_PATHS, **raw}, {"vertical": vertical} if vertical else {})
+    counts = rows.agg(*[F.count_if(F.col(f"raw_{n}").isNotNull() & F.col(n).isNull()).alias(n) for n in SNAPSHOT_PATHS])
+    lines = [F.struct(F.lit(n).alias("field"), F.col(n).alias("unreadable")) for n in SNAPSHOT_PATHS]
+    return counts.select(F.inline(F.array(*lines)))
+
+
 def number_cycles(cycles: DataFrame) -> DataFrame:
     """``cycle_num`` 1..n by start within the entity; ties go by transition id.
 
@@ -154,8 +172,8 @@ def number_cycles(cycles: DataFrame) -> DataFrame:
     return cycles.select(F.row_number().over(by_start).cast("bigint").alias("cycle_num"), *cycles.columns)
 
 
-def billing_cycles(snapshots: DataFrame) -> DataFrame:
-    """Unnumbered cycles of every entity, from one pass over the snapshots.
+def _typed_cycles(snapshots: DataFrame) -> DataFrame:
+    """Cycles of every entity with their kind, from one pass over the snapshots.
 
     The same rows as ``tenure_cycles`` united with ``pure_overdue``. Taken literally that reads the
     log three times. Here a transition emits its tenure and its overdue cycle as two candidates,
@@ -197,7 +215,20 @@ def billing_cycles(snapshots: DataFrame) -> DataFrame:
     typed = kept.withColumn(
         "period_type", F.when(F.col("is_tenure"), F.lit(TENURE)).otherwise(F.lit(PURE_OVERDUE))
     )
-    return _cycle_columns(typed)
+    return typed
+
+
+def billing_cycles(snapshots: DataFrame) -> DataFrame:
+    """Unnumbered cycles of every entity, from one pass over the snapshots: :func:`_typed_cycles`."""
+    return _cycle_columns(_typed_cycles(snapshots))
+
+
+def pure_overdue_cycles(snapshots: DataFrame) -> DataFrame:
+    """:func:`pure_overdue` of a log, from the same one pass."""
+    alone = _typed_cycles(snapshots).where(~F.col("is_tenure"))
+    order = ("entity_id", "period_start", "period_end", "activation_date", "pickup_date", "months", "pre_tax_amount",
+             "amount_paid", "base_price", "state_transition_id", "event_id")
+    return alone.select(*_with_name(order, snapshots), "period_type")
 
 
 def billing_timeline(snapshots: DataFrame) -> DataFrame:
@@ -254,5 +285,7 @@ def with_realised_revenue(cycles: DataFrame, month: str | dt.date | None = None)
         F.least(F.date_add("period_end", 1), end), F.greatest(F.col("period_start"), first)
     )
     inside = F.greatest(inside, F.lit(0)).cast("decimal(10,0)")
-    share = F.try_divide(F.col("cycle_amount").try_cast(MONEY) * inside, F.col("days").cast("decimal(10,0)"))
+    # the product keeps the scale of the amount: Spark would take digits off a wider one
+    amount = money("cycle_amount").cast("decimal(27,6)")
+    share = F.try_divide(amount * inside, F.col("days").cast("decimal(10,0)"))
     return cycles.withColumn("realised_revenue", F.round(share, 2).cast("double"))

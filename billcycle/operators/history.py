@@ -12,11 +12,11 @@ from billcycle.functions.firstrow import extreme_row
 from billcycle.functions.jsonx import parse_json
 from billcycle.schemas import (
     EVENT_PRIORITY,
+    HISTORY_EXPORT,
     HISTORY_EVENTS,
     OTHER_EVENT_PRIORITY,
     RENEWAL_APPLIED,
     RENEWAL_OVERDUE,
-    RENTAL_VERTICAL,
     SNAPSHOT_PATHS,
     STATE_EVENTS,
 )
@@ -33,19 +33,20 @@ def named_transitions(
     events: DataFrame,
     event_names: Sequence[str],
     *,
-    vertical: str | None = RENTAL_VERTICAL,
+    vertical: str | None,
     entity_types: Sequence[str] | None = None,
     entity_ids: Sequence[int] | None = None,
     require_activation: bool = False,
+    fields: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Transitions whose event is one of ``event_names``, with the after-image as columns.
+    """Transitions whose event is one of ``event_names``, with the after-image (or some ``fields`` of it) as columns.
 
-    Plain filters reach the scan. The document is parsed before the join with the events, which
+    Plain filters reach the scan; stored entity types are upper case. The document is parsed before the join with the events, which
     grow with the log, so the join shuffles narrow rows and only the wanted events.
     """
     log = state_transitions
     if entity_types is not None:
-        log = log.where(F.upper("entity_type").isin([t.upper() for t in entity_types]))
+        log = log.where(F.col("entity_type").isin([t.upper() for t in entity_types]))
     if entity_ids is not None:
         log = log.where(F.col("entity_id").isin(list(entity_ids)))
     required: dict[str, str | None] = {}
@@ -53,7 +54,8 @@ def named_transitions(
         required["vertical"] = vertical
     if require_activation:
         required["activation_date"] = None
-    fields = {n: p for n, p in SNAPSHOT_PATHS.items() if n != "delivery_address_id"}
+    wanted_fields = [n for n in SNAPSHOT_PATHS if n != "delivery_address_id"] if fields is None else list(fields)
+    wanted_fields += [n for n in required if n not in wanted_fields]
     rows = parse_json(
         log.select(
             F.col("id").alias("state_transition_id"),
@@ -66,7 +68,7 @@ def named_transitions(
             "snapshot",
         ),
         "snapshot",
-        fields,
+        {n: SNAPSHOT_PATHS[n] for n in wanted_fields},
         required,
     )
     wanted = events.where(F.col("name").isin(list(event_names))).select(
@@ -75,12 +77,19 @@ def named_transitions(
     return rows.join(wanted, "event_id")
 
 
+_STATE_FIELDS = (
+    "renewal_overdue_cycle_start_date", "renewal_overdue_cycle_end_date", "tenure_start_date", "tenure_end_date",
+    "pickup_date", "activation_date", "pre_tax_amount", "amount_paid",
+)
+_FINAL_FIELDS = (*_STATE_FIELDS, "tenure_in_months")
+
+
 def state_event_history(
     state_transitions: DataFrame,
     events: DataFrame,
     *,
     event_names: Sequence[str] = STATE_EVENTS,
-    vertical: str | None = RENTAL_VERTICAL,
+    vertical: str | None,
     entity_types: Sequence[str] | None = None,
     entity_ids: Sequence[int] | None = None,
     ordered: bool = False,
@@ -93,6 +102,7 @@ def state_event_history(
         vertical=vertical,
         entity_types=entity_types,
         entity_ids=entity_ids,
+        fields=_STATE_FIELDS,
     ).select(
         "state_transition_id",
         "entity_type",
@@ -134,6 +144,19 @@ def effective_tenure(transitions: DataFrame, *, overdue_price: bool = True) -> D
     )
 
 
+def export_columns(rows: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """Transitions with their effective tenure in the columns of the history export, its city by the delivery address."""
+    columns = [c.strip().split(" ") for c in HISTORY_EXPORT.split(",")]
+    found = rows.withColumn("id", F.col("state_transition_id"))
+    if "delivery_address_id" not in found.columns:
+        found = found.withColumn("delivery_address_id", F.lit(None).cast("bigint"))
+    if addresses is None:
+        found = found.withColumn("city_id", F.lit(None).cast("int"))
+    else:
+        found = found.join(addresses.select(F.col("id").alias("delivery_address_id"), "city_id"), "delivery_address_id", "left")
+    return found.select(*[F.col(name).cast(kind).alias(name) for name, kind in columns])
+
+
 def renewal_dedup(transitions: DataFrame) -> DataFrame:
     """One renewal event per entity and effective cycle, applied before overdue; others pass.
 
@@ -154,7 +177,7 @@ def final_state_history(
     events: DataFrame,
     *,
     event_names: Sequence[str] = HISTORY_EVENTS,
-    vertical: str | None = RENTAL_VERTICAL,
+    vertical: str | None,
     entity_types: Sequence[str] | None = None,
     entity_ids: Sequence[int] | None = None,
     ordered: bool = False,
@@ -168,6 +191,7 @@ def final_state_history(
         entity_types=entity_types,
         entity_ids=entity_ids,
         require_activation=True,
+        fields=_FINAL_FIELDS,
     )
     final = renewal_dedup(effective_tenure(rows, overdue_price=False)).select(
         "state_transition_id",

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billcycle.functions.dates import month_bounds
-from billcycle.functions.jsonx import json_value
+from billcycle.functions.jsonx import parse_json
 from billcycle.functions.money import as_amount, money
 from billcycle.schemas import (
     BILLED_STATES,
@@ -23,7 +23,6 @@ from billcycle.schemas import (
     KPI_EXCLUDED_STATES,
     PICKED_UP_STATE,
     RECOGNISED_STATES,
-    RENTAL_VERTICAL,
     TAXABLE_AMOUNT_PATH,
 )
 
@@ -100,21 +99,32 @@ def filter_city_customers(
     """Rows of customers that have an invoice group in one of the cities."""
     if not city_ids:
         return rows
+    # no distinct below the join: it is not needed, and Spark splits a hot key only between plain shuffles
     located = filter_city_direct(groups, city_ids).select(F.col("customer_identifier").alias(customer))
-    return rows.join(located.distinct(), customer, "left_semi")
+    return rows.join(located, customer, "left_semi")
 
 
-def customer_items(items: DataFrame, orders: DataFrame, vertical: str = RENTAL_VERTICAL) -> DataFrame:
-    """Items of the rental vertical with the customer and the vertical of their order."""
-    order = orders.select(
-        F.col("id").alias("order_id"),
-        json_value("user_details", DISPLAY_ID_PATH).alias("customer_identifier"),
-        F.col("vertical").alias("order_vertical"),
+def customer_items(items: DataFrame, orders: DataFrame, vertical: str | None) -> DataFrame:
+    """Items of a vertical (None: of all) with the customer and the vertical of their order."""
+    order = parse_json(
+        orders.select(F.col("id").alias("order_id"), F.col("vertical").alias("order_vertical"), "user_details"),
+        "user_details",
+        {"customer_identifier": (DISPLAY_ID_PATH, "string")},
     )
-    return items.where(F.col("vertical") == vertical).join(order, "order_id")
+    rows = items if vertical is None else items.where(F.col("vertical") == vertical)
+    return rows.join(order, "order_id")
 
 
-def first_activation(items: DataFrame, orders: DataFrame, vertical: str = RENTAL_VERTICAL) -> DataFrame:
+def customer_rows(items: DataFrame, orders: DataFrame, vertical: str | None) -> DataFrame:
+    """Per customer the number of items and the day of the first activation, in one pass."""
+    return (
+        customer_items(items, orders, vertical)
+        .groupBy("customer_identifier")
+        .agg(F.count(F.lit(1)).alias("row_count"), F.min("activation_date").alias("first_activation_date"))
+    )
+
+
+def first_activation(items: DataFrame, orders: DataFrame, vertical: str | None) -> DataFrame:
     """Per customer the day the first rental item was activated."""
     return (
         customer_items(items, orders, vertical)
@@ -132,17 +142,29 @@ def _of_type(customer_type: str, start: dt.date, end: dt.date, column: str = "fi
     return F.lit(True)
 
 
+def customer_type(month: Month) -> Column:
+    """New (first activated in the month), Returning (before it) or NULL, of rows with ``first_activation_date``."""
+    start, end, _ = month_bounds(month)
+    return F.when(_of_type(NEW, start, end), NEW).when(_of_type(RETURNING, start, end), RETURNING)
+
+
 def filter_new_returning(
     rows: DataFrame,
-    activations: DataFrame,
+    activations: DataFrame | None,
     customer_type: str,
     month: Month,
     customer: str = "customer_identifier",
 ) -> DataFrame:
-    """Rows of customers first activated in the month (New) or before it (Returning)."""
+    """Rows of customers first activated in the month (New) or before it (Returning).
+
+    ``activations`` has a row for each customer; rows that a customer may have very many of are better reduced per customer
+    first, with ``first_activation_date`` among them, and filtered without a join (``activations=None``).
+    """
     if customer_type == ALL:
         return rows
     start, end, _ = month_bounds(month)
+    if activations is None:
+        return rows.where(_of_type(customer_type, start, end))
     chosen = activations.where(_of_type(customer_type, start, end)).select(
         F.col("customer_identifier").alias(customer)
     )
@@ -161,11 +183,11 @@ def _amounts(
     live = facts.where(F.col("deleted_at").isNull() & F.col("state").isin(list(states)))
     live = live.where(reduce(lambda x, y: x | y, inside))
     live = filter_vertical(filter_city_direct(live, filters.city_ids), filters.verticals)
-    return live.select(
-        "customer_identifier",
-        money(json_value("monetary_components", TAXABLE_AMOUNT_PATH, "double")).alias("_amount"),
-        *[c.alias(f"_in{i}") for i, c in enumerate(inside)],
+    kept = live.select(
+        "customer_identifier", "monetary_components", *[c.alias(f"_in{i}") for i, c in enumerate(inside)]
     )
+    amounts = parse_json(kept, "monetary_components", {"_amount": (TAXABLE_AMOUNT_PATH, "double")})
+    return amounts.withColumn("_amount", money("_amount"))
 
 
 def _recognised(tables: KpiTables, months: Sequence[Month], filters: KpiFilters) -> DataFrame:
@@ -182,7 +204,7 @@ def _total(total: Column) -> Column:
 
 
 def _sums(
-    amounts: DataFrame, name: str, months: Sequence[Month], tables: KpiTables, filters: KpiFilters, vertical: str
+    amounts: DataFrame, name: str, months: Sequence[Month], tables: KpiTables, filters: KpiFilters, vertical: str | None
 ) -> DataFrame:
     """One row, a column ``<name><i>`` per month."""
     per_month = {
@@ -204,10 +226,18 @@ def _sums(
 
 
 def customer_activity(
-    tables: KpiTables, months: Sequence[Month], filters: KpiFilters = KpiFilters(), vertical: str = RENTAL_VERTICAL
+    tables: KpiTables,
+    months: Sequence[Month],
+    filters: KpiFilters = KpiFilters(),
+    *,
+    vertical: str | None,
+    metrics: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per customer: first activation, ``active<i>`` and ``churned<i>`` for every month.
 
+    Without a customer type only customers with a flag come out, and of ``metrics`` (``active``, ``churned``) only those
+    named need be right. Some 48 months fit into one pass before the row outgrows generated code.
+
     Distinct counts become flags per customer: one aggregate answers both KPIs for every month,
     and the first activation that tells new from returning customers falls out of it as well.
     Vertical, tenure and plan restrict the items that set a flag, not those that activate.
@@ -219,17 +249,28 @@ def customer_activity(
     )
     pickup = F.col("pickup_date")
     not_excluded = ~F.col("state").isin(list(KPI_EXCLUDED_STATES))
-    flags = [F.min("activation_date").alias("first_activation_date")]
+    flags: dict[str, Column] = {}
     for i, (start, end, last) in enumerate(map(month_bounds, months)):
-        active = not_excluded & (F.col("activation_date") <= F.lit(last)) & (pickup.isNull() | (pickup > F.lit(last)))
-        churned = (F.col("state") == PICKED_UP_STATE) & (pickup >= F.lit(start)) & (pickup < F.lit(end))
-        flags.append(F.bool_or(allowed & active).alias(f"active{i}"))
-        flags.append(F.bool_or(allowed & churned).alias(f"churned{i}"))
+        flags[f"active{i}"] = (
+            not_excluded & (F.col("activation_date") <= F.lit(last)) & (pickup.isNull() | (pickup > F.lit(last)))
+        )
+        flags[f"churned{i}"] = (
+            (F.col("state") == PICKED_UP_STATE) & (pickup >= F.lit(start)) & (pickup < F.lit(end))
+        )
+    items = tables.items
+    if filters.customer_type == ALL:
+        # first activations are not asked for, so only items that set a flag are read and joined
+        wanted = [c for name, c in flags.items() if metrics is None or name.startswith(tuple(metrics))]
+        on_items = _in_bucket(filters.tenure_range, "tenure_in_months") & _on_plan(filters.plan_months, "tenure_in_months")
+        items = items.where(reduce(lambda x, y: x | y, wanted) & on_items)
     return (
-        customer_items(tables.items, tables.orders, vertical)
+        customer_items(items, tables.orders, vertical)
         .where(F.col("customer_identifier").isNotNull())
         .groupBy("customer_identifier")
-        .agg(*flags)
+        .agg(
+            F.min("activation_date").alias("first_activation_date"),
+            *[F.bool_or(allowed & c).alias(name) for name, c in flags.items()],
+        )
     )
 
 
@@ -251,12 +292,13 @@ def customers_by_month(
     tables: KpiTables,
     months: Sequence[Month],
     filters: KpiFilters = KpiFilters(),
-    vertical: str = RENTAL_VERTICAL,
     *,
+    vertical: str | None,
     legacy_bound: bool = False,
+    metrics: Sequence[str] | None = None,
 ) -> DataFrame:
     """Active and churned customers of the months, one row, columns ``active<i>``, ``churned<i>``."""
-    activity = customer_activity(tables, months, filters, vertical)
+    activity = customer_activity(tables, months, filters, vertical=vertical, metrics=metrics)
     located = filter_city_customers(activity, tables.invoiceable_groups, filters.city_ids)
     return located.agg(*_counts(months, filters, legacy_bound, F.lit(True)))
 
@@ -265,7 +307,7 @@ def customers_by_month(
 
 
 def kpi_mrr(
-    tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), vertical: str = RENTAL_VERTICAL
+    tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), *, vertical: str | None
 ) -> DataFrame:
     """Recognised revenue of the month."""
     sums = _sums(_recognised(tables, [month], filters), "mrr", [month], tables, filters, vertical)
@@ -273,7 +315,7 @@ def kpi_mrr(
 
 
 def kpi_revenue_billed(
-    tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), vertical: str = RENTAL_VERTICAL
+    tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), *, vertical: str | None
 ) -> DataFrame:
     """Revenue of the billing cycles created in the month."""
     sums = _sums(_billed(tables, [month], filters), "billed", [month], tables, filters, vertical)
@@ -284,7 +326,7 @@ def kpi_active_subscriptions(
     tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), **options
 ) -> DataFrame:
     """Customers with a rental item active at the end of the month."""
-    counts = customers_by_month(tables, [month], filters, **options)
+    counts = customers_by_month(tables, [month], filters, metrics=["active"], **options)
     return counts.select(F.col("active0").alias("active_subscriptions"))
 
 
@@ -292,7 +334,7 @@ def kpi_churned_customers(
     tables: KpiTables, month: Month, filters: KpiFilters = KpiFilters(), **options
 ) -> DataFrame:
     """Customers with a rental item picked up in the month."""
-    counts = customers_by_month(tables, [month], filters, **options)
+    counts = customers_by_month(tables, [month], filters, metrics=["churned"], **options)
     return counts.select(F.col("churned0").alias("churned_customers"))
 
 
@@ -328,8 +370,8 @@ def kpi_by_month(
     tables: KpiTables,
     months: Sequence[Month],
     filters: KpiFilters = KpiFilters(),
-    vertical: str = RENTAL_VERTICAL,
     *,
+    vertical: str | None,
     legacy_bound: bool = False,
 ) -> DataFrame:
     """One row per metric, a column ``m<i>`` per month; every table is read once.
@@ -343,7 +385,7 @@ def kpi_by_month(
             _metric_rows(_sums(_recognised(tables, months, filters), "mrr", months, tables, filters, vertical), ["mrr"], n)
             .unionByName(
                 _metric_rows(
-                    customers_by_month(tables, months, filters, vertical),
+                    customers_by_month(tables, months, filters, vertical=vertical),
                     ["active_subscriptions", "churned_customers"],
                     n,
                 )
@@ -369,7 +411,7 @@ def kpi_by_month(
             for metric, i in names
         ]
     )
-    customers = customer_activity(tables, months, filters, vertical)
+    customers = customer_activity(tables, months, filters, vertical=vertical)
     counted = F.lit(True)
     if filters.city_ids:
         located = filter_city_direct(tables.invoiceable_groups, filters.city_ids).select("customer_identifier")
@@ -415,11 +457,11 @@ def kpi_month_compare(
     month_1: Month,
     month_2: Month,
     filters: KpiFilters = KpiFilters(),
-    vertical: str = RENTAL_VERTICAL,
     *,
+    vertical: str | None,
     legacy_bound: bool = False,
 ) -> DataFrame:
     """The four KPIs of two months beside each other."""
     return month_over_month(
-        kpi_by_month(tables, [month_1, month_2], filters, vertical, legacy_bound=legacy_bound)
+        kpi_by_month(tables, [month_1, month_2], filters, vertical=vertical, legacy_bound=legacy_bound)
     )

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billcycle.functions.dates import month_start
-from billcycle.functions.money import as_amount, money_sum
+from billcycle.functions.money import as_amount, money, money_sum
 from billcycle.operators.base import purchases
-from billcycle.operators.compare import stack_sides
+from billcycle.operators.compare import stack_sides, unmatched
 from billcycle.schemas import CANCELLED_STATE, PICKED_UP_STATE
 
 BOTH = "BOTH"
@@ -22,7 +22,7 @@ def rca_side_aggregate(snapshot: DataFrame, prefix: str) -> DataFrame:
     return snapshot.groupBy("entity_id").agg(
         F.max("activation_date").alias("activation_date"),
         F.count(F.lit(1)).alias(f"{prefix}_cycles"),
-        money_sum("cycle_amount").cast("double").alias(f"{prefix}_amount"),
+        money_sum("cycle_amount").alias(f"{prefix}_amount"),
         F.max("period_end").alias(f"{prefix}_max_end"),
     )
 
@@ -45,10 +45,10 @@ def rca_presence(
             F.bool_or(side).alias(f"_in_{prefix}"),
             F.max(F.when(side, F.col("activation_date"))).alias(f"_activation_{prefix}"),
             F.count(F.when(side, F.lit(1))).alias(f"{prefix}_cycles"),
-            money_sum("cycle_amount", side).cast("double").alias(f"{prefix}_amount"),
+            money_sum("cycle_amount", side).alias(f"{prefix}_amount"),
             F.max(F.when(side, F.col("period_end"))).alias(f"{prefix}_max_end"),
         ]
-    rows = stack_sides(a, b, _COLUMNS).groupBy("entity_id").agg(*aggregates)
+    rows = stack_sides(a, b, _COLUMNS).groupBy("entity_id", unmatched()).agg(*aggregates)
     in_a, in_b = F.col(f"_in_{left}"), F.col(f"_in_{right}")
     return rows.select(
         "entity_id",
@@ -128,8 +128,8 @@ def rca_reason(
     pickup, activation = F.col("actual_pickup_dt"), F.col("activation_date")
     last_end = F.col(f"{left}_max_end")
     a_cycles, b_cycles = F.col(f"{left}_cycles"), F.col(f"{right}_cycles")
-    a_amount = F.round(F.coalesce(f"{left}_amount", F.lit(0.0)), 2)
-    b_amount = F.round(F.coalesce(f"{right}_amount", F.lit(0.0)), 2)
+    a_amount = F.round(F.coalesce(f"{left}_amount", F.lit(0)), 2)
+    b_amount = F.round(F.coalesce(f"{right}_amount", F.lit(0)), 2)
     # fixed values: the class names of the report, with the month names filled in
     reasons = [
         (only_a & picked_up & (pickup < second), f"1A. Picked Up Before {b_name}"),
@@ -160,7 +160,8 @@ def rca_summary(reasons: DataFrame, *, left: str = "feb", right: str = "mar") ->
     weight = F.col("link_rows")
 
     def amount(side: str):
-        value = F.coalesce(F.col(f"{side}_amount"), F.lit(0.0)).try_cast("decimal(18,4)")
+        # both factors keep their scale: Spark would take digits off a wider product
+        value = F.coalesce(money(f"{side}_amount"), F.lit(0)).cast("decimal(27,6)")
         return F.sum(value * weight.cast("decimal(10,0)"))
 
     totals = reasons.groupBy("presence", "rca_reason").agg(

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 
 from billcycle.functions.dates import next_month
 from billcycle.operators import base, compare, cycles, rca
-from billcycle.schemas import RENTAL_VERTICAL
 
 Month = str | dt.date
 
@@ -32,7 +31,7 @@ class HoldingTables:
 
 
 def city_cycles(
-    log: LogTables, month: Month, city_id: int | None, *, vertical: str = RENTAL_VERTICAL, renumber: bool = False
+    log: LogTables, month: Month, city_id: int | None, *, vertical: str | None, renumber: bool = False
 ) -> DataFrame:
     """A month's billing cycles of one city, straight from the log."""
     snapshots = cycles.snapshot_extract(
@@ -41,12 +40,13 @@ def city_cycles(
         log.events,
         city_id=city_id,
         vertical=vertical,
+        named=False,
     )
-    return cycles.month_snapshot(snapshots, month, renumber=renumber)
+    return cycles.with_event_name(cycles.month_snapshot(snapshots, month, renumber=renumber), log.events)
 
 
 def snapshots_of_months(
-    log: LogTables, months: Sequence[Month], city_id: int | None = None, *, vertical: str = RENTAL_VERTICAL
+    log: LogTables, months: Sequence[Month], city_id: int | None = None, *, vertical: str | None
 ) -> DataFrame:
     """Cycles with realised revenue, tagged by month: what the snapshot table is filled with."""
     snapshots = cycles.snapshot_extract(
@@ -64,7 +64,7 @@ def current_against_previous(
     as_of: Month,
     *,
     keep_rule: str = "cycle_end",
-    vertical: str = RENTAL_VERTICAL,
+    vertical: str | None,
     entity_ids: Sequence[int] | None = None,
     ordered: bool = False,
 ) -> DataFrame:
@@ -83,7 +83,7 @@ def current_against_previous(
     transitions = base.billing_transitions(
         log.state_transitions, log.events, vertical=vertical, entity_types=kinds, entity_ids=entity_ids
     )
-    return base.base_with_previous(billed, transitions, ordered=ordered)
+    return base.base_with_previous(billed, base.of_base(transitions, billed), ordered=ordered)
 
 
 def bridge_report(a: DataFrame, b: DataFrame, **sides) -> DataFrame:

@@ -18,6 +18,8 @@ from billcycle.plans.reports import HoldingTables, LogTables
 from billcycle.sources.tables import load
 
 CITY = 6
+VERTICAL = "RENTAL"
+FIRST_MONTH, SECOND_MONTH = "1998-02", "1998-03"
 _CITY_OF_NATION = f"cast(element_at(array({CITY}, 1, 2, 4), c_nationkey % 4 + 1) as int) as city_id"
 
 
@@ -138,25 +140,24 @@ class DriverViews:
             "to_json(named_struct('basePrice', p_size * 10 + 0.5D)) as pricing_details",
         )
 
-    def _links(self, priority: str, column: str) -> DataFrame:
-        return (
-            self.table("orders")
-            .where(F.col("o_orderpriority") == priority)
-            .selectExpr("o_orderkey as id", f"o_custkey as {column}", "o_orderkey as rent_to_purchase_order_id")
+    def _links(self, column: str, offset: int) -> DataFrame:
+        return self.table("orders").selectExpr(
+            "o_orderkey as id", f"o_custkey + {offset} as {column}", "o_orderkey as rent_to_purchase_order_id"
         )
 
     @cached_property
     def item_links(self) -> DataFrame:
-        return self._links("1-URGENT", "item_id")
+        return self._links("item_id", 0)
 
     @cached_property
     def attachment_links(self) -> DataFrame:
-        return self._links("2-HIGH", "attachment_id")
+        return self._links("attachment_id", 1)
 
     def _purchase_orders(self, created_at: str) -> DataFrame:
         return self.table("orders").selectExpr(
             "o_orderkey as id",
-            "case when o_orderstatus = 'F' then 'CANCELLED' else 'SUCCESS' end as state",
+            """case when o_orderstatus = 'F' or o_orderpriority not in ('1-URGENT', '2-HIGH') then 'CANCELLED'
+              else 'SUCCESS' end as state""",
             f"{created_at} as created_at",
         )
 
@@ -174,15 +175,13 @@ class DriverViews:
 
     @cached_property
     def order_cycles(self) -> DataFrame:
-        """Every order as a billing cycle of its customer."""
-        orders = self.table("orders")
-        activated = orders.groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("activation_date"))
-        return orders.join(activated, "o_custkey").selectExpr(
+        """Every order as a billing cycle of its customer, who is activated on a day given by the key."""
+        return self.table("orders").selectExpr(
             "o_custkey as entity_id",
             "o_orderkey % 12 + 1 as cycle_num",
             "cast(o_orderdate as date) as period_start",
             "date_add(o_orderdate, cast(28 + 31 * (o_orderkey % 3) as int)) as period_end",
-            "activation_date",
+            "date_add(date'1993-01-01', cast(o_custkey * 13 % 1900 as int)) as activation_date",
             "case when o_orderkey % 5 = 0 then date_add(o_orderdate, 20) end as pickup_date",
             "cast((1 + floor(o_totalprice / 250000)) * 100 as double) as cycle_amount",
             "case when o_orderstatus = 'F' then 'PURE_OVERDUE' else 'TENURE' end as period_type",
@@ -192,17 +191,13 @@ class DriverViews:
               as realised_revenue""",
         )
 
-    def order_snapshot(self, month: str, starts_before: str) -> DataFrame:
-        """The cut of ``order_cycles`` for a month."""
-        return in_month(self.order_cycles, month).where(F.col("period_start") < F.lit(starts_before).cast("date"))
-
     @cached_property
     def a(self) -> DataFrame:
-        return self.order_snapshot("1996-02", "1996-06-01")
+        return in_month(self.order_cycles, FIRST_MONTH)
 
     @cached_property
     def b(self) -> DataFrame:
-        return self.order_snapshot("1996-03", "1996-07-01")
+        return in_month(self.order_cycles, SECOND_MONTH)
 
     @cached_property
     def rca_items(self) -> DataFrame:
@@ -211,7 +206,7 @@ class DriverViews:
             "c_custkey as id",
             """case c_mktsegment when 'HOUSEHOLD' then 'PICKED_UP' when 'MACHINERY' then 'CANCELLED'
               else 'ACTIVE' end as state""",
-            """case when c_mktsegment = 'HOUSEHOLD' then date_add(date'1996-01-15', cast(c_custkey * 7 % 90 as int))
+            """case when c_mktsegment = 'HOUSEHOLD' then date_add(date'1998-01-15', cast(c_custkey * 7 % 90 as int))
               end as pickup_date""",
         )
 

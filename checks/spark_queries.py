@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billcycle import schemas
 from billcycle.functions.money import as_amount, money_sum
 from billcycle.operators import base, compare, cycles, history, kpi, rca
 from billcycle.plans import reports
 from billcycle.sources import dimensions, tables
-from checks.driver_views import CITY, DriverViews
+from checks.driver_views import CITY, FIRST_MONTH, SECOND_MONTH, VERTICAL, DriverViews
 
 AS_OF = "2023-02-15"
 LOG_MONTH = "2022-02"
@@ -39,6 +42,21 @@ def _joined_types(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.array_join(c, "+") for c, t in df.dtypes if t.startswith("array")})
 
 
+def _doubles(df: DataFrame) -> DataFrame:
+    """Exact amounts as doubles."""
+    return df.withColumns({c: F.col(c).cast("double") for c, t in df.dtypes if t.startswith("decimal")})
+
+
+def _folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for what a sink query writes, below the cluster's shared one; a local master may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 # ---- sources, sinks, dimensions ---------------------------------------------------------------
 
 
@@ -68,16 +86,30 @@ def _snapshot_totals(df: DataFrame) -> DataFrame:
 
 @_query("src_csv_export")
 def _(v: DriverViews) -> DataFrame:
-    path = tables.shared_folder(v.spark, "csv-export")
+    path = _folder(v.spark, "csv-export")
     v.order_cycles.write.option("header", True).option("nullValue", "null").csv(path)
     return _snapshot_totals(
         tables.read_csv_export(v.spark, path, v.order_cycles.schema, null_text="null")
     )
 
 
+@_query("src_csv_history_export")
+def _(v: DriverViews) -> DataFrame:
+    """The event history in the columns of its export, written with NULL as a word and read by the export's schema."""
+    path = _folder(v.spark, "csv-history")
+    rows = history.effective_tenure(
+        base.billing_transitions(v.state_transitions, v.events, vertical=VERTICAL), overdue_price=False
+    )
+    history.export_columns(rows).write.option("header", True).option("nullValue", "null").csv(path)
+    read = tables.read_csv_export(v.spark, path, schemas.HISTORY_EXPORT, null_text="null")
+    return read.select(
+        "id", "entity_type", "entity_id", "event_name", "tenure_start_date", "effective_tenure_end", "pre_tax_amount", "city_id"
+    )
+
+
 @_query("sink_month_snapshot")
 def _(v: DriverViews) -> DataFrame:
-    path = tables.shared_folder(v.spark, "month-snapshots")
+    path = _folder(v.spark, "month-snapshots")
     months = ("1996-02", "1996-03", "1996-04")
     tables.write_month_snapshots(cycles.month_snapshots(v.order_cycles, months), path)
     written = tables.load(v.spark, path)
@@ -113,12 +145,12 @@ def _(v: DriverViews) -> DataFrame:
 
 
 def _snapshots(v: DriverViews) -> DataFrame:
-    return cycles.snapshot_extract(v.state_transitions)
+    return cycles.snapshot_extract(v.state_transitions, vertical=VERTICAL)
 
 
 @_query("snapshot_extract")
 def _(v: DriverViews) -> DataFrame:
-    return cycles.snapshot_extract(v.state_transitions, v.addresses, v.events, city_id=CITY)
+    return cycles.snapshot_extract(v.state_transitions, v.addresses, v.events, city_id=CITY, vertical=VERTICAL)
 
 
 @_query("tenure_cycles")
@@ -128,13 +160,13 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("overdue_cycles")
 def _(v: DriverViews) -> DataFrame:
-    return cycles.overdue_cycles(cycles.snapshot_extract(v.state_transitions, events=v.events))
+    snapshots = cycles.snapshot_extract(v.state_transitions, events=v.events, vertical=VERTICAL, named=False)
+    return cycles.with_event_name(cycles.overdue_cycles(snapshots), v.events)
 
 
 @_query("pure_overdue")
 def _(v: DriverViews) -> DataFrame:
-    snapshots = _snapshots(v)
-    return cycles.pure_overdue(cycles.overdue_cycles(snapshots), cycles.tenure_cycles(snapshots))
+    return cycles.pure_overdue_cycles(_snapshots(v))
 
 
 @_query("billing_timeline")
@@ -144,7 +176,7 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("month_snapshot")
 def _(v: DriverViews) -> DataFrame:
-    return reports.city_cycles(v.log, LOG_MONTH, CITY)
+    return reports.city_cycles(v.log, LOG_MONTH, CITY, vertical=VERTICAL)
 
 
 @_query("month_snapshot_renumbered")
@@ -152,9 +184,14 @@ def _(v: DriverViews) -> DataFrame:
     return cycles.month_snapshot(_snapshots(v), LOG_MONTH, renumber=True)
 
 
+@_query("month_snapshot_city_renumbered")
+def _(v: DriverViews) -> DataFrame:
+    return reports.city_cycles(v.log, LOG_MONTH, CITY, vertical=VERTICAL, renumber=True)
+
+
 @_query("realised_revenue")
 def _(v: DriverViews) -> DataFrame:
-    return reports.snapshots_of_months(v.log, CUT_MONTHS)
+    return reports.snapshots_of_months(v.log, CUT_MONTHS, vertical=VERTICAL)
 
 
 # ---- state history ----------------------------------------------------------------------------
@@ -162,19 +199,19 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("state_event_history")
 def _(v: DriverViews) -> DataFrame:
-    return history.state_event_history(v.state_transitions, v.events, entity_types=["item"])
+    return history.state_event_history(v.state_transitions, v.events, entity_types=["item"], vertical=VERTICAL)
 
 
 @_query("effective_tenure")
 def _(v: DriverViews) -> DataFrame:
-    return history.effective_tenure(base.billing_transitions(v.state_transitions, v.events)).select(
+    return history.effective_tenure(base.billing_transitions(v.state_transitions, v.events, vertical=VERTICAL)).select(
         "state_transition_id", "event_name", "effective_tenure_start", "effective_tenure_end", "pre_tax_amount"
     )
 
 
 @_query("renewal_dedup")
 def _(v: DriverViews) -> DataFrame:
-    rows = history.effective_tenure(base.billing_transitions(v.state_transitions, v.events))
+    rows = history.effective_tenure(base.billing_transitions(v.state_transitions, v.events, vertical=VERTICAL))
     return history.renewal_dedup(rows).select(
         "state_transition_id", "entity_type", "entity_id", "event_name", "effective_tenure_start"
     )
@@ -182,18 +219,38 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("final_state_history")
 def _(v: DriverViews) -> DataFrame:
-    return history.final_state_history(v.state_transitions, v.events, entity_types=["item", "attachment"])
+    return history.final_state_history(
+        v.state_transitions, v.events, entity_types=["item", "attachment"], vertical=VERTICAL
+    )
+
+
+ONE_ENTITY = (13, 18)
+
+
+@_query("final_state_history_of_entities")
+def _(v: DriverViews) -> DataFrame:
+    """The history of named entities; the ids reach the scan."""
+    return history.final_state_history(
+        v.state_transitions, v.events, entity_types=["item"], entity_ids=ONE_ENTITY, vertical=VERTICAL
+    )
+
+
+@_query("state_event_history_of_entities")
+def _(v: DriverViews) -> DataFrame:
+    return history.state_event_history(
+        v.state_transitions, v.events, entity_types=["item"], entity_ids=ONE_ENTITY, vertical=VERTICAL
+    )
 
 
 # ---- current base and previous cycle ----------------------------------------------------------
 
 
 def _item_base(v: DriverViews, **options) -> DataFrame:
-    return base.current_base(v.items, v.item_links, v.purchase_orders, as_of=AS_OF, **options)
+    return base.current_base(v.items, v.item_links, v.purchase_orders, as_of=AS_OF, vertical=VERTICAL, **options)
 
 
 def _attachment_base(v: DriverViews) -> DataFrame:
-    return base.attachment_base(v.attachments, v.attachment_links, v.purchase_orders, as_of=AS_OF)
+    return base.attachment_base(v.attachments, v.attachment_links, v.purchase_orders, as_of=AS_OF, vertical=VERTICAL)
 
 
 def _all_base(v: DriverViews) -> DataFrame:
@@ -202,7 +259,7 @@ def _all_base(v: DriverViews) -> DataFrame:
 
 @_query("billable_next_month")
 def _(v: DriverViews) -> DataFrame:
-    return base.billable_next_month(v.items, v.item_links, v.purchase_orders, as_of=AS_OF)
+    return base.billable_next_month(v.items, v.item_links, v.purchase_orders, as_of=AS_OF, vertical=VERTICAL)
 
 
 @_query("current_base")
@@ -227,13 +284,14 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("state_transitions_for_base")
 def _(v: DriverViews) -> DataFrame:
-    return base.state_transitions_for_base(v.state_transitions, v.events, _all_base(v))
+    return base.state_transitions_for_base(v.state_transitions, v.events, _all_base(v), vertical=VERTICAL)
 
 
 @_query("previous_cycle")
 def _(v: DriverViews) -> DataFrame:
-    transitions = base.billing_transitions(v.state_transitions, v.events)
-    return base.previous_cycle(transitions, _all_base(v)).select(
+    held = _all_base(v)
+    transitions = base.of_base(base.billing_transitions(v.state_transitions, v.events, vertical=VERTICAL), held)
+    return base.previous_cycle(transitions, held).select(
         "entity_type",
         "entity_id",
         "state_transition_id",
@@ -248,14 +306,14 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("current_vs_previous")
 def _(v: DriverViews) -> DataFrame:
-    return reports.current_against_previous(v.log, v.holdings, AS_OF)
+    return reports.current_against_previous(v.log, v.holdings, AS_OF, vertical=VERTICAL)
 
 
 @_query("current_vs_previous_items")
 def _(v: DriverViews) -> DataFrame:
     """Items only, under the other keep rule."""
     only_items = reports.HoldingTables(v.items, v.item_links, v.purchase_orders)
-    return reports.current_against_previous(v.log, only_items, AS_OF, keep_rule="next_month")
+    return reports.current_against_previous(v.log, only_items, AS_OF, keep_rule="next_month", vertical=VERTICAL)
 
 
 # ---- two snapshots ----------------------------------------------------------------------------
@@ -274,6 +332,19 @@ def _(v: DriverViews) -> DataFrame:
     return compare.presence_summary(v.a, v.b)
 
 
+@_query("presence_and_null_ids")
+def _(v: DriverViews) -> DataFrame:
+    """Orders of a fifth of the customers lose their id: on either side they are one entity that the other lacks."""
+    lost = F.when(F.col("entity_id") % 5 != 0, F.col("entity_id"))
+    a, b = v.a.withColumn("entity_id", lost), v.b.withColumn("entity_id", lost)
+    return compare.classify_changes(compare.entity_pair(a, b)).groupBy("in_feb", "in_mar").agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.count("entity_id").alias("with_id"),
+        as_amount(money_sum("feb_realised")).alias("feb_realised"),
+        as_amount(money_sum("mar_realised")).alias("mar_realised"),
+    )
+
+
 @_query("only_in_a")
 def _(v: DriverViews) -> DataFrame:
     return compare.only_in_a(v.a, v.b)
@@ -286,7 +357,7 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("common_side_by_side")
 def _(v: DriverViews) -> DataFrame:
-    return compare.common_side_by_side(v.a, v.b)
+    return compare.common_side_by_side(v.a, v.b, ("entity_id",))
 
 
 @_query("common_side_by_side_by_cycle")
@@ -347,7 +418,7 @@ def _(v: DriverViews) -> DataFrame:
 @_query("log_to_bridge")
 def _(v: DriverViews) -> DataFrame:
     """From the transition log to the bridge: extract, timeline, two months, drivers."""
-    both = reports.snapshots_of_months(v.log, CUT_MONTHS)
+    both = reports.snapshots_of_months(v.log, CUT_MONTHS, vertical=VERTICAL)
     return compare.bridge_detail(compare.classify_changes(compare.entity_pair_of_months(both, *CUT_MONTHS)))
 
 
@@ -356,12 +427,12 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("rca_side_aggregate")
 def _(v: DriverViews) -> DataFrame:
-    return rca.rca_side_aggregate(v.a, "feb")
+    return _doubles(rca.rca_side_aggregate(v.a, "feb"))
 
 
 @_query("rca_presence")
 def _(v: DriverViews) -> DataFrame:
-    return rca.rca_presence(v.a, v.b)
+    return _doubles(rca.rca_presence(v.a, v.b))
 
 
 def _reasons(v: DriverViews, every_link: bool = False) -> DataFrame:
@@ -370,14 +441,14 @@ def _reasons(v: DriverViews, every_link: bool = False) -> DataFrame:
         v.rca_items,
         v.item_links,
         v.rca_purchase_orders,
-        second_month="1996-03",
+        second_month=SECOND_MONTH,
         every_link=every_link,
     )
 
 
 @_query("rca_reason")
 def _(v: DriverViews) -> DataFrame:
-    return _reasons(v)
+    return _doubles(_reasons(v))
 
 
 @_query("rca_summary")
@@ -390,6 +461,14 @@ def _(v: DriverViews) -> DataFrame:
     return rca.rca_summary(_reasons(v, every_link=True))
 
 
+@_query("log_to_rca")
+def _(v: DriverViews) -> DataFrame:
+    """From the transition log to the root causes of two months."""
+    both = reports.snapshots_of_months(v.log, CUT_MONTHS, vertical=VERTICAL)
+    a, b = (both.where(F.col("snapshot_month") == F.lit(f"{m}-01").cast("date")) for m in CUT_MONTHS)
+    return reports.rca_report(a, b, v.holdings, CUT_MONTHS[0])
+
+
 # ---- KPIs -------------------------------------------------------------------------------------
 
 
@@ -407,7 +486,7 @@ def _(v: DriverViews) -> DataFrame:
 @_query("filter_city_customers")
 def _(v: DriverViews) -> DataFrame:
     t = v.kpi
-    rows = kpi.filter_city_customers(kpi.customer_items(t.items, t.orders), t.invoiceable_groups, [1, 6])
+    rows = kpi.filter_city_customers(kpi.customer_items(t.items, t.orders, VERTICAL), t.invoiceable_groups, [1, 6])
     return _customer_count(rows, "state")
 
 
@@ -419,7 +498,7 @@ def _(v: DriverViews) -> DataFrame:
 @_query("filter_tenure_bucket")
 def _(v: DriverViews) -> DataFrame:
     t = v.kpi
-    rows = kpi.customer_items(t.items, t.orders)
+    rows = kpi.customer_items(t.items, t.orders, VERTICAL)
     middle = kpi.filter_tenure_bucket(rows, (6, 12)).withColumn("bucket", F.lit("6-12 months"))
     long = kpi.filter_tenure_bucket(rows, (12, None)).withColumn("bucket", F.lit("12+ months"))
     return _customer_count(middle.unionByName(long), "bucket")
@@ -428,24 +507,21 @@ def _(v: DriverViews) -> DataFrame:
 @_query("filter_plan")
 def _(v: DriverViews) -> DataFrame:
     t = v.kpi
-    return _customer_count(kpi.filter_plan(kpi.customer_items(t.items, t.orders), 3), "state")
+    return _customer_count(kpi.filter_plan(kpi.customer_items(t.items, t.orders, VERTICAL), 3), "state")
 
 
 @_query("filter_new_returning")
 def _(v: DriverViews) -> DataFrame:
-    t = v.kpi
-    rows = kpi.customer_items(t.items, t.orders)
-    activations = kpi.first_activation(t.items, t.orders)
-    parts = [
-        kpi.filter_new_returning(rows, activations, kind, "1996-01").withColumn("customer_type", F.lit(kind))
-        for kind in (kpi.NEW, kpi.RETURNING)
-    ]
-    return _customer_count(parts[0].unionByName(parts[1]), "customer_type")
+    customers = kpi.customer_rows(v.kpi.items, v.kpi.orders, VERTICAL)
+    typed = customers.withColumn("customer_type", kpi.customer_type("1996-01")).where("customer_type is not null")
+    return typed.groupBy("customer_type").agg(
+        F.sum("row_count").alias("row_count"), F.count("customer_identifier").alias("customers")
+    )
 
 
 @_query("first_activation")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.first_activation(v.kpi.items, v.kpi.orders)
+    return kpi.first_activation(v.kpi.items, v.kpi.orders, VERTICAL)
 
 
 _CITY_AND_NEW = kpi.KpiFilters(city_ids=(1, 6), customer_type=kpi.NEW)
@@ -456,44 +532,52 @@ _RETURNING = kpi.KpiFilters(
 
 @_query("kpi_mrr")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.kpi_mrr(v.kpi, KPI_MONTH_1)
+    return kpi.kpi_mrr(v.kpi, KPI_MONTH_1, vertical=VERTICAL)
 
 
 @_query("kpi_mrr_new_customers")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.kpi_mrr(v.kpi, "1996-01", _CITY_AND_NEW)
+    return kpi.kpi_mrr(v.kpi, "1996-01", _CITY_AND_NEW, vertical=VERTICAL)
 
 
 @_query("kpi_active_subscriptions")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.kpi_active_subscriptions(v.kpi, KPI_MONTH_1)
+    return kpi.kpi_active_subscriptions(v.kpi, KPI_MONTH_1, vertical=VERTICAL)
 
 
 @_query("kpi_active_subscriptions_new")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.kpi_active_subscriptions(v.kpi, "1996-01", _CITY_AND_NEW, legacy_bound=True)
+    return kpi.kpi_active_subscriptions(v.kpi, "1996-01", _CITY_AND_NEW, legacy_bound=True, vertical=VERTICAL)
 
 
 @_query("kpi_churned_customers")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.kpi_churned_customers(v.kpi, KPI_MONTH_1, kpi.KpiFilters(city_ids=(1, 6)))
+    return kpi.kpi_churned_customers(v.kpi, KPI_MONTH_1, kpi.KpiFilters(city_ids=(1, 6)), vertical=VERTICAL)
 
 
 @_query("kpi_revenue_billed")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.kpi_revenue_billed(v.kpi, KPI_MONTH_1)
+    return kpi.kpi_revenue_billed(v.kpi, KPI_MONTH_1, vertical=VERTICAL)
 
 
 @_query("kpi_month_compare")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.kpi_month_compare(v.kpi, KPI_MONTH_1, KPI_MONTH_2)
+    return kpi.kpi_month_compare(v.kpi, KPI_MONTH_1, KPI_MONTH_2, vertical=VERTICAL)
 
 
 @_query("kpi_month_compare_filtered")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.kpi_month_compare(v.kpi, KPI_MONTH_1, KPI_MONTH_2, _RETURNING)
+    return kpi.kpi_month_compare(v.kpi, KPI_MONTH_1, KPI_MONTH_2, _RETURNING, vertical=VERTICAL)
+
+
+_NEW_ON_PLAN = kpi.KpiFilters(customer_type=kpi.NEW, plan_months=3)
+
+
+@_query("kpi_month_compare_new_on_plan")
+def _(v: DriverViews) -> DataFrame:
+    return kpi.kpi_month_compare(v.kpi, "1996-01", "1996-02", _NEW_ON_PLAN, vertical=VERTICAL)
 
 
 @_query("kpi_by_month")
 def _(v: DriverViews) -> DataFrame:
-    return kpi.kpi_by_month(v.kpi, ["1997-01", "1997-04", "1997-07", "1997-10"])
+    return kpi.kpi_by_month(v.kpi, ["1997-01", "1997-04", "1997-07", "1997-10"], vertical=VERTICAL)

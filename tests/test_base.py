@@ -77,7 +77,7 @@ def random_holdings(seed, hot_share=1 / 3):
 def test_current_base_against_brute_force(spark, keep_rule):
     for seed in (1, 2):
         rows = random_holdings(seed)
-        found = base.current_base(*holdings(spark, *rows), as_of=AS_OF, keep_rule=keep_rule)
+        found = base.current_base(*holdings(spark, *rows), as_of=AS_OF, keep_rule=keep_rule, vertical="RENTAL")
         assert sorted(as_tuples(found, "id", "pickup_date"), key=lambda r: r[0]) == brute_base(*rows, keep_rule)
 
 
@@ -88,14 +88,14 @@ def test_latest_link_hides_an_older_live_one_unless_preferred(spark):
         [(100, "SUCCESS", dt.datetime(2024, 5, 1)), (101, "CANCELLED", dt.datetime(2024, 5, 2))],
     )
     tables = holdings(spark, *rows)
-    assert as_tuples(base.current_base(*tables, as_of=AS_OF), "pickup_date") == [(None,)]
-    preferred = base.current_base(*tables, as_of=AS_OF, prefer_live=True)
+    assert as_tuples(base.current_base(*tables, as_of=AS_OF, vertical="RENTAL"), "pickup_date") == [(None,)]
+    preferred = base.current_base(*tables, as_of=AS_OF, prefer_live=True, vertical="RENTAL")
     assert as_tuples(preferred, "pickup_date") == [(dt.datetime(2024, 5, 1) + SHIFT,)]
 
 
 def test_amount_and_effective_cycle(spark):
     items = [item(1), item(2, "RENEWAL_OVERDUE", ro=("2024-03-21", "2024-04-20"))]
-    found = base.current_base(*holdings(spark, items, [(1, 9, 9)], [(9, "SUCCESS", MONTH)]), as_of=AS_OF)
+    found = base.current_base(*holdings(spark, items, [(1, 9, 9)], [(9, "SUCCESS", MONTH)]), as_of=AS_OF, vertical="RENTAL")
     assert sorted(
         as_tuples(found, "id", "pre_tax_amount", "current_effective_start", "current_effective_end", "entity_type")
     ) == [
@@ -106,7 +106,7 @@ def test_amount_and_effective_cycle(spark):
 
 def test_billable_next_month_keeps_every_link(spark):
     items, links, orders = random_holdings(4)
-    found = base.billable_next_month(*holdings(spark, items, links, orders), as_of=AS_OF)
+    found = base.billable_next_month(*holdings(spark, items, links, orders), as_of=AS_OF, vertical="RENTAL")
     created = {i: at for i, _, at in orders}
     wanted = []
     for it in items:
@@ -127,7 +127,7 @@ def current(spark, rows):
 
 
 def test_previous_cycle_of_the_sample(spark):
-    transitions = base.billing_transitions(history_log(spark), history_events(spark))
+    transitions = base.billing_transitions(history_log(spark), history_events(spark), vertical="RENTAL")
     found = base.previous_cycle(transitions, current(spark, [("ITEM", ITEM_ID, day("2026-04-12"))]))
     assert as_tuples(
         found, "effective_tenure_start", "effective_tenure_end", "event_name", "pre_tax_amount", "state_transition_id"
@@ -158,8 +158,7 @@ def test_previous_cycle_order_and_shared_ids(spark):
         ("ORDER_SHIPMENT_DELIVERED", *jan, "2024-01-01 00:00:00"),
     ])
     transitions = base.billing_transitions(
-        log(spark, rows + more), spark.createDataFrame(events + more_events, schemas.EVENTS)
-    )
+        log(spark, rows + more), spark.createDataFrame(events + more_events, schemas.EVENTS), vertical="RENTAL")
     now = current(spark, [("ITEM", 1, day("2024-03-31")), ("ATTACHMENT", 1, day("2024-03-01")), ("ITEM", 2, day("2024-03-01"))])
     found = base.previous_cycle(transitions, now)
     # the cycle ending on the current start is not before it; equal times go to the higher id;
@@ -184,17 +183,16 @@ def test_fused_report_equals_the_composed_one(spark):
     attachments = tables[0].drop("order_id").withColumnRenamed("current_pricing_details", "pricing_details")
     attachment_links = tables[1].withColumnRenamed("item_id", "attachment_id")
     billed = base.all_base(
-        base.current_base(*tables, as_of=AS_OF),
-        base.attachment_base(attachments, attachment_links, tables[2], as_of=AS_OF),
+        base.current_base(*tables, as_of=AS_OF, vertical="RENTAL"),
+        base.attachment_base(attachments, attachment_links, tables[2], as_of=AS_OF, vertical="RENTAL"),
     )
-    chosen = base.state_transitions_for_base(log(spark, rows), events_table, billed)
+    chosen = base.state_transitions_for_base(log(spark, rows), events_table, billed, vertical="RENTAL")
     composed = base.current_vs_previous(billed, base.previous_cycle(chosen, billed), ordered=True)
     fused = reports.current_against_previous(
         reports.LogTables(log(spark, rows), events_table),
         reports.HoldingTables(*tables, attachments, attachment_links),
         AS_OF,
-        ordered=True,
-    )
+        ordered=True, vertical="RENTAL")
     assert fused.columns == composed.columns
     mine, theirs = [tuple(r) for r in fused.collect()], [tuple(r) for r in composed.collect()]
     assert mine == theirs

@@ -2,9 +2,14 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from billcycle import schemas
-from billcycle.operators import compare
+from billcycle.functions.money import as_amount, money_sum
+from billcycle.operators import compare, rca
 from billcycle.plans import reports
+from billcycle.schemas import PERIOD_TYPES
 from tests.samples import as_tuples, day
 
 
@@ -58,18 +63,47 @@ def test_presence(spark):
 
 def test_side_by_side_keys(spark):
     a, b = side(spark, A), side(spark, B)
-    by_entity = compare.common_side_by_side(a, b)
+    by_entity = compare.common_side_by_side(a, b, ("entity_id",))
     assert len(by_entity.where("entity_id = 5").collect()) == 4
     assert by_entity.columns[:2] == ["entity_id", "feb_cycle_num"] and "mar_realised_revenue" in by_entity.columns
     by_cycle = compare.common_side_by_side(a, b, ("entity_id", "cycle_num"))
     assert len(by_cycle.where("entity_id = 5").collect()) == 2
+    twice = side(spark, [cycle(1, num=1), cycle(1, num=2)]).withColumn("period_start", F.expr("date'2024-01-01' + int(cycle_num)"))
+    twice = twice.withColumn("period_end", F.col("period_start"))
+    assert compare.common_side_by_side(twice, twice).count() == 2
 
 
-def test_unknown_period_types_are_kept_on_request(spark):
+def test_unknown_period_types_are_kept(spark):
     a = side(spark, [cycle(1, kind="TRIAL"), cycle(1, kind="TENURE", num=2)])
-    found = compare.entity_aggregate(a, period_types=None).first()
-    assert found.period_types == ["TENURE", "TRIAL"]
-    assert compare.entity_aggregate(a).first().cycle_count == 2
+    assert compare.entity_aggregate(a).first().period_types == ["TENURE", "TRIAL"]
+    b = side(spark, [cycle(1, kind="EXTENSION"), cycle(1, kind="TENURE", num=2, realised=20.0)])
+    changed = compare.change_driver(compare.entity_pair(a, b)).first()
+    assert changed.period_type_shifted
+    with pytest.raises(Exception, match="period type"):
+        compare.entity_aggregate(a, period_types=PERIOD_TYPES).collect()
+
+
+def test_null_ids_stay_apart(spark):
+    a = side(spark, [cycle(1), cycle(2)]).withColumn("entity_id", F.expr("nullif(entity_id, 2)"))
+    b = side(spark, [cycle(1), cycle(3)]).withColumn("entity_id", F.expr("nullif(entity_id, 3)"))
+    drivers = sorted(r.change_driver for r in compare.classify_changes(compare.entity_pair(a, b)).collect())
+    assert drivers == ["churned", "new_activation", "stable"]
+    seen = compare.presence_summary(a, b).first()
+    assert (seen.feb_total, seen.common_both, seen.feb_only) == (1, 1, 0)
+    presence = rca.rca_presence(a.withColumn("period_end", F.lit(None).cast("date")), b.withColumn("period_end", F.lit(None).cast("date")))
+    assert sorted(r.presence for r in presence.collect()) == ["BOTH", "FEB_ONLY", "MARCH_ONLY"]
+
+
+def test_amounts_are_exact_or_refused(spark):
+    def total(*amounts):
+        rows = [(float(x),) for x in amounts]
+        return spark.createDataFrame(rows, "x double").agg(as_amount(money_sum("x")).alias("t")).first().t
+
+    assert total(1e15, 0.25) == 1e15 + 0.25
+    assert total(*[0.00004] * 10_000) == 0.4
+    for bad in ("nan", "inf", "1e40"):
+        with pytest.raises(Exception, match="no amount of money"):
+            total(1, bad)
 
 
 def test_bridge_of_an_empty_side(spark):

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from billcycle import schemas
@@ -18,17 +20,17 @@ def expected(rows):
 
 
 def timeline_of(spark, rows):
-    return cycles.billing_timeline(cycles.snapshot_extract(log(spark, rows)))
+    return cycles.billing_timeline(cycles.snapshot_extract(log(spark, rows), vertical="RENTAL"))
 
 
 def test_golden_history(spark):
-    timeline = cycles.billing_timeline(cycles.snapshot_extract(history_log(spark), events=history_events(spark)))
+    timeline = cycles.billing_timeline(cycles.snapshot_extract(history_log(spark), events=history_events(spark), vertical="RENTAL"))
     assert sorted(as_tuples(timeline, *SHOWN)) == expected(GOLDEN_CYCLES)
     assert {r.entity_id for r in timeline.collect()} == {ITEM_ID}
 
 
 def test_month_numbering_variants(spark):
-    snapshots = cycles.snapshot_extract(history_log(spark))
+    snapshots = cycles.snapshot_extract(history_log(spark), vertical="RENTAL")
     for month in ("2026-02", "2026-03"):
         whole = cycles.month_snapshot(snapshots, month)
         within = cycles.month_snapshot(snapshots, month, renumber=True)
@@ -39,7 +41,7 @@ def test_month_numbering_variants(spark):
 
 
 def test_month_snapshots_equal_single_months(spark):
-    timeline = cycles.billing_timeline(cycles.snapshot_extract(history_log(spark)))
+    timeline = cycles.billing_timeline(cycles.snapshot_extract(history_log(spark), vertical="RENTAL"))
     both = cycles.month_snapshots(timeline, ["2025-12", "2026-03"])
     for month in ("2025-12", "2026-03"):
         single = cycles.in_month(timeline, month)
@@ -59,7 +61,7 @@ def test_extract_filters_and_casts(spark):
         transition(8, 1, snapshot("2024-05-01", "2024-05-31"), kind="ATTACHMENT"),
         transition(9, 1, snapshot("no date", "2024-06-30", ro_start="2024-07-01", ro_end="2024-07-31")),
     ]
-    plain = cycles.snapshot_extract(log(spark, rows))
+    plain = cycles.snapshot_extract(log(spark, rows), vertical="RENTAL")
     assert sorted(as_tuples(plain, "state_transition_id", "tsd", "ted", "pre_tax_amount")) == [
         (1, day("2024-01-01"), day("2024-01-31"), 12.5),
         (6, day("2024-03-01"), None, None),
@@ -67,10 +69,10 @@ def test_extract_filters_and_casts(spark):
         (9, None, day("2024-06-30"), 100.0),
     ]
     addresses = spark.createDataFrame([(1, 6), (9, 2)], schemas.DELIVERY_ADDRESSES)
-    in_city = cycles.snapshot_extract(log(spark, rows), addresses, city_id=6)
+    in_city = cycles.snapshot_extract(log(spark, rows), addresses, city_id=6, vertical="RENTAL")
     assert sorted(r.state_transition_id for r in in_city.collect()) == [1, 6, 9]
     events = spark.createDataFrame([(1, "RENEWAL_APPLIED"), (7, "OTHER")], schemas.EVENTS)
-    named = cycles.snapshot_extract(log(spark, rows), events=events)
+    named = cycles.snapshot_extract(log(spark, rows), events=events, vertical="RENTAL")
     assert sorted(as_tuples(named, "state_transition_id", "event_name")) == [(1, "RENEWAL_APPLIED"), (7, "OTHER")]
 
 
@@ -136,7 +138,7 @@ def brute_timeline(rows):
 
 def test_fused_timeline_equals_definition_and_composition(spark):
     rows = random_rows(600, 1 / 3, seed=3)
-    snapshots = cycles.snapshot_extract(log(spark, rows))
+    snapshots = cycles.snapshot_extract(log(spark, rows), vertical="RENTAL")
     shown = ("entity_id", "cycle_num", "period_start", "period_end", "cycle_amount", "period_type", "state_transition_id")
     fused = sorted(as_tuples(cycles.billing_timeline(snapshots), *shown))
     tenures = cycles.tenure_cycles(snapshots)
@@ -173,3 +175,18 @@ def test_realised_revenue_is_proportional(spark):
 
 def test_history_has_25_transitions():
     assert len(HISTORY) == 25
+
+
+def test_whole_numbers_may_have_a_point_and_unreadable_values_are_counted(spark):
+    document = '{"vertical": "%s", "tenureStartDate": "%s", "tenureEndDate": "2024-01-31", "tenureInMonths": %s, "activationDate": "2024-01-01"}'
+    texts = [("RENTAL", "2024-01-01", "3.0"), ("RENTAL", "2024-02-01", "2.5"), ("Rental", "01.03.2024", "3")]
+    rows = [(i, "ITEM", 1, i, "A", "A", document % t, None) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, schemas.STATE_TRANSITIONS)
+    found = cycles.snapshot_extract(table, vertical=None).orderBy("state_transition_id").collect()
+    assert [r.months for r in found] == [3, None, 3]
+    assert [r.tsd is None for r in found] == [False, False, True]
+    assert cycles.snapshot_extract(table, vertical="RENTAL").count() == 2
+    bad = {r.field: r.unreadable for r in cycles.unreadable_values(table, vertical=None).collect()}
+    assert bad["tenure_start_date"] == 1 and bad["tenure_in_months"] == 1 and bad["tenure_end_date"] == 0
+    with pytest.raises(TypeError):
+        cycles.snapshot_extract(table)

@@ -7,8 +7,7 @@ from tests.samples import ITEM_ID, as_tuples, day, history_events, history_log,
 
 def test_final_state_history_of_the_sample(spark):
     rows = history.final_state_history(
-        history_log(spark), history_events(spark), entity_types=["item"], entity_ids=[ITEM_ID], ordered=True
-    ).collect()
+        history_log(spark), history_events(spark), entity_types=["item"], entity_ids=[ITEM_ID], ordered=True, vertical="RENTAL").collect()
     assert len(rows) == 18  # 20 renewals, two overdue rows give way to the renewal of the same cycle
     assert [r.state_transition_id for r in rows] == sorted(r.state_transition_id for r in rows)
     assert {r.event_name for r in rows} == {"RENEWAL_APPLIED", "RENEWAL_OVERDUE"}
@@ -17,15 +16,15 @@ def test_final_state_history_of_the_sample(spark):
 
 def test_entity_type_is_compared_without_case(spark):
     for kind in ("item", "ITEM"):
-        found = history.final_state_history(history_log(spark), history_events(spark), entity_types=[kind])
+        found = history.final_state_history(history_log(spark), history_events(spark), entity_types=[kind], vertical="RENTAL")
         assert found.count() == 18
-    none = history.final_state_history(history_log(spark), history_events(spark), entity_types=["attachment"])
+    none = history.final_state_history(history_log(spark), history_events(spark), entity_types=["attachment"], vertical="RENTAL")
     assert none.count() == 0
 
 
 def named(spark, rows, names):
     events = spark.createDataFrame([(r[0], n) for r, n in zip(rows, names)], schemas.EVENTS)
-    return base.billing_transitions(log(spark, rows), events)
+    return base.billing_transitions(log(spark, rows), events, vertical="RENTAL")
 
 
 def test_dedup_keeps_other_events_and_breaks_ties_by_id(spark):
@@ -69,5 +68,5 @@ def test_state_event_history_uses_the_shorter_list(spark):
     events = spark.createDataFrame(
         [(1, "SWAP_SHIPMENT_DELIVERED"), (2, "RENEWAL_OVERDUE"), (3, "RENEWAL_OVERDUE")], schemas.EVENTS
     )
-    found = history.state_event_history(log(spark, rows), events, entity_ids=[1], ordered=True)
+    found = history.state_event_history(log(spark, rows), events, entity_ids=[1], ordered=True, vertical="RENTAL")
     assert [r.state_transition_id for r in found.collect()] == [2, 3]  # nothing is de-duplicated here

@@ -78,37 +78,37 @@ def value(df):
 
 
 def test_revenue(tables):
-    assert value(kpi.kpi_mrr(tables, FEB)) == 25.5
-    assert value(kpi.kpi_mrr(tables, FEB, kpi.KpiFilters(city_ids=[1]))) == 7.0
-    assert value(kpi.kpi_mrr(tables, MAR, kpi.KpiFilters(verticals=["RENTAL"]))) == 0.0
-    assert value(kpi.kpi_revenue_billed(tables, FEB)) == 8.0
-    assert value(kpi.kpi_revenue_billed(tables, MAR)) == 9.0
-    assert value(kpi.kpi_mrr(tables, "2020-01")) == 0.0
+    assert value(kpi.kpi_mrr(tables, FEB, vertical="RENTAL")) == 25.5
+    assert value(kpi.kpi_mrr(tables, FEB, kpi.KpiFilters(city_ids=[1]), vertical="RENTAL")) == 7.0
+    assert value(kpi.kpi_mrr(tables, MAR, kpi.KpiFilters(verticals=["RENTAL"]), vertical="RENTAL")) == 0.0
+    assert value(kpi.kpi_revenue_billed(tables, FEB, vertical="RENTAL")) == 8.0
+    assert value(kpi.kpi_revenue_billed(tables, MAR, vertical="RENTAL")) == 9.0
+    assert value(kpi.kpi_mrr(tables, "2020-01", vertical="RENTAL")) == 0.0
 
 
 def test_customer_type_of_revenue(tables):
     # C3 and C9 are new in February; customers without any activation drop out
-    assert value(kpi.kpi_mrr(tables, FEB, kpi.KpiFilters(customer_type="New"))) == 7.0
-    assert value(kpi.kpi_mrr(tables, FEB, kpi.KpiFilters(customer_type="Returning"))) == 15.5
+    assert value(kpi.kpi_mrr(tables, FEB, kpi.KpiFilters(customer_type="New"), vertical="RENTAL")) == 7.0
+    assert value(kpi.kpi_mrr(tables, FEB, kpi.KpiFilters(customer_type="Returning"), vertical="RENTAL")) == 15.5
     # tenure and plan do not touch revenue
-    assert value(kpi.kpi_mrr(tables, FEB, kpi.KpiFilters(plan_months=12, tenure_range=(12, None)))) == 25.5
+    assert value(kpi.kpi_mrr(tables, FEB, kpi.KpiFilters(plan_months=12, tenure_range=(12, None)), vertical="RENTAL")) == 25.5
 
 
 def test_active_customers(tables):
-    assert value(kpi.kpi_active_subscriptions(tables, FEB)) == 4  # C1, C3, C6 (picked up later), C9
-    assert value(kpi.kpi_active_subscriptions(tables, FEB, kpi.KpiFilters(city_ids=[1]))) == 1  # C6
-    assert value(kpi.kpi_active_subscriptions(tables, FEB, kpi.KpiFilters(verticals=["APPLIANCES"]))) == 1
-    assert value(kpi.kpi_active_subscriptions(tables, FEB, kpi.KpiFilters(tenure_range=(6, None)))) == 1
-    assert value(kpi.kpi_active_subscriptions(tables, FEB, kpi.KpiFilters(plan_months=3))) == 3
+    assert value(kpi.kpi_active_subscriptions(tables, FEB, vertical="RENTAL")) == 4  # C1, C3, C6 (picked up later), C9
+    assert value(kpi.kpi_active_subscriptions(tables, FEB, kpi.KpiFilters(city_ids=[1]), vertical="RENTAL")) == 1  # C6
+    assert value(kpi.kpi_active_subscriptions(tables, FEB, kpi.KpiFilters(verticals=["APPLIANCES"]), vertical="RENTAL")) == 1
+    assert value(kpi.kpi_active_subscriptions(tables, FEB, kpi.KpiFilters(tenure_range=(6, None)), vertical="RENTAL")) == 1
+    assert value(kpi.kpi_active_subscriptions(tables, FEB, kpi.KpiFilters(plan_months=3), vertical="RENTAL")) == 3
     new = kpi.KpiFilters(customer_type="New")
-    assert value(kpi.kpi_active_subscriptions(tables, FEB, new)) == 2
-    assert value(kpi.kpi_active_subscriptions(tables, FEB, new, legacy_bound=True)) == 1  # C3 starts on the last day
+    assert value(kpi.kpi_active_subscriptions(tables, FEB, new, vertical="RENTAL")) == 2
+    assert value(kpi.kpi_active_subscriptions(tables, FEB, new, legacy_bound=True, vertical="RENTAL")) == 1  # C3 starts on the last day
 
 
 def test_churn(tables):
-    assert value(kpi.kpi_churned_customers(tables, FEB)) == 1
-    assert value(kpi.kpi_churned_customers(tables, MAR)) == 1
-    assert value(kpi.kpi_churned_customers(tables, FEB, kpi.KpiFilters(customer_type="New"))) == 0
+    assert value(kpi.kpi_churned_customers(tables, FEB, vertical="RENTAL")) == 1
+    assert value(kpi.kpi_churned_customers(tables, MAR, vertical="RENTAL")) == 1
+    assert value(kpi.kpi_churned_customers(tables, FEB, kpi.KpiFilters(customer_type="New"), vertical="RENTAL")) == 0
 
 
 @pytest.mark.parametrize(
@@ -122,7 +122,7 @@ def test_churn(tables):
 )
 def test_months_together_equal_months_alone(tables, filters):
     months = [FEB, MAR, "2023-05"]
-    together = {r.metric: (r.m0, r.m1, r.m2) for r in kpi.kpi_by_month(tables, months, filters).collect()}
+    together = {r.metric: (r.m0, r.m1, r.m2) for r in kpi.kpi_by_month(tables, months, filters, vertical="RENTAL").collect()}
     alone = {
         "mrr": kpi.kpi_mrr,
         "active_subscriptions": kpi.kpi_active_subscriptions,
@@ -130,11 +130,11 @@ def test_months_together_equal_months_alone(tables, filters):
         "revenue_billed": kpi.kpi_revenue_billed,
     }
     for metric, one in alone.items():
-        assert together[metric] == tuple(float(value(one(tables, m, filters))) for m in months), metric
+        assert together[metric] == tuple(float(value(one(tables, m, filters, vertical="RENTAL"))) for m in months), metric
 
 
 def test_month_compare(tables):
-    rows = {r.metric: r for r in kpi.kpi_month_compare(tables, FEB, MAR).collect()}
+    rows = {r.metric: r for r in kpi.kpi_month_compare(tables, FEB, MAR, vertical="RENTAL").collect()}
     assert list(sorted(rows)) == sorted(kpi.METRICS)
     mrr = rows["mrr"]
     assert (mrr.m1, mrr.m2, mrr.abs_diff, mrr.direction, mrr.trend) == (25.5, 20.0, -5.5, "down", "bad")
@@ -154,14 +154,14 @@ def test_churn_is_better_when_lower(spark):
 
 
 def test_filters(tables):
-    rows = kpi.customer_items(tables.items, tables.orders)
+    rows = kpi.customer_items(tables.items, tables.orders, vertical="RENTAL")
     assert kpi.filter_tenure_bucket(rows, None).count() == rows.count()
     assert as_tuples(kpi.filter_tenure_bucket(rows, schemas.TENURE_BUCKETS["12+ months"]), "customer_identifier") == [("C9",)]
     assert kpi.filter_tenure_bucket(rows, (None, 3)).count() == 0
     assert kpi.filter_plan(rows, None).count() == rows.count()
     assert kpi.filter_city_customers(rows, tables.invoiceable_groups, [2]).count() == 2  # both items of C1, once
     assert kpi.filter_city_customers(rows, tables.invoiceable_groups, []).count() == rows.count()
-    activations = kpi.first_activation(tables.items, tables.orders)
+    activations = kpi.first_activation(tables.items, tables.orders, vertical="RENTAL")
     assert kpi.filter_new_returning(rows, activations, "All", FEB).count() == rows.count()
     new = kpi.filter_new_returning(rows, activations, "New", FEB)
     assert sorted(as_tuples(new, "customer_identifier")) == [("C3",), ("C9",)]

@@ -6,7 +6,9 @@ import re
 
 import pytest
 
-from billcycle.operators import base, compare, cycles, history
+from billcycle.operators import base, compare, cycles, history, kpi
+from billcycle.plans import reports
+from billcycle.schemas import PERIOD_TYPES
 from checks.driver_views import DriverViews
 from checks.spark_queries import queries
 
@@ -30,7 +32,8 @@ def count(plan: str, pattern: str) -> int:
     return len(re.findall(pattern, plan))
 
 
-WRITING = ("src_csv_export", "sink_month_snapshot")
+LOG_QUERIES = ("month_snapshot", "month_snapshot_city_renumbered", "overdue_cycles", "pure_overdue", "billing_timeline")
+WRITING = ("src_csv_export", "src_csv_history_export", "sink_month_snapshot")
 
 
 @pytest.mark.parametrize("name", [n for n in queries() if n not in WRITING])
@@ -41,7 +44,7 @@ def test_no_cross_join_no_python(spark, large, name):
 
 
 def test_timeline_is_one_scan_one_parse_two_shuffles(large):
-    plan = plan_of(cycles.billing_timeline(cycles.snapshot_extract(large.state_transitions)))
+    plan = plan_of(cycles.billing_timeline(cycles.snapshot_extract(large.state_transitions, vertical="RENTAL")))
     assert count(plan, "FileScan") == 1
     assert count(plan, "from_json") == 1
     assert count(plan, "Exchange hashpartitioning") == 2
@@ -50,7 +53,7 @@ def test_timeline_is_one_scan_one_parse_two_shuffles(large):
 
 
 def test_document_is_parsed_once_below_its_filters(large):
-    plan = plan_of(history.state_event_history(large.state_transitions, large.events))
+    plan = plan_of(history.state_event_history(large.state_transitions, large.events, vertical="RENTAL"))
     assert count(plan, "from_json") == 1
     parse = plan.index("from_json")
     assert plan.index("vertical = RENTAL") < parse  # the filter sits above the parse
@@ -59,7 +62,7 @@ def test_document_is_parsed_once_below_its_filters(large):
 def test_plain_filters_reach_the_scan(spark, large, tmp_path):
     path = str(tmp_path / "log")
     large.state_transitions.write.parquet(path)
-    plan = plan_of(cycles.snapshot_extract(spark.read.parquet(path)))
+    plan = plan_of(cycles.snapshot_extract(spark.read.parquet(path), vertical="RENTAL"))
     assert "EqualTo(entity_type,ITEM)" in plan
     schema = re.search(r"ReadSchema: struct<(.*?)>", plan).group(1)
     assert {c.split(":")[0] for c in schema.split(",")} == {"id", "entity_type", "entity_id", "event_id", "snapshot"}
@@ -69,26 +72,76 @@ def test_pair_is_one_shuffle(spark, large, tmp_path):
     path = str(tmp_path / "snapshots")
     large.order_cycles.write.parquet(path)
     a = spark.read.parquet(path)
-    plan = plan_of(compare.classify_changes(compare.entity_pair(a, a)))
+    plan = plan_of(compare.classify_changes(compare.entity_pair(a, a, period_types=PERIOD_TYPES)))
     assert count(plan, "Exchange hashpartitioning") == 1 and "Join" not in plan
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
 def test_pair_of_months_reads_the_log_once(spark, large):
-    plan = plan_of(queries()["log_to_bridge"](spark, FOLDER))
-    assert count(plan, "FileScan") == 1
+    """The totals are taken over the groups, whose exchange is used again."""
+    bridge = queries()["log_to_bridge"](spark, FOLDER)
+    bridge.collect()
+    assert "ReusedExchange" in plan_of(bridge)
+    pair = compare.entity_pair_of_months(reports.snapshots_of_months(large.log, ["2022-02", "2022-03"], vertical="RENTAL"), "2022-02", "2022-03")
+    assert count(plan_of(pair), "FileScan") == 1
 
 
 def test_previous_cycle_reduces_before_the_join(large):
-    transitions = base.billing_transitions(large.state_transitions, large.events)
+    transitions = base.billing_transitions(large.state_transitions, large.events, vertical="RENTAL")
     plan = plan_of(base.base_with_previous(base.current_base(
-        large.items, large.item_links, large.purchase_orders, as_of="2023-02-15"), transitions))
+        large.items, large.item_links, large.purchase_orders, as_of="2023-02-15", vertical="RENTAL"), transitions))
     assert count(plan, "partial_max_by") >= 1
     assert count(plan, "Window") == 0
 
 
 def test_links_are_aggregated_before_they_meet_the_holdings(large):
     plan = plan_of(
-        base.current_base(large.items, large.item_links, large.purchase_orders, as_of="2023-02-15")
+        base.current_base(large.items, large.item_links, large.purchase_orders, as_of="2023-02-15", vertical="RENTAL")
     )
     assert count(plan, "partial_bool_or|partial_max") >= 1 and "Window" not in plan
+
+
+def pushed(plan: str) -> str:
+    return " ".join(re.findall(r"PushedFilters: ([^\n]*), ReadSchema", plan))
+
+
+@pytest.fixture()
+def stored(spark, large, tmp_path):
+    """The log and the KPI tables as Parquet files; plans show their filters in full."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    tables = {"log": large.state_transitions, "events": large.events, "items": large.kpi.items, "orders": large.kpi.orders}
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+    yield {name: spark.read.parquet(str(tmp_path / name)) for name in tables}
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_entity_filters_reach_the_scan(stored):
+    rows = history.final_state_history(
+        stored["log"], stored["events"], entity_types=["item"], entity_ids=[13], vertical="RENTAL"
+    )
+    filters = pushed(plan_of(rows))
+    assert "EqualTo(entity_type,ITEM)" in filters and "EqualTo(entity_id,13)" in filters
+
+
+def test_churn_reads_only_picked_up_items(stored):
+    tables = kpi.KpiTables(stored["items"], stored["orders"], None, None, None)
+    plan = plan_of(kpi.kpi_churned_customers(tables, "1996-02", vertical="RENTAL"))
+    assert "EqualTo(state,PICKED_UP)" in pushed(plan) and "GreaterThanOrEqual(pickup_date" in pushed(plan)
+    assert count(plan, "from_json") == 1
+
+
+@pytest.mark.parametrize("name", LOG_QUERIES)
+def test_log_rows_stay_in_the_hash_aggregate(spark, large, name):
+    assert "SortAggregate" not in plan_of(queries()[name](spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", ["previous_cycle", "current_vs_previous"])
+def test_the_log_is_limited_to_the_base_before_it_is_reduced(spark, large, name):
+    plan = plan_of(queries()[name](spark, FOLDER))
+    assert "LeftSemi" in plan
+
+
+def test_pure_overdue_and_types_are_one_pass(spark, large):
+    assert count(plan_of(queries()["pure_overdue"](spark, FOLDER)), "FileScan") == 1
+    assert count(plan_of(queries()["filter_new_returning"](spark, FOLDER)), "FileScan") == 2  # items and orders

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billcycle.functions.firstrow import extreme_row, first_by_id
-from billcycle.operators import cycles, history
+from billcycle.operators import compare, cycles, history, kpi
 from billcycle.operators.base import billing_transitions
 
 ROWS = 60_000
@@ -80,7 +80,7 @@ def shuffled_rows(df):
 
 def test_hot_cycles_shrink_before_the_shuffle(spark, tables, large):
     log, _ = tables
-    rows = cycles.snapshot_extract(log).where(F.col("entity_id") == HOT)
+    rows = cycles.snapshot_extract(log, vertical="RENTAL").where(F.col("entity_id") == HOT)
     firsts = first_by_id(
         rows.selectExpr("entity_id", "tsd", "ted", "state_transition_id", "pre_tax_amount"),
         ["entity_id", "tsd", "ted"],
@@ -93,21 +93,21 @@ def test_hot_cycles_shrink_before_the_shuffle(spark, tables, large):
 
 
 def test_hot_history_shrinks_before_the_shuffle(spark, tables, large):
-    rows = history.effective_tenure(billing_transitions(*tables)).where(F.col("entity_id") == HOT)
+    rows = history.effective_tenure(billing_transitions(*tables, vertical="RENTAL")).where(F.col("entity_id") == HOT)
     kept = history.renewal_dedup(rows)
     assert kept.count() == 24
     assert {r.event_name for r in kept.collect()} == {"RENEWAL_APPLIED"}
 
 
 def test_hot_event_is_split_by_the_join(spark, tables, large):
-    joined = billing_transitions(*tables)
+    joined = billing_transitions(*tables, vertical="RENTAL")
     _, plan = shuffled_rows(joined)
     assert "SortMergeJoin(skew=true)" in plan
     assert joined.count() == ROWS
 
 
 def test_timeline_of_a_hot_entity(spark, tables, large):
-    timeline = cycles.billing_timeline(cycles.snapshot_extract(tables[0]))
+    timeline = cycles.billing_timeline(cycles.snapshot_extract(tables[0], vertical="RENTAL"))
     hot = sorted((r.cycle_num, str(r.period_start)) for r in timeline.where(F.col("entity_id") == HOT).collect())
     assert [n for n, _ in hot] == list(range(1, 25))
     assert [s for _, s in hot] == sorted(s for _, s in hot)
@@ -122,3 +122,33 @@ def test_extreme_row_matches_row_number(spark):
     found = extreme_row(rows, ["k"], F.struct("o", "id"))
     wanted = rows.selectExpr("*", "row_number() over (partition by k order by o desc, id desc) as n").where("n = 1")
     assert sorted(map(tuple, found.collect())) == sorted(tuple(r)[:4] for r in wanted.collect())
+
+
+@pytest.mark.parametrize("kind", ["only_in_a", "filter_city_customers"])
+def test_hot_key_of_an_existence_join_is_split(spark, tmp_path, large, kind):
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("if(id % 3 = 0, 7L, id) as entity_id", "id as payload")
+    other = spark.range(0, 200_000, 1, 8).selectExpr("id * 3 as entity_id", "1 as city_id")
+    rows.write.parquet(str(tmp_path / "rows"))
+    other.write.parquet(str(tmp_path / "other"))
+    rows, other = (spark.read.parquet(str(tmp_path / n)) for n in ("rows", "other"))
+    if kind == "only_in_a":
+        found = compare.only_in_a(rows, other)
+    else:
+        groups = other.selectExpr("entity_id as customer_identifier", "city_id")
+        found = kpi.filter_city_customers(rows.withColumnRenamed("entity_id", "customer_identifier"), groups, [1])
+    _, plan = shuffled_rows(found)
+    assert "skew=true" in plan
+
+
+def test_types_of_a_hot_customer_are_reduced_before_the_shuffle(spark, tmp_path, large):
+    spark.range(0, 60_000, 1, 8).selectExpr(
+        "id as order_id", "id", "'RENTAL' as vertical", "date_add(date'1995-06-01', cast(id % 400 as int)) as activation_date"
+    ).write.parquet(str(tmp_path / "items"))
+    spark.range(0, 60_000, 1, 8).selectExpr(
+        "id", "'RENTAL' as vertical", "to_json(named_struct('displayId', if(id % 3 = 0, 'hot', cast(id as string)))) as user_details"
+    ).write.parquet(str(tmp_path / "orders"))
+    items, orders = (spark.read.parquet(str(tmp_path / n)) for n in ("items", "orders"))
+    customers = kpi.customer_rows(items, orders, "RENTAL")
+    written, _ = shuffled_rows(customers.where("customer_identifier = 'hot'"))
+    assert min(written) <= 16 * 8
+    assert customers.where("customer_identifier = 'hot'").first().row_count == 20_000
