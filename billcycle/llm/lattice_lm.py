@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ KINDS = 8
 #: Part of every model that is the mean of all, and tokens that a model weighs against those of the text itself.
 COMMON = 0.05
 OWN = 2000.0
+#: Occurrences of a word in a text that are added up one by one; the others are by the gamma function.
+REPEATS = 6
 
 
 def read_pieces(path: str) -> list[tuple[bytes, bool, float]]:
@@ -354,33 +357,43 @@ def score_texts(docs: DataFrame, path: str, fittings: int = FITTINGS, kind: str
 
     def score_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, known, bases, logs = frequent.value
-        place = {w: i for i, w in enumerate(listed)}
+        place, weights = {w: i for i, w in enumerate(listed)}, OWN * np.exp(logs)
         for batch in steps(batches):
-            n_tokens, n_known, base, sums, rare = [], [], [], [], []
-            for text in texts_of(batch):
-                counted = Counter(tokens(text))
-                at = np.fromiter((place.get(w, -1) for w in counted), np.int64, len(counted))
-                times = np.fromiter(counted.values(), np.int64, len(counted))
-                here = at >= 0
-                at, times = at[here], times[here]
-                own = logs[:, at].sum(axis=1) + len(at) * math.log(OWN)
-                again = times > 1
-                if again.any():
-                    first = OWN * np.exp(logs[:, at[again]])
-                    own += (log_gamma(first + times[again]) - log_gamma(first + 1)).sum(axis=1)
-                sums.append(own.tolist())
-                n_tokens.append(counted.total() + 1)
-                n_known.append(int(times[known[at]].sum()) + (ends > 0))
-                base.append(float(bases[at] @ times) + end_base)
-                rare.append([(w.decode(), k) for (w, k), h in zip(counted.items(), here.tolist(), strict=True) if not h])
+            counted = [Counter(tokens(text)) for text in texts_of(batch)]
+            size, sizes = len(counted), np.array([len(c) for c in counted])
+            total, of = int(sizes.sum()), np.repeat(np.arange(len(counted)), sizes)
+            words = list(chain.from_iterable(counted))
+            times = np.fromiter(chain.from_iterable(c.values() for c in counted), np.int64, total)
+            at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, total)
+            rare = np.flatnonzero(at < 0)
+            here = np.flatnonzero(at >= 0)
+            n_tokens = np.bincount(of, times, size).astype(np.int64) + 1
+            at, times_here, of_here = at[here], times[here], of[here]
+            n_known = np.bincount(of_here, times_here * known[at], size).astype(np.int64) + (ends > 0)
+            base = np.bincount(of_here, times_here * bases[at], size) + end_base
+            sums = np.empty((size, kinds))
+            for kind in range(kinds):
+                sums[:, kind] = np.bincount(of_here, logs[kind][at] + math.log(OWN), size)
+                for j in range(1, REPEATS):
+                    again = np.flatnonzero(times_here > j)
+                    sums[:, kind] += np.bincount(of_here[again], np.log(weights[kind][at[again]] + j), size)
+                many = np.flatnonzero(times_here > REPEATS)
+                first = weights[kind][at[many]]
+                rest = log_gamma(first + times_here[many]) - log_gamma(first + REPEATS)
+                sums[:, kind] += np.bincount(of_here[many], rest, size)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(of[rare], minlength=size))])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in names),
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(n_known, pa.int64()),
+                    pa.array(n_tokens),
+                    pa.array(n_known),
                     pa.array(base),
-                    pa.array(sums, pa.list_(pa.float64())),
-                    pa.array(rare, pa.map_(pa.string(), pa.int64())),
+                    pa.array(sums.tolist(), pa.list_(pa.float64())),
+                    pa.MapArray.from_arrays(
+                        pa.array(cuts, pa.int32()),
+                        pa.array([words[i] for i in rare.tolist()], pa.binary()).cast(pa.string()),
+                        pa.array(times[rare]),
+                    ),
                 ],
                 names=[*names, "n_tokens", "n_known", "base", "sums", "rare"],
             )
