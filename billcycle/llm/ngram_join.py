@@ -226,6 +226,19 @@ def _may_link(percent: int) -> Column:
     return fits & (F.col("pos") + overlap <= F.col("size")) & (F.col("other_pos") + overlap <= F.col("other"))
 
 
+def _close(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap can still reach the threshold, given what their rare blocks have in common.
+
+    Of two rare blocks one ends first. Up to there both sets are whole in the blocks, and beyond it that set has
+    ceil(t * size) - 1 n-grams.
+    """
+    one = blocks.select(F.col("node").alias("a"), F.col("size").alias("size"), F.col("rare").alias("x"))
+    other = blocks.select(F.col("node").alias("b"), F.col("size").alias("other"), F.col("rare").alias("y"))
+    most = F.size(F.array_intersect("x", "y")) + F.expr(f"(greatest(size, other) * {percent} + 99) div 100") - 1
+    reached = most * (100 + percent) >= (F.col("size") + F.col("other")) * percent
+    return pairs.join(one, "a").join(other, "b").where(reached).select("a", "b")
+
+
 def _pair(one: str, other: str) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
@@ -272,7 +285,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         .groupBy("node", "leader", "size", "other")
         .agg(F.count("*").alias("overlap"))
     )
-    star = scratch(led.groupBy("node").agg(F.max_by("leader", F.struct("overlap", "leader")).alias("leader")).select(*_pair("node", "leader")).distinct())
+    star = led.groupBy("node").agg(F.max_by("leader", F.struct("overlap", "leader")).alias("leader"))
+    # a set's own rare block bounds its row
+    blocks = scratch(block.groupBy("node").agg(F.min("size").alias("size"), F.collect_list("gram").alias("rare")))
+    star = scratch(_close(star.select(*_pair("node", "leader")).distinct(), blocks, percent))
     sets = _whole_sets(docs, n, _ends(star))
     links = scratch(_links(star, sets, percent))
     labels = union_find_table(links)
@@ -299,7 +315,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     once = (F.col("peer_label") == F.col("main")) | (F.col("node") < F.col("peer"))
     met = minor.join(peers, "gram").where((F.col("label") != F.col("peer_label")) & once & may_link)
     open_pairs = met.select(*_pair("node", "peer")).distinct()
-    open_pairs = scratch(open_pairs.join(star, ["a", "b"], "left_anti"))
+    open_pairs = scratch(_close(open_pairs.join(star, ["a", "b"], "left_anti"), blocks, percent))
     more = _ends(open_pairs).join(sets, "node", "left_anti")
     sets = sets.unionByName(_whole_sets(docs, n, more))
     links = links.unionByName(scratch(_links(open_pairs, sets, percent)))

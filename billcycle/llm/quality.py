@@ -64,9 +64,11 @@ class Features:
                 add(where[: len(shape) - n + 1][same], mixed(run)[same])
         if len(data) > 2:
             triple = data[:-2].astype(np.uint32) << np.uint32(16) | data[1:-1].astype(np.uint32) << np.uint32(8) | data[2:]
-            sizes = np.array([len(x or b"") for x in texts])
-            of = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes + 1)[: len(triple)]
-            inside = of == np.repeat(np.arange(len(texts), dtype=np.uint32), sizes + 1)[2 : 2 + len(triple)]
+            # the gap after a text belongs to none
+            of = np.repeat(np.arange(len(texts), dtype=np.uint32), [len(x or b"") + 1 for x in texts])[:-1]
+            gap = np.cumsum([len(x or b"") + 1 for x in texts])[:-1] - 1
+            of, inside = of[:-2], of[2:] == of[:-2]
+            inside[(gap[:, None] - np.array([0, 1, 2])).clip(0, len(inside) - 1)] = False
             value = (triple * np.uint32(0x9E3779B1)) >> np.uint32(32 - FEATURE_BITS)
             parts.append((of[inside] << np.uint32(FEATURE_BITS)) | value[inside])
         if not parts:
