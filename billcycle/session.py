@@ -12,6 +12,8 @@ SETTINGS = {
     # splits a hot join key (one address, one event, one order) at run time
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # sets of period types are collected by hash for this many entities of a task before it sorts; the default is 128
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     # recording the call site of every column expression triples the driver's time to build a plan
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
