@@ -280,6 +280,19 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _frequent(words: DataFrame) -> DataFrame:
+    """The words with the highest c, FREQUENT at most: those above a threshold that a histogram of c gives, without a sort."""
+    exact = 1 << 12
+    level = F.when(F.col("c") < exact, F.col("c")).otherwise(exact + F.floor(F.log2(F.col("c") / exact) * 64)).cast("long")
+    left, lowest = FREQUENT, None
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        lowest = r["level"]
+    return words.where(level >= lowest) if lowest is not None else words.limit(0)
+
+
 #: Columns made on the way; a column of the documents by such a name is not passed on.
 ADDED = ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "base", "sums", "rare", "rid")
 
@@ -343,7 +356,7 @@ def score_texts(docs: DataFrame, path: str, fittings: int = FITTINGS, kind: str
     scored = scratch(
         words.mapInArrow(score_words, "word string, c long, base double, " + ", ".join(f"{c} double" for c in columns))
     )
-    top = scored.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    top = _frequent(scored).toArrow()
     frequent = spark.sparkContext.broadcast(
         (
             top.column("word").cast(pa.binary()).to_pylist(),
