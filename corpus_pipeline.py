@@ -38,7 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key.alias("key"))
     found = scratch(ngram_join(docs.select(row.alias("doc_id"), "text")).where("n_shingles > 0"))
     dropped = scratch(found.where("doc_id <> component_id").select("doc_id.key").distinct())
-    kept = docs.withColumn("row_key", key).join(dropped.withColumnRenamed("key", "row_key"), "row_key", "left_anti")
+    # what is dropped grows with the documents, so it is never sent to every task, however small it is
+    gone = dropped.withColumnRenamed("key", "row_key").hint("merge")
+    kept = docs.withColumn("row_key", key).join(gone, "row_key", "left_anti")
     repeated = found.where("doc_id = component_id").groupBy("doc_id.key").count().where("count > 1")
     repeated = scratch(repeated.select(F.col("key").alias("row_key")))
     if not repeated.isEmpty():  # equal rows are one
