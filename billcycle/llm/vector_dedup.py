@@ -2,8 +2,11 @@
 
 A pass gives each distinct vector a key: the signs of its products with random directions, one bit after the other. Vectors are
 sorted by key, so that those agreeing in many leading bits stand near each other, and each is compared with the next few
-in this order. The number of passes follows from the number of vectors: a pair at the threshold is to meet in at least one pass with the
-asked probability. Verified pairs of all passes are united to components.
+in this order. Vectors that agree in a prefix of the key are all compared: by those neighbours if they are few, else in blocks of bounded
+size, but for those that are in one component already. A pair at the threshold agrees in a prefix with a chance that its angle alone
+fixes, however crowded its surroundings are, so the length of the prefix gives the number of passes after which the pair has met
+with the asked probability. The length is the cheapest by the sizes of the prefixes' groups as counted. Verified pairs of all passes are
+united to components.
 
 Links inside a component are then counted completely, also those that no window showed and without listing pairs: vectors
 within half the threshold's angle of the component's mean direction are all linked to each other; only the others are compared with the
@@ -25,19 +28,26 @@ from billcycle.llm.common import scratch, table, union_find_table
 #: Neighbours that a vector is compared with in each pass, and sorted rows of one block.
 NEIGHBOURS = 64
 BLOCK = 4096
-#: Rows of one side of a block in which the rest of a component is compared.
+#: Rows of one side of a block in which a crowded prefix or the rest of a component is compared.
 SIDE = 2048
+#: Cost of a row copied into such a block, and of a block, in rows of a pass; passes whose prefixes are counted.
+COPY, GROUP = 2, 20
+PROBES = 2
 KEY_BITS = 64
 MISSED = 0.05
 
 
-def passes_needed(n: int, threshold: float, missed: float = MISSED) -> int:
-    """Passes after which a pair at the threshold has met but for the given probability."""
-    bits = max(0.0, math.log2(max(n, 1) / NEIGHBOURS))
+def passes_for(bits: float, threshold: float, missed: float = MISSED) -> int:
+    """Passes after which a pair at the threshold has agreed in so many leading bits but for the given probability."""
     met = (1 - math.acos(threshold) / math.pi) ** bits
     return 1 if met >= 1 - missed else math.ceil(math.log(missed) / math.log(1 - met))
 
 
+def passes_needed(n: int, threshold: float, missed: float = MISSED) -> int:
+    """Passes for the prefixes that vectors spread evenly need."""
+    return passes_for(max(0.0, math.log2(max(n, 1) / NEIGHBOURS)), threshold, missed)
+
+
 def _directions(dimensions: int, passes: int) -> np.ndarray:
     return np.random.default_rng([20, dimensions]).standard_normal((passes, dimensions, KEY_BITS))
 
@@ -48,7 +58,9 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _keys(nodes: DataFrame, passes: int) -> DataFrame:
+def _keys(nodes: DataFrame, first: int, passes: int) -> DataFrame:
+    """d, pass, key, node for the passes from first on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for whole in batches:
@@ -59,7 +71,7 @@ def _keys(nodes: DataFrame, passes: int) -> DataFrame:
                     batch = whole.take(pa.array(own[begin : begin + 1024]))
                     x = _unit(batch.column("vec").to_pylist())
                     directions = known.setdefault(d, _directions(d, passes))
-                    for k in range(passes):
+                    for k in range(first, passes):
                         bits = np.packbits(x @ directions[k] > 0, axis=1).view(">u8")[:, 0].astype(np.uint64)
                         signed = (bits ^ np.uint64(1 << 63)).view(np.int64)
                         n = batch.num_rows
@@ -107,7 +119,7 @@ def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def _window_links(nodes: DataFrame, passes: int, threshold: float) -> DataFrame:
+def _window_links(nodes: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     """a, b: verified pairs that connect what the windows of all passes link."""
 
     def compare(block: pa.Table) -> pa.Table:
@@ -126,7 +138,7 @@ def _window_links(nodes: DataFrame, passes: int, threshold: float) -> DataFrame:
         kept = np.array(_roots(len(node), pairs), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[kept[:, 0]]), "b": pa.array(node[kept[:, 1]])})
 
-    ranked = _ranked(_keys(nodes, passes)).join(nodes.select("node", "vec"), "node")
+    ranked = _ranked(keys).join(nodes.select("node", "vec"), "node")
     block = F.floor(F.col("rank") / BLOCK).cast("long")
     copies = F.when(
         (F.col("rank") % BLOCK < NEIGHBOURS) & (F.col("rank") >= BLOCK),
@@ -135,6 +147,121 @@ def _window_links(nodes: DataFrame, passes: int, threshold: float) -> DataFrame:
     return ranked.select("d", "pass", "node", "rank", "vec", F.inline(copies)).groupBy("block").applyInArrow(compare, "a long, b long")
 
 
+def _prefix(bits: int):
+    """The leading bits of the key, the same for all that agree in them."""
+    return F.shiftright("key", KEY_BITS - bits) if bits else F.lit(0).cast("long")
+
+
+def _labelled(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    return keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _groups(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Sizes of the prefixes that the neighbours do not cover; parts (by, label, n) counts the members by component.
+
+    A component of SIDE members or more has parts of its own, which are not compared with each other.
+    """
+    big = F.col("n") >= SIDE
+    sizes = parts.groupBy(*by).agg(
+        F.sum("n").alias("size"),
+        F.count("*").alias("labels"),
+        F.ceil(F.coalesce(F.sum(F.when(~big, F.col("n"))), F.lit(0)) / SIDE).alias("rest"),
+        F.coalesce(F.sum(F.when(big, F.ceil(F.col("n") / SIDE))), F.lit(0)).alias("own"),
+        F.coalesce(F.sum(F.when(big, F.col("n") * F.ceil(F.col("n") / SIDE))), F.lit(0)).alias("skipped"),
+    )
+    return sizes.where((F.col("size") > NEIGHBOURS + 1) & (F.col("labels") > 1))
+
+
+def _cheapest_bits(keys: DataFrame, labels: DataFrame, n: int, probes: int, threshold: float) -> int:
+    """Length of the prefix for which passes and blocks cost least, by the groups that the first passes show."""
+    least = max(0, math.floor(math.log2(max(n, 1) / (16 * SIDE))))
+    tried = range(least, min(KEY_BITS, least + 28), 2)
+    prefixes = F.inline(F.array(*[F.struct(F.lit(b).alias("bits"), _prefix(b).alias("prefix")) for b in tried]))
+    by = ["d", "pass", "bits", "prefix"]
+    probed = _labelled(keys.where(F.col("pass") < probes), labels).select("d", "pass", "label", prefixes)
+    found = _groups(probed.groupBy(*by, "label").agg(F.count("*").alias("n")), by).groupBy("bits")
+    copies = F.sum(F.col("size") * (F.col("rest") + F.col("own")) - F.col("skipped"))
+    counted = {r.bits: r.cost for r in found.agg((COPY * copies + GROUP * F.count("*")).alias("cost")).collect()}
+    return min(tried, key=lambda b: (passes_for(b, threshold) * (n + counted.get(b, 0) / probes), b))
+
+
+def _crowd_links(nodes: DataFrame, keys: DataFrame, labels: DataFrame, bits: int, threshold: float) -> DataFrame:
+    """a, b: verified pairs that connect components within each prefix that the neighbours do not cover."""
+    by = ["d", "pass", "prefix"]
+    placed = scratch(_labelled(keys.select("d", "pass", _prefix(bits).alias("prefix"), "node"), labels))
+    parts = scratch(placed.groupBy(*by, "label").agg(F.count("*").alias("n")))
+    sizes = scratch(_groups(parts, by).select(*by, "rest"))
+    own = scratch(
+        parts.where(F.col("n") >= SIDE)
+        .join(sizes, by)
+        .select(*by, "label", F.col("label").alias("home"), F.ceil(F.col("n") / SIDE).alias("own"))
+    )
+    # the parts of each prefix: of large components (home), and of all other members together
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("part")
+    rest = sizes.where("rest > 0").select(*by, F.lit(-1).cast("long").alias("home"), upto("rest"))
+    all_parts = scratch(rest.unionByName(own.select(*by, "home", upto("own"))))
+    others = all_parts.withColumnsRenamed({"home": "home2", "part": "part2"})
+    same = F.col("home") == F.col("home2")
+    pairs = all_parts.join(others, by).where(
+        (F.col("home") < F.col("home2")) | (same & (F.col("home") < 0) & (F.col("part") <= F.col("part2")))
+    )
+    pairs = scratch(pairs)
+    number = F.when(F.col("home").isNull(), F.pmod(F.xxhash64("label"), "rest")).otherwise(F.pmod(F.xxhash64("node"), "own"))
+    members = (
+        placed.join(sizes, by)
+        .join(own, [*by, "label"], "left")
+        .select(*by, "label", "node", number.alias("part"), F.coalesce("home", F.lit(-1)).alias("home"))
+        .join(nodes.select("node", "vec"), "node")
+    )
+    one = members.join(pairs, [*by, "home", "part"])
+    # a part is compared with itself without a second copy
+    apart = pairs.where((F.col("home") != F.col("home2")) | (F.col("part") != F.col("part2")))
+    other = members.withColumnsRenamed({"home": "home2", "part": "part2"}).join(apart, [*by, "home2", "part2"])
+    block = [*by, "home", "part", "home2", "part2"]
+
+    def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+        other = other if other.num_rows else one
+        found: list[tuple[int, int]] = []
+        if one.num_rows:
+            a, b = one.column("node").to_numpy(), other.column("node").to_numpy()
+            names = np.concatenate([one.column("label").to_numpy(), other.column("label").to_numpy()])
+            code = np.unique(names, return_inverse=True)[1]
+            x, y = code[: len(a)], code[len(a) :]
+            linked = _unit(one.column("vec").to_pylist()) @ _unit(other.column("vec").to_pylist()).T >= threshold
+            linked &= x[:, None] != y[None, :]
+            group = np.arange(code.max() + 1)
+            for i in np.flatnonzero(linked.any(axis=1)).tolist():
+                at = np.flatnonzero(linked[i])
+                met, first = np.unique(group[y[at]], return_index=True)
+                new = met != group[x[i]]
+                if new.any():
+                    found += [(int(a[i]), int(b[j])) for j in at[first[new]].tolist()]
+                    group[np.isin(group, met)] = group[x[i]]
+        kept = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(kept[:, 0]), "b": pa.array(kept[:, 1])})
+
+    columns = [F.col(c).alias(c) for c in (*block, "node", "label", "vec")]  # aliases keep the two sides' columns apart
+    both = one.select(*columns).groupBy(*block).cogroup(other.select(*columns).groupBy(*block))
+    return both.applyInArrow(compare, "a long, b long")
+
+
+def _labels(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """node, label: the components of the verified pairs of all that meets in a pass."""
+    first = passes_needed(n, threshold)
+    keys = scratch(_keys(nodes, 0, first))
+    links = scratch(_window_links(nodes, keys, threshold))
+    labels = scratch(union_find_table(links.distinct()))
+    bits = _cheapest_bits(keys, labels, n, min(PROBES, first), threshold)
+    passes = passes_for(bits, threshold)
+    if passes > first:
+        more = scratch(_keys(nodes, first, passes))
+        links = links.unionByName(scratch(_window_links(nodes, more, threshold)))
+        labels = scratch(union_find_table(links.distinct()))
+        keys = keys.unionByName(more)
+    crowded = scratch(_crowd_links(nodes, keys.where(F.col("pass") < passes), labels, bits, threshold))
+    return labels if crowded.isEmpty() else scratch(union_find_table(links.unionByName(crowded).distinct()))
+
+
 def _centres(members: DataFrame) -> DataFrame:
     """label, centre: the mean direction of each component, summed in tasks first."""
 
@@ -244,8 +371,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id())
     )
     packed = scratch(_packed(nodes.select("node", "v", "copies")))
-    passes = passes_needed(packed.count(), threshold)
-    labels = scratch(union_find_table(scratch(_window_links(packed, passes, threshold)).distinct()))
+    labels = _labels(packed, packed.count(), threshold)
     members = scratch(_is_inner(packed.join(labels, "node"), threshold))
     inner = members.where("inner").groupBy("label").agg(F.sum("copies").alias("inner_rows"))
     others = members.join(inner, "label", "left").join(_outer_links(members, threshold), "node", "left")

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from billcycle.llm import vector_dedup
 from billcycle.llm.ngram_join import ngram_join
 from billcycle.llm.vector_dedup import near_vectors, passes_needed
 from tests.llm.conftest import ODD_TEXTS
@@ -135,3 +136,27 @@ def test_vectors_that_link_with_nothing(spark):
 def test_passes_grow_with_the_vectors():
     assert passes_needed(10, 0.9) == 1
     assert 1 < passes_needed(10_000, 0.9) < passes_needed(10_000_000, 0.9) < 100
+
+
+@pytest.mark.parametrize("cosine", [0.7, 0.8])
+def test_vectors_of_one_topic(spark, monkeypatch, cosine):
+    """A third of all rows share a direction (cosine to each other); pairs of 0.9 to 0.92 among them. Once by prefixes alone."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((6000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    for i in range(2000):
+        base[i] = near(rng, base[5999], np.sqrt(cosine))
+    planted = [near(rng, base[i], rng.uniform(0.9, 0.92)) for i in range(400)]
+    rows = [(i, v.tolist()) for i, v in enumerate([*base, *planted])]
+    linked = cosines(rows, 0.9)
+    assert linked.sum() // 2 >= 400
+    whole = np.array(components(len(rows), zip(*np.nonzero(np.triu(linked)), strict=True)))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for copied in (vector_dedup.COPY, 1000):  # then blocks seem dear: short groups in many passes
+        monkeypatch.setattr(vector_dedup, "COPY", copied)
+        found = near_vectors(frame).toPandas().sort_values("vec_id")
+        recall = found.n_links.sum() / linked.sum()
+        print(f"cosine {cosine}, cost of a copy {copied}: {recall:.4f} of the links")
+        assert (found.n_links.values <= linked.sum(axis=1)).all()
+        assert recall >= 0.95
+        assert (found.component_id.values == whole).mean() > 0.97
