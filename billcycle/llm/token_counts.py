@@ -39,7 +39,7 @@ class Counter:
         self.odd = regex.compile(ODD_SPACE)
         #: Bytes that such white space may begin with
         self.maybe = np.zeros(256, bool)
-        self.maybe[[*range(9), *range(11, 32), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+        self.maybe[[*range(10), *range(11, 32), 0xC2, 0xE1, 0xE2, 0xE3]] = True
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Characters next to a chunk's end that may be encoded otherwise when the text goes on
         self.margin = max([len(x) for x in special], default=0) + 2

@@ -218,3 +218,18 @@ def test_minimal_perfect_hash_fills_every_slot():
     pilots = token_ids.find_pilots(h1, h2, 750)
     slots = token_ids._slots(h1, h2, pilots[token_ids._buckets(h2, 750)].astype(np.uint64), 3000)
     assert sorted(slots.tolist()) == list(range(3000))
+
+
+def test_counts_where_the_vocabulary_joins_a_tab_and_a_blank(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    tab, blank, feed = "\u0109", "\u0120", "\u010a"
+    vocabulary = {x: i for i, x in enumerate([*letters, tab + blank, tab + feed])}
+    tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=[(tab, blank), (tab, feed)]))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    path = str(tmp_path / "tabs.json")
+    tokenizer.save(path)
+    texts = ["a\t  b", "a\t\n\nb", "a\tb", "a b"]
+    whole = [len(tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+    assert token_counts.Counter(path).counts([t.encode() for t in texts]) == whole
