@@ -8,6 +8,7 @@ is a table: responses are looked up by byte pair and added, which is the same su
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,8 @@ EMBEDDING = 8
 #: Training takes about this many texts of each language, and this many windows of each, spread over the text.
 TEXTS_PER_LANGUAGE = 1000
 WINDOWS_PER_TEXT = 4
-#: Languages that can be learned; with more, the most frequent ones are.
-MOST_LANGUAGES = 200
+#: Languages that get so many texts; more languages share the texts of these.
+FULL_LANGUAGES = 200
 EPOCHS = 6
 
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
@@ -163,16 +164,21 @@ class Predictor:
 def learn(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Network | None:
     """A network from the rows (doc_id, text, lang) that have both text and lang; None if there are none.
 
-    The sample is bounded: about ``per_language`` texts of each of at most MOST_LANGUAGES languages, chosen by a hash of id
-    and text, and WINDOWS_PER_TEXT windows of each, cut on the executors.
+    Every language that occurs is learned. The texts are bounded: about ``per_language`` of each language, or an equal share of
+    FULL_LANGUAGES times as many where there are more languages, but at least one. They are chosen by a hash of id and text,
+    and WINDOWS_PER_TEXT windows of each are cut on the executors.
     """
     rows = labelled.where("text is not null and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    has_letter = F.col("text").rlike("[A-Za-z]|[^\\x00-\\x7f]")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.when(has_letter, place)).alias("least")).collect()
     if not counts:
         return None
-    languages = sorted(counts)
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(per_language / n))])
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    languages = sorted(r.lang for r in counts)
+    per_language = max(1, min(per_language, per_language * FULL_LANGUAGES // len(languages)))
+    # the first text of each is always taken, however small the share
+    shares = [(r.lang, max(per_language / r.n, 0.0 if r.least is None else math.nextafter(r.least, 2))) for r in counts]
+    shares = labelled.sparkSession.createDataFrame(shares, "lang string, share double")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -185,7 +191,7 @@ def learn(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Networ
                         names.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(names, pa.string())], names=["w", "lang"])
 
-    sample = rows.where(place < share[F.col("lang")]).mapInArrow(cut, "w binary, lang string")
+    sample = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("doc_id", "text", "lang").mapInArrow(cut, "w binary, lang string")
     found = sample.limit(2 * per_language * WINDOWS_PER_TEXT * len(languages)).toArrow()
     if not found.num_rows:
         return None

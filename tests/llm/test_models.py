@@ -173,3 +173,14 @@ def test_log_gamma():
 def test_held_out_texts_score_better_than_by_words_alone(spark):
     found = lattice_lm.op9_lattice_lm(spark, FOLDER).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert found[0] > found[1]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More labels than get a full share, one of them frequent: each has windows in the sample, and the sample stays bounded."""
+    rows = [(i, f"word{i % 230} text{i}", f"l{i % 230:03d}") for i in range(460)] + [(1000 + i, f"often {i}", "l000") for i in range(2000)]
+    seen = {}
+    monkeypatch.setattr(language, "train", lambda x, y, languages: seen.update(y=y, languages=languages))
+    language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 2)
+    assert seen["languages"] == [f"l{i:03d}" for i in range(230)]
+    assert set(seen["y"].tolist()) == set(range(230))
+    assert len(seen["y"]) <= 2 * 230 * language.WINDOWS_PER_TEXT
