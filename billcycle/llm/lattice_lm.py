@@ -32,8 +32,6 @@ from billcycle.llm.token_ids import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "\N{LOWER ONE EIGHTH BLOCK}".encode()
-#: Longest piece that is used, in bytes.
-LONGEST = 16
 FITTINGS = 2
 #: Words that go to every task with their scores, and distinct words that a task counts before it sends them.
 FREQUENT = 200_000
@@ -66,7 +64,7 @@ def read_pieces(path: str) -> list[tuple[bytes, bool, float]]:
         raw = model.id_to_piece(i).encode()
         begins = raw.startswith(MARK)
         raw = raw[len(MARK) :] if begins else raw
-        if MARK not in raw and len(raw) <= LONGEST:
+        if MARK not in raw:
             score = model.get_score(i)
             found[raw, begins] = 1 / (10 - score) if score > -1e6 else 1e-4
     return [(raw, begins, weight) for (raw, begins), weight in sorted(found.items())]
@@ -81,7 +79,10 @@ class Lattice:
     def __init__(self, pieces: list[tuple[bytes, bool, float]], kinds: int = 1) -> None:
         self.begins = np.array([b for _, b, _ in pieces])
         self.bare = next(i for i, (raw, b, _) in enumerate(pieces) if b and not raw)
-        self.powers = np.cumprod(np.full(LONGEST + 1, self.BASE, np.uint64))
+        #: Lengths in bytes that a piece has; the recursion goes through all of them
+        self.lengths = sorted({len(raw) for raw, _, _ in pieces if raw})
+        self.longest = self.lengths[-1]
+        self.powers = np.cumprod(np.full(self.longest + 1, self.BASE, np.uint64))
         self.sides = []
         for side in (True, False):
             ids = [i for i, (raw, b, _) in enumerate(pieces) if b == side and raw]
@@ -108,16 +109,17 @@ class Lattice:
             value += (byte + 1) * int(self.powers[k])
         return (value + len(raw)) * 0x9E3779B97F4A7C15 % (1 << 64)
 
-    def arcs(self, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
-        """For each length the ids of the pieces at each place of words (n, size), -1 for none; and those that begin the word."""
+    def arcs(self, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length that pieces have, the length, the ids of the pieces at each place of words (n, size), -1 for none; and those that begin the word."""
         n, size = words.shape
         out = []
         value = np.zeros((n, size), np.uint64)
-        for length in range(1, min(LONGEST, size) + 1):
+        for length in range(1, min(self.longest, size) + 1):
             places = size - length + 1
             value = value[:, :places] + (words[:, length - 1 : length - 1 + places].astype(np.uint64) + np.uint64(1)) * self.powers[length - 1]
-            key = (value + np.uint64(length)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((self._find(key, 1), self._find(key[:, 0], 0)))
+            if length in self.lengths:
+                key = (value + np.uint64(length)) * np.uint64(0x9E3779B97F4A7C15)
+                out.append((length, self._find(key, 1), self._find(key[:, 0], 0)))
         return out
 
     def _find(self, key: np.ndarray, side: int) -> np.ndarray:
@@ -131,16 +133,16 @@ class Lattice:
     def _weights(self, ids: np.ndarray, kind: int) -> np.ndarray:
         return np.where(ids >= 0, self.logs[kind][ids], NEVER)
 
-    def forward(self, size: int, arcs: list, kind: int) -> tuple[np.ndarray, np.ndarray, list]:
+    def forward(self, size: int, arcs: list, kind: int) -> tuple[np.ndarray, np.ndarray, dict]:
         """Log probability of each word of this size, the forward sums at each place, and the weights of the arcs."""
-        onward = [self._weights(ids, kind) for ids, _ in arcs]
-        begin = [self._weights(ids, kind) for _, ids in arcs]
-        sums = np.full((size + 1, len(arcs[0][1])), NEVER)
+        onward = {k: self._weights(ids, kind) for k, ids, _ in arcs}
+        begin = {k: self._weights(ids, kind) for k, _, ids in arcs}
+        sums = np.full((size + 1, len(arcs[0][2])), NEVER)
         sums[0] = self.logs[kind][self.bare]
         for j in range(1, size + 1):
-            ways = [sums[j - k] + onward[k - 1][:, j - k] for k in range(1, min(LONGEST, j) + 1)]
-            if j <= LONGEST:
-                ways.append(begin[j - 1])
+            ways = [sums[j - k] + w[:, j - k] for k, w in onward.items() if k <= j]
+            if j in begin:
+                ways.append(begin[j])
             most = np.max(ways, axis=0)
             sums[j] = most + np.log(np.sum(np.exp(np.array(ways) - most), axis=0))
         return sums[size] + self.stops[kind], sums, onward
@@ -151,12 +153,12 @@ class Lattice:
         back = np.full((size + 1, len(total)), NEVER)
         back[size] = self.stops[kind]
         for i in range(size - 1, -1, -1):
-            ways = [back[i + k] + onward[k - 1][:, i] for k in range(1, min(LONGEST, size - i) + 1)]
+            ways = [back[i + k] + w[:, i] for k, w in onward.items() if k <= size - i]
             most = np.max(ways, axis=0)
             back[i] = most + np.log(np.sum(np.exp(np.array(ways) - most), axis=0))
         counts[self.bare] += np.exp(self.logs[kind][self.bare] + back[0] - total).sum()
-        for k, (ids, first) in enumerate(arcs, 1):
-            share = np.exp(sums[: size - k + 1].T + onward[k - 1] + back[k:].T - total[:, None])
+        for k, ids, first in arcs:
+            share = np.exp(sums[: size - k + 1].T + onward[k] + back[k:].T - total[:, None])
             counts += np.bincount(ids[ids >= 0], share[ids >= 0], len(counts))
             share = np.exp(self._weights(first, kind) + back[k] - total)
             counts += np.bincount(first[first >= 0], share[first >= 0], len(counts))
@@ -166,7 +168,7 @@ class Lattice:
         sizes = np.array([len(w) for w in words], np.int64)
         for size in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == size)
-            most = max(1, STEP_BYTES // (size * min(size, LONGEST)))
+            most = max(1, STEP_BYTES // (size * min(size, len(self.lengths))))
             for begin in range(0, len(own), most):
                 part = own[begin : begin + most]
                 yield part, np.frombuffer(b"".join(words[i] for i in part.tolist()), np.uint8).reshape(len(part), size)
@@ -249,7 +251,7 @@ def fit_pieces(words: DataFrame, path: str, kinds: int, fittings: int = FITTINGS
                         own = np.flatnonzero(of[kind, part])
                         if len(own):
                             counts[kind, -1] += len(own)
-                            mine = [(ids[own], first[own]) for ids, first in arcs]
+                            mine = [(k, ids[own], first[own]) for k, ids, first in arcs]
                             lattice.expected(block.shape[1], mine, kind, counts[kind, :-1])
             yield _slices(counts.reshape(-1))
 

@@ -184,3 +184,25 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert seen["languages"] == [f"l{i:03d}" for i in range(230)]
     assert set(seen["y"].tolist()) == set(range(230))
     assert len(seen["y"]) <= 2 * 230 * language.WINDOWS_PER_TEXT
+
+
+def test_lattice_has_the_longest_pieces():
+    """All pieces of the vocabulary are in the lattice, and the sum is over all segmentations of a word of one of the longest."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    named = [model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    raws = [x.removeprefix(lattice_lm.MARK) for x in named]
+    pieces = lattice_lm.read_pieces(PIECES)
+    assert {x for x in raws if lattice_lm.MARK not in x} <= {raw for raw, _, _ in pieces}
+    lattice = lattice_lm.Lattice(pieces)
+    place = {(raw, begins): i for i, (raw, begins, _) in enumerate(pieces)}
+    word = max((raw for raw, _, _ in pieces), key=len)
+    assert len(word) > 16 and lattice.longest == len(word)
+    logs = lattice.logs[0]
+    sums = [math.exp(logs[place[b"", True]])] + [0.0] * len(word)
+    for j in range(1, len(word) + 1):
+        if (word[:j], True) in place:
+            sums[j] += math.exp(logs[place[word[:j], True]])
+        sums[j] += sum(sums[i] * math.exp(logs[place[word[i:j], False]]) for i in range(j) if (word[i:j], False) in place)
+    assert lattice.log_probabilities([word])[0, 0] == pytest.approx(math.log(sums[-1]) + lattice.stops[0])
