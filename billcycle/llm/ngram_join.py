@@ -30,6 +30,8 @@ SLICE = 1 << 14
 FILTER_BITS = 1 << 24
 #: Sets that a task remembers to have sent already.
 SEEN = 200_000
+#: Nodes of one side of a block in which a component's links are counted.
+SIDE = 256
 
 
 def set_sizes(n: int):
@@ -247,14 +249,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return scratch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, node, component_id for each row of docs (doc_id, text; more columns are ignored).
-
-    Words are lower-cased (A-Z) runs without ASCII white space. Rows with fewer than n words have their whole sequence as
-    their one n-gram; rows without words or with null text have an empty set, node null, and are their own component.
-    Rows with equal sets are one node, so copies cost nothing and are always linked. component_id is the smallest doc_id
-    that is linked by any chain; a null doc_id counts only if there is no other. An empty table gives an empty result.
-    """
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """What ngram_join returns, and label, the component's smallest node."""
     first = scratch(_sizes(docs, n))
     sketch = _sketch(first.where("slice is not null"))
     rows = first.where("slice is null").select(
@@ -323,9 +319,74 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
     found = rows.where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = scratch(found.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    named = found.join(smallest, "label").select("doc_id", "n_shingles", "node", "component_id")
+    named = found.join(smallest, "label").select("doc_id", "n_shingles", "node", "component_id", "label")
     alone = rows.where("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone)
+    return named.unionByName(alone, allowMissingColumns=True)
+
+
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, node, component_id for each row of docs (doc_id, text; more columns are ignored).
+
+    Words are lower-cased (A-Z) runs without ASCII white space. Rows with fewer than n words have their whole sequence as
+    their one n-gram; rows without words or with null text have an empty set, node null, and are their own component.
+    Rows with equal sets are one node, so copies cost nothing and are always linked. component_id is the smallest doc_id
+    that is linked by any chain; a null doc_id counts only if there is no other. An empty table gives an empty result.
+    """
+    return _joined(docs, n, percent).drop("label")
+
+
+def ngram_links(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """The columns of ngram_join and n_links, the number of other rows whose sets reach the threshold with the row's set.
+
+    All pairs of nodes of a component are verified, in blocks of at most about SIDE nodes a side, and no pair is listed. Rows with
+    an empty set link with nothing.
+    """
+    joined = scratch(_joined(docs, n, percent))
+    nodes = joined.where("node is not null").groupBy("label", "node").agg(F.count("*").alias("copies"))
+    nodes = scratch(nodes)
+    parts = nodes.groupBy("label").agg(F.ceil(F.count("*") / SIDE).alias("parts"), F.count("*").alias("nodes"))
+    members = scratch(nodes.join(parts.where("nodes > 1"), "label").withColumn("part", F.pmod(F.xxhash64("node"), "parts")))
+    filled = members.join(_whole_sets(docs, n, members.select("node")), "node")
+    upto = F.sequence(F.lit(0).cast("long"), F.col("part"))
+    block = ["label", "row", "column"]
+    rows = filled.select(
+        "label", F.col("part").alias("row"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("column"), "node", "copies", "grams"
+    )
+    # a part is compared with itself without a second copy
+    columns = filled.select("label", F.explode(upto).alias("row"), F.col("part").alias("column"), "node", "copies", "grams").where("row < column")
+
+    def compare(key: tuple, one: pa.Table, other: pa.Table) -> pa.Table:
+        same = key[1].as_py() == key[2].as_py()
+        other = one if same else other
+        if not one.num_rows or not other.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        a, b = one.column("node").to_numpy(), other.column("node").to_numpy()
+        left = [np.frombuffer(x, np.uint64) for x in one.column("grams").to_pylist()]
+        right = [np.frombuffer(x, np.uint64) for x in other.column("grams").to_pylist()]
+        sizes = np.array([len(x) for x in right])
+        flat = np.concatenate(right)
+        order = np.argsort(flat)
+        flat, owner = flat[order], np.repeat(np.arange(len(right)), sizes)[order]
+        linked = np.zeros((len(left), len(right)), bool)
+        for i, x in enumerate(left):
+            low = np.searchsorted(flat, x)
+            found = np.searchsorted(flat, x, side="right") - low
+            at = np.repeat(low - np.cumsum(found) + found, found) + np.arange(found.sum())
+            overlap = np.bincount(owner[at], minlength=len(right))
+            linked[i] = (100 * overlap >= percent * (len(x) + sizes - overlap)) & (b != a[i])
+        mine = linked @ other.column("copies").to_numpy()
+        if same:
+            return pa.table({"node": a, "n": mine})
+        theirs = one.column("copies").to_numpy() @ linked
+        return pa.table({"node": np.concatenate([a, b]), "n": np.concatenate([mine, theirs])})
+
+    # written, so that the two sides' columns are different ones
+    both = scratch(rows).groupBy(*block).cogroup(scratch(columns).groupBy(*block))
+    links = both.applyInArrow(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    counted = scratch(nodes.join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
+    linked = joined.where("node is not null").join(counted, "node")
+    alone = joined.where("node is null").withColumn("n_links", F.lit(0).cast("long"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", "node", "component_id", "n_links")
 
 
 def op10_ngram_join(spark, folder) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from billcycle.llm import ngram_join as ngrams
 from billcycle.llm import vector_dedup
 from billcycle.llm.ngram_join import ngram_join
 from billcycle.llm.vector_dedup import near_vectors, passes_needed
@@ -160,3 +161,20 @@ def test_vectors_of_one_topic(spark, monkeypatch, cosine):
         assert (found.n_links.values <= linked.sum(axis=1)).all()
         assert recall >= 0.95
         assert (found.component_id.values == whole).mean() > 0.97
+
+
+def test_links_of_each_document(spark, prose, monkeypatch):
+    """Number of links by all pairs: copies, near copies around the threshold, a chain, empty and null texts; several blocks a component."""
+    monkeypatch.setattr(ngrams, "SIDE", 8)
+    texts = [prose(i, 60) for i in range(12)] + [prose(3, 60)] * 3 + ["", None]
+    texts += [changed(texts[1], s, 0.03) for s in range(30)]
+    chain = prose(77, 120)
+    for i in range(6):
+        chain = changed(chain, 500 + i, 0.02)
+        texts.append(chain)
+    sets = [shingles(t) for t in texts]
+    linked = [[i != j and bool(x & y) and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    frame = spark.createDataFrame([(None if i == 5 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.n_links for r in ngrams.ngram_links(frame).collect()}
+    assert found == {None if i == 5 else i: sum(x) for i, x in enumerate(linked)}
+    assert 0 < sum(linked[20]) < 30
