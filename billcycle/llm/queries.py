@@ -13,6 +13,7 @@ from billcycle.llm import (
     lattice_lm,
     mixing,
     ngram_join,
+    periodic_runs,
     quality,
     token_counts,
     token_ids,
@@ -41,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_lattice_lm": lattice_lm.op9_lattice_lm,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
@@ -50,4 +52,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": mixing.mixing_sql(),
         "op3_decontamination": decontaminate.decontamination_sql(),
         "op7_chat": chat.chat_sql(),
+        "op12_periodic_runs": periodic_runs.runs_sql(),
     }
