@@ -12,12 +12,14 @@ from billcycle.llm import (
     language,
     lattice_lm,
     mixing,
+    neighbours,
     ngram_join,
     periodic_runs,
     quality,
     token_counts,
     token_ids,
     vector_dedup,
+    whitening,
 )
 from billcycle.llm.common import ship_code
 
@@ -42,7 +44,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_lattice_lm": lattice_lm.op9_lattice_lm,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op11_neighbours": neighbours.op11_neighbours,
         "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_whitening": whitening.op13_whitening,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
