@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -116,20 +117,137 @@ def test_lattice_sums_all_segmentations():
                 else:
                     keys = [(b"", True), *[(p, False) for p in parts]]
                 if all(k in place for k in keys):
-                    total += math.exp(sum(lattice.logs[0][place[k]] for k in keys) + lattice.stops[0])
+                    total += math.prod(lattice.probabilities[place[k], 0] for k in keys) * lattice.stops[0]
         return math.log(total)
 
-    assert np.allclose(lattice.log_probabilities(words)[0], [by_hand(w) for w in words])
+    assert np.allclose(lattice.log_probabilities(words)[:, 0], [by_hand(w) for w in words])
 
 
 def test_expected_pieces_of_a_word_cover_it():
     pieces = lattice_lm.read_pieces(PIECES)
-    lattice = lattice_lm.Lattice(pieces)
-    counts = np.zeros(len(pieces))
-    word = np.frombuffer(b"thention" * 3, np.uint8).reshape(3, 8)
-    lattice.expected(8, lattice.arcs(word), 0, counts)
+    lattice = lattice_lm.Lattice(pieces, 2)
+    counts = np.zeros((len(pieces), 2))
+    words = np.array([list(b"thention"), list(b"thention"), list(b"the\0\0\0\0\0"), list(b"onward\0\0")], np.uint8)
+    lattice.expected(words, np.array([8, 8, 3, 6]), np.array([True, True, True, False]), np.array([0, 1, 1, 1]), counts)
     sizes = np.array([len(raw) for raw, _, _ in pieces])
-    assert counts @ sizes == pytest.approx(24) and counts[lattice.begins].sum() == pytest.approx(3)
+    assert sizes @ counts == pytest.approx([8, 17]) and counts[lattice.begins].sum(axis=0) == pytest.approx([1, 2])
+
+
+PLACES: dict[int, dict] = {}
+
+
+def places(pieces) -> dict:
+    if id(pieces) not in PLACES:
+        PLACES[id(pieces)] = {(raw, begins): i for i, (raw, begins, _) in enumerate(pieces)}
+    return PLACES[id(pieces)]
+
+
+def plain_sum(lattice, pieces, word, kind=0):
+    """Log of a word's sum over all segmentations, place by place with whole numbers of pieces, in logarithms."""
+    p, place = lattice.probabilities[:, kind], places(pieces)
+    sums = [math.log(p[place[b"", True]])] + [-np.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        ways = [math.log(p[place[word[:j], True]])] if (word[:j], True) in place else []
+        ways += [sums[i] + math.log(p[place[word[i:j], False]]) for i in range(max(0, j - lattice.longest), j) if (word[i:j], False) in place]
+        sums[j] = np.logaddexp.reduce(ways)
+    return sums[-1] + math.log(lattice.stops[kind])
+
+
+def test_words_of_any_length(prose):
+    """Short words, words cut at free places, and long stretches that no cut can divide, beside each other."""
+    pieces = lattice_lm.read_pieces(PIECES)
+    lattice = lattice_lm.Lattice(pieces, 2)
+    rng = np.random.default_rng(3)
+    lattice.fit(1, rng.random(len(pieces)) ** 4, 0.3)
+    joined = prose(1, 400).replace(" ", "").encode()
+    words = [b"a", joined[:48], joined[:49], joined[:700], b"x" * 49, b"x" * 1000, b"ab" * 333, bytes(rng.integers(128, 256, 300).tolist())]
+    words += ["\N{CJK UNIFIED IDEOGRAPH-4E2D}\N{CJK UNIFIED IDEOGRAPH-6587}".encode() * 100, b"the" * 40 + b"\xff" * 90 + b"x" * 200]
+    found = lattice.log_probabilities(words)
+    for kind in range(2):
+        assert np.allclose(found[:, kind], [plain_sum(lattice, pieces, w, kind) for w in words], rtol=1e-11)
+
+
+def test_probabilities_of_a_lattice_add_up_to_one():
+    """All words over two letters up to a length, of a vocabulary that has no other bytes; longer ones hold next to nothing."""
+    pieces = [(b"", True, 0.3), (b"ab", True, 0.5), (b"b", True, 0.2), (b"a", False, 0.2), (b"b", False, 0.1), (b"aba", False, 0.3)]
+    lattice = lattice_lm.Lattice(pieces)
+    lattice.fit(0, np.array([3.0, 5, 2, 1, 2, 1]), 40.0)
+    words = [bytes(w) for n in range(1, 17) for w in itertools.product(b"ab", repeat=n)]
+    empty = lattice.probabilities[0, 0] * lattice.stops[0]
+    assert np.exp(lattice.log_probabilities(words)).sum() + empty == pytest.approx(1, abs=1e-6)
+
+
+def test_a_token_has_a_mass_of_one_in_every_kind():
+    """Over the training words, what the lattice leaves for all others, and the end."""
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 4, (500, 11)) * (rng.random((500, 11)) < 0.4)
+    row, kind = np.nonzero(counts)
+    texts = {f"k{k}": int(n) for k, n in enumerate(rng.integers(1, 50, 11))}
+    columns = [(counts * 1.0).sum(axis=0), (counts > 0).sum(axis=0), (counts == 1).sum(axis=0), (counts == 2).sum(axis=0)]
+    model = lattice_lm.Model(texts, *(np.array(c, float) for c in columns), int((counts.sum(axis=1) > 0).sum()))
+    lattices = np.log(rng.dirichlet(np.ones(501), 11).T)  # of these words, and of all others together
+    c = np.append(counts.sum(axis=1), 0)
+    mass = np.exp(model.words_logs(lattices, c, row, kind, counts[row, kind].astype(float))).sum(axis=0) + model.ends / model.sizes
+    assert np.allclose(mass, 1, rtol=1e-12)
+
+
+def score_by_hand(rows, path):
+    """log10 probability and lattice score of all texts: one token after the other, a model for each kind, one fitting."""
+    pieces = lattice_lm.read_pieces(path)
+    kinds = sorted({k or "" for _, _, learn, k in rows if learn})
+    own = {k: Counter(w for _, t, learn, kind in rows if learn and (kind or "") == k for w in lattice_lm.tokens((t or "").encode())) for k in kinds}
+    ends = {k: sum(learn and (kind or "") == k for _, _, learn, kind in rows) for k in kinds}
+    every = sum(own.values(), Counter())
+    lattice, start = lattice_lm.Lattice(pieces, len(kinds)), lattice_lm.Lattice(pieces)
+    for i, k in enumerate(kinds):  # the expected number of each piece, word by word
+        counts = np.zeros((len(pieces), len(kinds)))
+        for w in own[k]:
+            start.expected(np.frombuffer(w, np.uint8)[None], np.array([len(w)]), np.array([True]), np.array([0]), counts[:, i : i + 1])
+        lattice.fit(i, counts[:, i], len(own[k]))
+    n = {k: sum(own[k].values()) + ends[k] for k in kinds}
+    d = {}
+    for k in kinds:
+        once, twice = (sum(c == x for c in own[k].values()) for x in (1, 2))
+        d[k] = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+
+    texts = [lattice_lm.tokens((t or "").encode()) for _, t, _, _ in rows]
+    sums = {(w, i): math.exp(plain_sum(lattice, pieces, w, i)) for w in set().union(*texts) for i in range(len(kinds))}
+
+    def p(word, i, k):
+        rest = (1 - lattice_lm.SHARED) * sums[word, i] + lattice_lm.SHARED * every[word] / sum(every.values())
+        return max(own[k][word] - d[k], 0) / n[k] + d[k] * len(own[k]) / n[k] * rest
+
+    out = {}
+    for doc_id, text, _, _ in rows:
+        words, logs, lat = lattice_lm.tokens((text or "").encode()), [], 0.0
+        for i, k in enumerate(kinds):
+            log, seen = math.log(ends[k] / sum(ends.values())), Counter()
+            for t, w in enumerate(words):
+                log += math.log((lattice_lm.OWN * p(w, i, k) + seen[w]) / (lattice_lm.OWN + t))
+                seen[w] += 1
+            logs.append(log + math.log(lattice_lm.OWN * ends[k] / n[k] / (lattice_lm.OWN + len(words))))
+        for w in words:
+            lat += math.log10(sum(ends[k] / sum(ends.values()) * sums[w, i] for i, k in enumerate(kinds)))
+        out[doc_id] = (np.logaddexp.reduce(logs) / math.log(10), lat + math.log10(sum(ends.values()) / sum(n.values())))
+    return out
+
+
+def test_scores_equal_the_model_written_out(spark, prose):
+    """Eleven kinds, words that come often in a text, unknown words, odd texts."""
+    texts = [*[t for t in ODD_TEXTS if t is None or len(t) < 100], *[prose(i, 12 + i) for i in range(30)], "ha " * 20 + "zzyx new new"]
+    rows = [(i, t, i % 4 > 0, f"k{i % 11}" if i % 11 else None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean, lang string")
+    expected = score_by_hand(rows, PIECES)
+    for r in lattice_lm.score_texts(docs, PIECES, fittings=1, kind="lang").collect():
+        assert (r.score, r.lattice_score) == pytest.approx(expected[r.doc_id], rel=1e-8)
+
+
+def test_a_long_word_without_blanks_takes_time_by_its_bytes(spark):
+    rows = [(1, "x" * 1_000_000, True, "a"), (2, "\N{CJK UNIFIED IDEOGRAPH-4E2D}" * 300_000, True, "b"), (3, "short words here", True, "a")]
+    started = time.monotonic()
+    found = {r.doc_id: r for r in lattice_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string, learn boolean, lang string"), PIECES, kind="lang").collect()}
+    assert found[1].n_tokens == 2 and all(-math.inf < r.score < 0 and -math.inf < r.lattice_score < 0 for r in found.values())
+    assert time.monotonic() - started < 120
 
 
 def base_by_hand(rows):
@@ -199,10 +317,10 @@ def test_lattice_has_the_longest_pieces():
     place = {(raw, begins): i for i, (raw, begins, _) in enumerate(pieces)}
     word = max((raw for raw, _, _ in pieces), key=len)
     assert len(word) > 16 and lattice.longest == len(word)
-    logs = lattice.logs[0]
+    logs = np.log(lattice.probabilities[:, 0])
     sums = [math.exp(logs[place[b"", True]])] + [0.0] * len(word)
     for j in range(1, len(word) + 1):
         if (word[:j], True) in place:
             sums[j] += math.exp(logs[place[word[:j], True]])
         sums[j] += sum(sums[i] * math.exp(logs[place[word[i:j], False]]) for i in range(j) if (word[i:j], False) in place)
-    assert lattice.log_probabilities([word])[0, 0] == pytest.approx(math.log(sums[-1]) + lattice.stops[0])
+    assert lattice.log_probabilities([word])[0, 0] == pytest.approx(math.log(sums[-1] * lattice.stops[0]))
