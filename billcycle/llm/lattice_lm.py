@@ -469,7 +469,7 @@ def rising(logs: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 def _sums(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     """(rows, kinds): the values (n, kinds) added up by row."""
-    return np.stack([np.bincount(row, own, rows) for own in values.T], axis=1)
+    return np.stack([np.bincount(row, own, rows) for own in values.T], axis=1).astype(float)
 
 
 def _arrays(values: np.ndarray) -> pa.Array:
