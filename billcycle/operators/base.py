@@ -6,11 +6,10 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billcycle.functions.dates import local_time, month_start, next_month, to_date
-from billcycle.functions.firstrow import extreme_row
 from billcycle.functions.jsonx import json_value
 from billcycle.operators.history import effective_tenure, event_priority, named_transitions
 from billcycle.schemas import (
@@ -226,28 +225,48 @@ def of_base(transitions: DataFrame, base: DataFrame) -> DataFrame:
     return transitions.join(wanted, ["entity_type", "entity_id"], "left_semi")
 
 
-def cycle_tellers(transitions: DataFrame) -> DataFrame:
-    """Per entity and effective end the transition that tells the cycle best.
+_ENTITY = ("entity_type", "entity_id")
 
-    Event priority, then the newest time, then the highest id. The choice does not depend on the
-    base, so it is made first and as an aggregate: an entity with very many transitions leaves at
-    most one row per end date for the as-of join.
+
+def previous_scan(transitions: DataFrame, base: DataFrame, told: Sequence[str], held: Sequence[Column]) -> DataFrame:
+    """entity_type, id, ``_current`` (``held`` of the base's row) and ``_previous`` (columns ``told`` of the transition that tells the cycle before).
+
+    Cycle ends and the base's rows are stacked, and one ordered scan for each holding carries the last end before the
+    current start along: the as-of join without a join, with the base planned once. Of the transitions of one end the best is kept
+    first (by event priority, then the newest time, then the highest id), in each task before the shuffle, so a holding with very many leaves
+    a row for each end.
     """
-    cycles = effective_tenure(transitions).where(F.col("effective_tenure_end").isNotNull())
-    best = F.struct(-event_priority(), F.col("transition_created_at"), F.col("state_transition_id"))
-    return extreme_row(cycles, ["entity_type", "entity_id", "effective_tenure_end"], best)
+    cycles = effective_tenure(transitions).where(F.col("effective_tenure_end").isNotNull() & F.col("entity_id").isNotNull())
+    best_first = Window.partitionBy(*_ENTITY, "effective_tenure_end").orderBy(
+        event_priority(), F.desc("transition_created_at"), F.desc("state_transition_id")
+    )
+    columns = list(dict.fromkeys([*_ENTITY, "effective_tenure_end", *told]))
+    ends = cycles.withColumn("_rank", F.row_number().over(best_first)).where("_rank = 1").select(*columns)
+    current = base.select(
+        "entity_type", "id", F.col("current_effective_start").alias("_at"), F.lit(0).alias("_side"), F.struct(*held).alias("_current")
+    )
+    ended = ends.select(
+        "entity_type",
+        F.col("entity_id").alias("id"),
+        F.col("effective_tenure_end").alias("_at"),
+        F.lit(1).alias("_side"),  # a cycle that ends on the current start is not before it
+        F.struct(*told).alias("_previous"),
+    )
+    so_far = (
+        Window.partitionBy("entity_type", "id")
+        .orderBy("_at", "_side")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    stacked = current.unionByName(ended, allowMissingColumns=True)
+    scanned = stacked.withColumn("_previous", F.last("_previous", ignorenulls=True).over(so_far))
+    return scanned.where("_current is not null").select("entity_type", "id", "_current", "_previous")
 
 
 def previous_cycle(transitions: DataFrame, base: DataFrame) -> DataFrame:
     """Of the cycles that ended before the current one starts, the transition telling the latest."""
-    current = base.select("entity_type", F.col("id").alias("entity_id"), "current_effective_start")
-    before = (
-        cycle_tellers(transitions)
-        .join(current, ["entity_type", "entity_id"])
-        .where(F.col("effective_tenure_end") < F.col("current_effective_start"))
-        .drop("current_effective_start")
-    )
-    return extreme_row(before, ["entity_type", "entity_id"], F.col("effective_tenure_end"))
+    told = effective_tenure(transitions).columns
+    found = previous_scan(transitions, base, told, [F.col("id")])
+    return found.where("_previous is not null").select("_previous.*")
 
 
 _CURRENT = {
@@ -283,28 +302,7 @@ def current_vs_previous(base: DataFrame, previous: DataFrame, *, ordered: bool =
 
 
 def base_with_previous(base: DataFrame, transitions: DataFrame, *, ordered: bool = False) -> DataFrame:
-    """``current_vs_previous`` straight from the transitions: the base is planned and joined once.
-
-    The left as-of join and the pick of the latest end share one partitioning by holding.
-    """
-    told = cycle_tellers(transitions).select(
-        "entity_type",
-        F.col("entity_id").alias("id"),
-        "effective_tenure_end",
-        F.struct(*_renamed(_PREVIOUS)).alias("_previous"),
-    )
-    current = base.select("id", "entity_type", F.struct(*_renamed(_CURRENT)).alias("_current"))
-    c, t = current.alias("c"), told.alias("t")
-    joined = c.join(
-        t,
-        (F.col("c.entity_type") == F.col("t.entity_type"))
-        & (F.col("c.id") == F.col("t.id"))
-        & (F.col("t.effective_tenure_end") < F.col("c._current.current_tenure_start")),
-        "left",
-    )
-    rows = joined.groupBy("c.id", "c.entity_type").agg(
-        F.any_value("_current").alias("_current"),
-        F.max_by("_previous", "effective_tenure_end").alias("_previous"),
-    )
-    rows = rows.select("id", "entity_type", "_current.*", *[f"_previous.{c}" for c in _PREVIOUS.values()])
+    """``current_vs_previous`` straight from the transitions, in one scan of cycle ends and holdings."""
+    found = previous_scan(transitions, base, list(_PREVIOUS), _renamed(_CURRENT))
+    rows = found.select("id", "entity_type", "_current.*", *[F.col(f"_previous.{c}").alias(name) for c, name in _PREVIOUS.items()])
     return rows.orderBy("id", "entity_type") if ordered else rows

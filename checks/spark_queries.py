@@ -289,9 +289,8 @@ def _(v: DriverViews) -> DataFrame:
 
 @_query("previous_cycle")
 def _(v: DriverViews) -> DataFrame:
-    held = _all_base(v)
-    transitions = base.of_base(base.billing_transitions(v.state_transitions, v.events, vertical=VERTICAL), held)
-    return base.previous_cycle(transitions, held).select(
+    transitions = base.billing_transitions(v.state_transitions, v.events, vertical=VERTICAL)
+    return base.previous_cycle(transitions, _all_base(v)).select(
         "entity_type",
         "entity_id",
         "state_transition_id",

@@ -199,3 +199,15 @@ def test_fused_report_equals_the_composed_one(spark):
     assert any(r[-1] is not None for r in mine) and any(r[-1] is None for r in mine)
     for r in mine:
         assert r[12] is None or r[12] < r[7]  # the previous cycle ended before the current one began
+
+
+def test_previous_cycle_of_ties_and_missing_dates(spark):
+    """Equal priorities and times go to the higher id; a holding without a start, or without an id, has no cycle before."""
+    jan = ("2024-01-01", "2024-01-31")
+    rows = [transition(n, 1 if n < 40 else None, snapshot(*jan), at="2024-02-01 00:00:00") for n in range(10, 50)]
+    events = spark.createDataFrame([(n, "RENEWAL_APPLIED") for n in range(10, 50)], schemas.EVENTS)
+    transitions = base.billing_transitions(log(spark, rows), events, vertical="RENTAL")
+    now = current(spark, [("ITEM", 1, day("2024-02-01")), ("ITEM", None, day("2024-02-01")), ("ATTACHMENT", 1, day("2024-02-01"))])
+    assert as_tuples(base.previous_cycle(transitions, now), "entity_id", "state_transition_id") == [(1, 39)]
+    assert base.previous_cycle(transitions, current(spark, [("ITEM", 1, None)])).count() == 0
+    assert base.previous_cycle(transitions, now.limit(0)).count() == 0 and base.previous_cycle(transitions.limit(0), now).count() == 0

@@ -86,12 +86,13 @@ def test_pair_of_months_reads_the_log_once(spark, large):
     assert count(plan_of(pair), "FileScan") == 1
 
 
-def test_previous_cycle_reduces_before_the_join(large):
+def test_previous_cycle_reduces_before_it_shuffles(large):
     transitions = base.billing_transitions(large.state_transitions, large.events, vertical="RENTAL")
     plan = plan_of(base.base_with_previous(base.current_base(
         large.items, large.item_links, large.purchase_orders, as_of="2023-02-15", vertical="RENTAL"), transitions))
-    assert count(plan, "partial_max_by") >= 1
-    assert count(plan, "Window") == 0
+    # a row for each end and task, before and after the shuffle; no join with the base, which is planned once
+    assert count(plan, "WindowGroupLimit") == 2 and "Partial" in plan
+    assert count(plan, "from_json") <= 3 and count(plan, "Union") == 1
 
 
 def test_links_are_aggregated_before_they_meet_the_holdings(large):
@@ -137,9 +138,11 @@ def test_log_rows_stay_in_the_hash_aggregate(spark, large, name):
 
 
 @pytest.mark.parametrize("name", ["previous_cycle", "current_vs_previous"])
-def test_the_log_is_limited_to_the_base_before_it_is_reduced(spark, large, name):
+def test_the_previous_cycle_is_one_scan_of_ends_and_holdings(spark, large, name):
+    """The base (items, attachments) is planned once, the log parsed once: 8 scans and 12 shuffles, not 14 and 23."""
     plan = plan_of(queries()[name](spark, FOLDER))
-    assert "LeftSemi" in plan
+    assert count(plan, "FileScan") <= 8 and count(plan, "Exchange hashpartitioning") <= 12
+    assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
 
 
 def test_pure_overdue_and_types_are_one_pass(spark, large):
