@@ -30,6 +30,14 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as it takes to differ from all columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 

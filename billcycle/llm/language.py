@@ -31,6 +31,8 @@ WINDOWS_PER_TEXT = 4
 #: Languages that get so many texts; more languages share the texts of these.
 FULL_LANGUAGES = 200
 EPOCHS = 6
+#: Steps that are taken at least; a small sample is gone through more often.
+LEAST_STEPS = 400
 
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
 _LETTERS = np.zeros(256, bool)
@@ -85,7 +87,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     values = [net.embedding, *net.filters, *net.biases, net.weights, net.bias]
     moments = [[np.zeros_like(v), np.zeros_like(v)] for v in values]
     step, size = 0, 64
-    for _ in range(epochs):
+    for _ in range(max(epochs, math.ceil(LEAST_STEPS * size / len(windows)))):
         order = rng.permutation(len(windows))
         for begin in range(0, len(order), size):
             x, y = windows[order[begin : begin + size]], labels[order[begin : begin + size]]
@@ -182,17 +184,23 @@ def learn(labelled: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Networ
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            parts, names = [], []
-            for text, lang in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True):
+            parts, names, places = [], [], []
+            for text, lang, at in zip(texts_of(batch), batch.column("lang").to_pylist(), batch.column("place").to_pylist(), strict=True):
                 x, _ = windows_of([text])
                 for i in np.unique(np.linspace(0, len(x) - 1, WINDOWS_PER_TEXT).astype(int)).tolist():
                     if _LETTERS[x[i]].any():
                         parts.append(x[i].tobytes())
                         names.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(names, pa.string())], names=["w", "lang"])
+                        places.append(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts, pa.binary()), pa.array(names, pa.string()), pa.array(places, pa.float64())], names=["w", "lang", "place"]
+            )
 
-    sample = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("doc_id", "text", "lang").mapInArrow(cut, "w binary, lang string")
-    found = sample.limit(2 * per_language * WINDOWS_PER_TEXT * len(languages)).toArrow()
+    # rows that repeat count once; what chance takes beyond the bound goes by the rank of its place, so that reruns agree
+    chosen = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).dropDuplicates(["doc_id", "text", "lang"])
+    sample = chosen.select("text", "lang", place.alias("place")).mapInArrow(cut, "w binary, lang string, place double")
+    most = 2 * per_language * WINDOWS_PER_TEXT * len(languages)
+    found = sample.orderBy("place", "lang", "w").limit(most).select("w", "lang").toArrow()
     if not found.num_rows:
         return None
     # the order in which tasks end must not matter

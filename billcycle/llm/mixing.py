@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billcycle.llm.common import scratch, table
+from billcycle.llm.common import free_name, scratch, table
 
 #: A word is a longest run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -139,14 +139,18 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most_repeats: int = 3
 
 
 def mixed_rows(docs: DataFrame, weights: list[float] = (1, 2, 3), most_repeats: int = 3) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; the thresholds of the sources are all that is joined."""
+    """The rows of docs, all columns, each as often as the mix takes it; the thresholds of the sources are all that is joined.
+
+    Documents without words (null, empty or blank) are not taken; a null source is a source of its own; rows equal in id and text are
+    taken equally often; an empty table gives an empty result.
+    """
     _, chosen = thresholds(docs, weights, most_repeats)
     times = F.col("s.repeats") + F.when(
         document_hash(F.col("d.doc_id"), F.col("d.text")) < F.col("s.threshold"), 1
     ).otherwise(0)
     found = docs.alias("d").join(chosen.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))).alias("copy")
-    return found.where(times > 0).select(*[F.col(f"d.`{c}`") for c in docs.columns], copies).drop("copy")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))).alias(free_name(docs.columns, "copy"))
+    return found.where(times > 0).select(*[F.col(f"d.`{c}`") for c in docs.columns], copies).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_mixing(spark, folder) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from billcycle.llm import language
 from billcycle.llm.token_ids import TOKENIZER, tokenizer_path
 from tests.llm.conftest import ODD_TEXTS
 from tests.llm.test_near_duplicates import brute
@@ -79,3 +80,29 @@ def test_run_over_nothing(spark, documents, tmp_path):
     documents([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_stage_touches_other_columns(spark):
+    """Columns by the names of those made on the way, in any case of letters, and an empty table."""
+    added = ["copy", "text_key", "Row_Key", "found_score", "found_language", "rid", "h", "odd name"]
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = given.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in added])
+    mine = {r.doc_id: tuple(r[c] for c in added) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, FOLDER)
+        assert found.columns == docs.columns, name
+        rows = found.collect()
+        assert rows and all(tuple(r[c] for c in added) == mine[r.doc_id] for r in rows), name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0, name
+
+
+def test_the_language_sample_is_the_same_in_any_order(spark, monkeypatch):
+    """A third of the rows are one text; the windows learned from do not depend on how rows are dealt to tasks."""
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    copies = given.where("lang is not null").limit(1).crossJoin(spark.range(100)).select("doc_id", "text", "lang")
+    seen = []
+    monkeypatch.setattr(language, "train", lambda x, y, languages: seen.append((x.tobytes(), y.tobytes(), languages)))
+    for parts in (2, 7):
+        language.learn(given.unionByName(copies).repartition(parts), 10)
+    assert seen[0] == seen[1] and len(seen[0][1]) > 0
