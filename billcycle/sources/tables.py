@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +20,55 @@ def load(spark: SparkSession, name_or_path: str) -> DataFrame:
     return spark.table(name_or_path)
 
 
+_LINE = "_rejected_line"
+
+
+def _csv_rows(spark: SparkSession, path: str, schema: T.StructType, null_text: str) -> tuple[DataFrame, Column, dict]:
+    """All lines by the schema, with the text of those that don't fit; whether a line doesn't; the options of the reader."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _LINE, "nullValue": null_text, "emptyValue": ""}
+    fields = T.StructType([*schema.fields, T.StructField(_LINE, T.StringType())])
+    rows = spark.read.options(header=True, enforceSchema=False, columnPruning=False, **options).schema(fields).csv(path)
+    # all columns are named, so that a line is bad whatever the query reads of it; their hash adds nothing
+    whole = F.concat(_LINE, F.substring(F.hash(*[F.col(f"`{n}`") for n in schema.fieldNames()]).cast("string"), 1, 0))
+    rows = rows.withColumn(_LINE, whole)
+    return rows, F.coalesce(F.length(_LINE), F.lit(-1)) >= 0, options
+
+
+def _struct(schema: str | T.StructType) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
 def read_csv_export(
     spark: SparkSession, path: str, schema: str | T.StructType | None = None, *, null_text: str = ""
 ) -> DataFrame:
-    """A CSV export with a header. Exports spell NULL as a word (``null``) or leave it empty."""
-    reader = spark.read.option("header", True).option("nullValue", null_text).option("emptyValue", "")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    """A CSV export with a header. Exports spell NULL as a word (``null``) or leave it empty.
+
+    With a schema the header has to name its columns in its order, and a line with more or fewer fields or a value that is none of its
+    type fails the query; :func:`split_csv_export` sets such lines apart.
+    """
+    if schema is None:
+        return spark.read.options(header=True, nullValue=null_text, emptyValue="").csv(path)
+    rows, bad, _ = _csv_rows(spark, path, _struct(schema), null_text)
+    refused = F.raise_error(F.concat(F.lit("line that does not fit the schema: "), F.col(_LINE))).cast("boolean")
+    return rows.where(F.when(bad, refused).otherwise(F.lit(True))).drop(_LINE)
+
+
+def split_csv_export(
+    spark: SparkSession, path: str, schema: str | T.StructType, *, null_text: str = ""
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of an export that fit the schema, and the rejected lines (line, reason); no value is changed or lost.
+
+    The reason is ``number of fields``, or names the columns whose value is none of their type. A header that names other columns, or these in
+    another order, still fails the query: every line would be wrong.
+    """
+    wanted = _struct(schema)
+    names = wanted.fieldNames()
+    rows, bad, options = _csv_rows(spark, path, wanted, null_text)
+    as_texts = ", ".join(f"`{n}` string" for n in [*names, _LINE])
+    rejected = rows.where(bad).withColumn("_texts", F.from_csv(_LINE, as_texts, options))
+    unread = [F.when(F.col(f"`{n}`").isNull() & F.col("_texts")[n].isNotNull(), F.lit(n)) for n in names]
+    reason = F.when(F.col("_texts")[_LINE].isNotNull(), "number of fields").otherwise(F.concat_ws(", ", *unread))
+    return rows.where(~bad).drop(_LINE), rejected.select(F.col(_LINE).alias("line"), reason.alias("reason"))
 
 
 def write_month_snapshots(cycles: DataFrame, path: str) -> None:

@@ -11,6 +11,40 @@ from billcycle.sources import dimensions, tables
 from tests.samples import as_tuples, day
 
 
+LINES = "id,amount,day\n1,2.5,2024-01-01\n2,abc,2024-01-02\n3,1.0\n4,1.0,2024-01-04,more\n5,1.0,2024-13-45\n6,null,null\n"
+AMOUNTS = "id long, amount double, day date"
+
+
+def test_csv_lines_that_do_not_fit_are_set_apart(spark, tmp_path):
+    path = tmp_path / "export.csv"
+    path.write_text(LINES)
+    good, rejected = tables.split_csv_export(spark, str(path), AMOUNTS, null_text="null")
+    assert as_tuples(good, "id", "amount", "day") == [(1, 2.5, day("2024-01-01")), (6, None, None)]
+    assert good.select("id").count() == good.count() == 2
+    assert sorted(as_tuples(rejected, "line", "reason")) == [
+        ("2,abc,2024-01-02", "amount"),
+        ("3,1.0", "number of fields"),
+        ("4,1.0,2024-01-04,more", "number of fields"),
+        ("5,1.0,2024-13-45", "day"),
+    ]
+    assert rejected.count() == 4
+
+
+@pytest.mark.parametrize("line", LINES.splitlines()[2:6])
+def test_a_csv_line_that_does_not_fit_fails(spark, tmp_path, line):
+    path = tmp_path / "export.csv"
+    path.write_text(f"id,amount,day\n1,2.5,2024-01-01\n{line}\n")
+    with pytest.raises(Exception, match="does not fit"):
+        tables.read_csv_export(spark, str(path), AMOUNTS).select("id").collect()
+
+
+def test_a_csv_header_in_another_order_fails(spark, tmp_path):
+    (tmp_path / "export.csv").write_text("amount,id,day\n1.0,7,2024-01-01\n")
+    for read in (tables.read_csv_export, lambda *a: tables.split_csv_export(*a)[0]):
+        with pytest.raises(Exception, match="(?i)header"):
+            read(spark, str(tmp_path / "export.csv"), AMOUNTS).collect()
+
+
 def test_csv_exports_spell_null_differently(spark, tmp_path):
     head = "event_name,from_state,to_state,tsd,ted,ctd,ro_start_date,ro_end_date,se_name\n"
     word, empty = tmp_path / "word.csv", tmp_path / "empty.csv"
