@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from billcycle.llm.common import scratch, table
 
 TREES = 8
-#: Vectors of a leaf, as far as the sample allows; vectors that the cuts are fitted on, and the least of these in a leaf.
+#: Vectors of a leaf, as far as the sample allows; vectors that the cuts are fitted on (no more than a block's), and the least of these in a leaf.
 LEAF = 64
 SAMPLE = 1 << 16
 LEAST = 8
@@ -305,7 +305,7 @@ def _searched(nodes: DataFrame, holding: DataFrame, width: int, k: int, recall:
     """node, near: for each node of ``holding`` its own cosine and ids and those of the k + 1 best other nodes found, as (score, ids)."""
     context = nodes.sparkSession.sparkContext
     n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("vec"), "node").limit(SAMPLE).select("vec").toArrow().column("vec")
+    sample = nodes.orderBy(F.xxhash64("vec"), "node").limit(min(SAMPLE, block_rows(width))).select("vec").toArrow().column("vec")
     fitted = Forest(unit_rows(sample, width), n, width)
     forest = context.broadcast(fitted)
 
