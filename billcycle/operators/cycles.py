@@ -172,13 +172,11 @@ def number_cycles(cycles: DataFrame) -> DataFrame:
     return cycles.select(F.row_number().over(by_start).cast("bigint").alias("cycle_num"), *cycles.columns)
 
 
-def _typed_cycles(snapshots: DataFrame) -> DataFrame:
-    """Cycles of every entity with their kind, from one pass over the snapshots.
+def cycle_candidates(snapshots: DataFrame) -> DataFrame:
+    """First transition of every tenure and of every overdue cycle, absorbed or not, from one pass over the snapshots.
 
-    The same rows as ``tenure_cycles`` united with ``pure_overdue``. Taken literally that reads the
-    log three times. Here a transition emits its tenure and its overdue cycle as two candidates,
-    one aggregate keeps the first of each, and the anti-join becomes a look at the peers of the
-    same start day in the window order the numbering needs anyway: two shuffles.
+    A transition emits its tenure and its overdue cycle as two candidates; one aggregate keeps the first of each. Candidates of
+    parts of the log add up to those of the whole: :func:`merge_candidates`.
     """
     common = [c for c in _with_name(("entity_id", "activation_date", "pickup_date", "base_price",
                                      "state_transition_id", "event_id"), snapshots)]
@@ -198,12 +196,17 @@ def _typed_cycles(snapshots: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("pre_tax_amount"),
         F.lit(None).cast("double").alias("amount_paid"),
     )
-    candidates = snapshots.select(*common, F.inline(F.array(tenure, overdue))).where(
-        F.col("period_start").isNotNull()
-    )
-    firsts = first_by_id(
-        candidates, ["entity_id", "period_start", "is_tenure", "period_end"], "state_transition_id"
-    )
+    candidates = snapshots.select(*common, F.inline(F.array(tenure, overdue)))
+    return merge_candidates(candidates.where(F.col("period_start").isNotNull()))
+
+
+def merge_candidates(candidates: DataFrame) -> DataFrame:
+    """The first of each cycle among candidates of several parts of the log."""
+    return first_by_id(candidates, ["entity_id", "period_start", "is_tenure", "period_end"], "state_transition_id")
+
+
+def _without_absorbed(firsts: DataFrame) -> DataFrame:
+    """Candidates that are cycles, with their kind: all tenures, and the overdue ones on whose start day no tenure starts."""
     same_start = (
         Window.partitionBy("entity_id")
         .orderBy("period_start")
@@ -212,10 +215,24 @@ def _typed_cycles(snapshots: DataFrame) -> DataFrame:
     kept = firsts.withColumn("_absorbing", F.max("is_tenure").over(same_start)).where(
         F.col("is_tenure") | ~F.col("_absorbing")
     )
-    typed = kept.withColumn(
+    return kept.withColumn(
         "period_type", F.when(F.col("is_tenure"), F.lit(TENURE)).otherwise(F.lit(PURE_OVERDUE))
     )
-    return typed
+
+
+def timeline_of_candidates(firsts: DataFrame) -> DataFrame:
+    """:func:`billing_timeline` from merged candidates, without the log."""
+    return number_cycles(_cycle_columns(_without_absorbed(firsts)))
+
+
+def _typed_cycles(snapshots: DataFrame) -> DataFrame:
+    """Cycles of every entity with their kind, from one pass over the snapshots.
+
+    The same rows as ``tenure_cycles`` united with ``pure_overdue``. Taken literally that reads the
+    log three times. Here one aggregate keeps the first of each candidate, and the anti-join becomes a look at the peers of the
+    same start day in the window order the numbering needs anyway: two shuffles.
+    """
+    return _without_absorbed(cycle_candidates(snapshots))
 
 
 def billing_cycles(snapshots: DataFrame) -> DataFrame:
