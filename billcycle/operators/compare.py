@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billcycle.functions.dates import month_start
@@ -318,7 +318,8 @@ def change_driver(pair: DataFrame, *, left: str = "feb", right: str = "mar", ord
 def bridge_detail(classified: DataFrame, *, left: str = "feb", right: str = "mar") -> DataFrame:
     """Counts and amounts per driver and detail, share of the total delta, and a TOTAL row.
 
-    Totals are one row over the groups, not another pass over the entities. Churned and new appear even when empty.
+    Totals come with the groups, by grouping sets over them, and not from another pass over the entities. Churned and new
+    appear even when empty.
     """
     a, b = f"{left}_realised", f"{right}_realised"
     always = classified.sparkSession.range(0, 1, 1, 1).select(
@@ -344,33 +345,29 @@ def bridge_detail(classified: DataFrame, *, left: str = "feb", right: str = "mar
     groups = groups.withColumns(
         {c: F.when(one_sided, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)) for c in (a, b, "delta_realised")}
     )
-    totals = groups.agg(
+    # each group alone, and all of them: the few groups are grouped again, not the entities
+    keys = ["change_driver", "change_detail"]
+    lines = groups.groupingSets([keys, []], *keys).agg(
+        F.grouping("change_driver").alias("_is_total"),
+        F.sum("entity_count").alias("entity_count"),
+        *[F.sum(c).alias(c) for c in (a, b, "delta_realised")],
         F.coalesce(as_amount(F.sum("_a")), F.lit(0.0)).alias("_total_a"),
         F.coalesce(as_amount(F.sum("_b")), F.lit(0.0)).alias("_total_b"),
-    ).withColumn("_delta", F.round(F.col("_total_b") - F.col("_total_a"), 2))
-    total_delta = totals.select("_delta").scalar()
-    share = F.round(F.try_divide(F.col("delta_realised"), total_delta) * 100, 1)
-
-    def line(driver: Column, detail: Column, count: Column, on_a: Column, on_b: Column, delta: Column, pct: Column):
-        return F.struct(
-            driver.alias("change_driver"),
-            detail.alias("change_detail"),
-            count.alias("entity_count"),
-            on_a.alias(a),
-            on_b.alias(b),
-            delta.alias("delta_realised"),
-            pct.alias("pct_of_total_delta"),
-        )
-
-    group = line(
-        F.col("change_driver"), F.col("change_detail"), F.col("entity_count"),
-        F.col(a), F.col(b), F.col("delta_realised"), share,
     )
-    total = line(
-        F.lit(TOTAL), F.lit(None).cast("string"), F.lit(None).cast("bigint"),
-        F.col("_total_a"), F.col("_total_b"), F.col("_delta"), F.lit(100.0),
+    is_total = F.col("_is_total") == 1
+    of_total = {
+        "change_driver": F.lit(TOTAL),
+        "entity_count": F.lit(None).cast("bigint"),
+        a: F.col("_total_a"),
+        b: F.col("_total_b"),
+        "delta_realised": F.round(F.col("_total_b") - F.col("_total_a"), 2),
+    }
+    lines = lines.withColumns({c: F.when(is_total, value).otherwise(F.col(c)) for c, value in of_total.items()})
+    total_delta = F.max(F.when(is_total, F.col("delta_realised"))).over(Window.partitionBy())
+    share = F.round(F.try_divide(F.col("delta_realised"), total_delta) * 100, 1)
+    lines = lines.withColumn("pct_of_total_delta", F.when(is_total, F.lit(100.0)).otherwise(share)).select(
+        *keys, "entity_count", a, b, "delta_realised", "pct_of_total_delta"
     )
-    lines = groups.select(F.inline(F.array(group))).unionByName(totals.select(F.inline(F.array(total))))
     return lines.orderBy(
         F.col("change_driver") == TOTAL, F.abs("delta_realised").desc(), "change_driver", "change_detail"
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from billcycle import schemas
 from billcycle.functions.money import as_amount, money_sum
 from billcycle.operators import base, compare, cycles, history, kpi, rca
-from billcycle.plans import reports
+from billcycle.plans import maintained, reports
 from billcycle.sources import dimensions, tables
 from checks.driver_views import CITY, FIRST_MONTH, SECOND_MONTH, VERTICAL, DriverViews
 
@@ -194,6 +194,26 @@ def _(v: DriverViews) -> DataFrame:
     return reports.snapshots_of_months(v.log, CUT_MONTHS, vertical=VERTICAL)
 
 
+def _maintained(v: DriverViews, **options) -> str:
+    """Tables kept up to date in two runs: the transitions of the lower half of the ids, and then the others."""
+    path = _folder(v.spark, "maintained")
+    log = v.state_transitions
+    half = (log.agg(F.max("id")).first()[0] or 0) // 2
+    maintained.update_timeline(v.spark, log.where(F.col("id") <= half), path, vertical=VERTICAL, **options)
+    maintained.update_timeline(v.spark, log, path, vertical=VERTICAL, **options)
+    return path
+
+
+@_query("billing_timeline_maintained")
+def _(v: DriverViews) -> DataFrame:
+    return maintained.read_timeline(v.spark, _maintained(v))
+
+
+@_query("month_snapshots_maintained")
+def _(v: DriverViews) -> DataFrame:
+    return maintained.read_months(v.spark, _maintained(v, months=CUT_MONTHS, bounded=True))
+
+
 # ---- state history ----------------------------------------------------------------------------
 
 

@@ -33,7 +33,9 @@ def count(plan: str, pattern: str) -> int:
 
 
 LOG_QUERIES = ("month_snapshot", "month_snapshot_city_renumbered", "overdue_cycles", "pure_overdue", "billing_timeline")
-WRITING = ("src_csv_export", "src_csv_history_export", "sink_month_snapshot")
+WRITING = (
+    "src_csv_export", "src_csv_history_export", "sink_month_snapshot", "billing_timeline_maintained", "month_snapshots_maintained",
+)
 
 
 @pytest.mark.parametrize("name", [n for n in queries() if n not in WRITING])
@@ -78,12 +80,16 @@ def test_pair_is_one_shuffle(spark, large, tmp_path):
 
 
 def test_pair_of_months_reads_the_log_once(spark, large):
-    """The totals are taken over the groups, whose exchange is used again."""
-    bridge = queries()["log_to_bridge"](spark, FOLDER)
-    bridge.collect()
-    assert "ReusedExchange" in plan_of(bridge)
-    pair = compare.entity_pair_of_months(reports.snapshots_of_months(large.log, ["2022-02", "2022-03"], vertical="RENTAL"), "2022-02", "2022-03")
-    assert count(plan_of(pair), "FileScan") == 1
+    """The totals come with the groups: no other pass, no subquery."""
+    plan = plan_of(queries()["log_to_bridge"](spark, FOLDER))
+    assert count(plan, "FileScan") == 1 and count(plan, "from_json") == 1 and "ubquery" not in plan
+
+
+@pytest.mark.parametrize("name", ["bridge_detail", "bridge_balance"])
+def test_totals_of_the_bridge_need_no_other_scan(spark, large, name):
+    plan = plan_of(queries()[name](spark, FOLDER))
+    assert count(plan, "FileScan") == count(plan_of(queries()["drilldown"](spark, FOLDER)), "FileScan") == 2
+    assert "ubquery" not in plan
 
 
 def test_previous_cycle_reduces_before_it_shuffles(large):
