@@ -1,7 +1,8 @@
 """Monthly KPIs: recurring revenue, active subscriptions, churn, billed revenue.
 
 Months are arguments, and any number of them is answered by one pass over a table: sums and flags
-are kept per month, first per customer (hot customers shrink inside the tasks), then overall.
+are kept per month, first per customer (hot customers shrink inside the tasks), then overall. For a long run of months
+:func:`kpi_series` counts the changes from month to month instead of a flag for each.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billcycle.functions.dates import month_bounds
@@ -236,7 +237,7 @@ def customer_activity(
     """Per customer: first activation, ``active<i>`` and ``churned<i>`` for every month.
 
     Without a customer type only customers with a flag come out, and of ``metrics`` (``active``, ``churned``) only those
-    named need be right. Some 48 months fit into one pass before the row outgrows generated code.
+    named need be right. Made for a few months; :func:`kpi_series` is for many.
 
     Distinct counts become flags per customer: one aggregate answers both KPIs for every month,
     and the first activation that tells new from returning customers falls out of it as well.
@@ -432,6 +433,157 @@ def kpi_by_month(
     return _metric_rows(row, METRICS, n)
 
 
+# ---- a series of months -----------------------------------------------------------------------
+
+
+def _month_number(day: str | Column) -> Column:
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def _monthly_amounts(
+    facts: DataFrame, date_column: str, states: Sequence[str], bounds: tuple[dt.date, dt.date], filters: KpiFilters
+) -> DataFrame:
+    """Live facts within the bounds, which reach the scan: customer, month number, amount."""
+    day = F.col(date_column)
+    live = facts.where(F.col("deleted_at").isNull() & F.col("state").isin(list(states)))
+    live = live.where((day >= F.lit(bounds[0])) & (day < F.lit(bounds[1])))
+    live = filter_vertical(filter_city_direct(live, filters.city_ids), filters.verticals)
+    kept = live.select("customer_identifier", "monetary_components", _month_number(day).alias("_month"))
+    amounts = parse_json(kept, "monetary_components", {"_amount": (TAXABLE_AMOUNT_PATH, "double")})
+    return amounts.withColumn("_amount", money("_amount"))
+
+
+def _amount_of_type(amounts: DataFrame, tables: KpiTables, filters: KpiFilters, vertical: str | None) -> DataFrame:
+    """Month number and the sum of the amounts of customers of the type, first summed per customer and month."""
+    if filters.customer_type == ALL:
+        return amounts.groupBy("_month").agg(F.sum("_amount").alias("_amount"))
+    sums = amounts.groupBy("customer_identifier", "_month").agg(F.sum("_amount").alias("_amount"))
+    first = _month_number("first_activation_date")
+    of_type = first == F.col("_month") if filters.customer_type == NEW else first < F.col("_month")
+    activated = first_activation(tables.items, tables.orders, vertical)
+    return sums.join(activated, "customer_identifier").where(of_type).groupBy("_month").agg(F.sum("_amount").alias("_amount"))
+
+
+def customer_events(
+    tables: KpiTables,
+    first_month: Month,
+    last_month: Month,
+    filters: KpiFilters = KpiFilters(),
+    *,
+    vertical: str | None,
+    legacy_bound: bool = False,
+) -> DataFrame:
+    """Month number with the change of active customers from the month before, and the customers churned in it.
+
+    An item is active from the month of its activation up to the month before its pickup, an interval that adds one to its
+    customer at its first month and takes it away after its last. Summed per customer and month (a row for each month at
+    most, however many items), a running sum tells where the customer is active at all, and those stretches are events again.
+    Cost goes with the items and not with the months.
+    """
+    start, end = month_bounds(first_month)[0], month_bounds(last_month)[1]
+    low, high = start.year * 12 + start.month - 1, end.year * 12 + end.month - 1  # the latter is the month after the last
+    typed = filters.customer_type != ALL
+    allowed = (
+        _one_of("order_vertical", filters.verticals)
+        & _in_bucket(filters.tenure_range, "tenure_in_months")
+        & _on_plan(filters.plan_months, "tenure_in_months")
+    )
+    pickup = F.col("pickup_date")
+    running = ~F.col("state").isin(list(KPI_EXCLUDED_STATES)) & (F.col("activation_date") < F.lit(end))
+    running = running & (pickup.isNull() | (pickup >= F.lit(start)))
+    churned = (F.col("state") == PICKED_UP_STATE) & (pickup >= F.lit(start)) & (pickup < F.lit(end))
+    items = tables.items if typed else tables.items.where(running | churned)
+    since = F.greatest(_month_number("activation_date"), F.lit(low))
+    until = F.least(F.coalesce(_month_number(pickup), F.lit(high)), F.lit(high))
+    is_active = running & allowed & (since < until)
+
+    def event(when: Column, month: Column, change: int, churn: int, activated: Column | None = None) -> Column:
+        day = F.lit(None).cast("date") if activated is None else activated
+        fields = (F.when(when, month).alias("_month"), F.lit(change).alias("_change"), F.lit(churn).alias("_churned"))
+        return F.struct(*fields, day.alias("_activated"))
+
+    events = [
+        event(is_active, since, 1, 0),
+        event(is_active, until, -1, 0),
+        event(churned & allowed, _month_number(pickup), 0, 1),
+    ]
+    if typed:  # what activates a customer need not pass the filters
+        events.append(event(F.col("activation_date") < F.lit(end), since, 0, 0, F.col("activation_date")))
+    per_month = (
+        customer_items(items, tables.orders, vertical)
+        .where(F.col("customer_identifier").isNotNull())
+        .select("customer_identifier", F.inline(F.array(*events)))
+        .where(F.col("_month").isNotNull())
+        .groupBy("customer_identifier", "_month")
+        .agg(F.sum("_change").alias("_change"), F.max("_churned").alias("_churned"), F.min("_activated").alias("_activated"))
+    )
+    of_customer = Window.partitionBy("customer_identifier")
+    in_order = of_customer.orderBy("_month")
+    found = per_month.select(
+        "customer_identifier",
+        "_month",
+        "_churned",
+        (F.sum("_change").over(in_order) > 0).alias("_active"),
+        F.lead("_month", 1, high).over(in_order).alias("_next"),
+        F.min("_activated").over(of_customer).alias("_activated"),
+    )
+    found = filter_city_customers(found, tables.invoiceable_groups, filters.city_ids)
+    first, month = _month_number("_activated"), F.col("_month")
+    begin, stop, of_type = month, F.col("_next"), F.lit(True)
+    if filters.customer_type == NEW:
+        on_last_day = F.col("_activated") == F.last_day("_activated")
+        begin, stop, of_type = F.greatest(month, first), F.least(stop, first + 1), first == month
+        stop = F.when(on_last_day, begin).otherwise(stop) if legacy_bound else stop
+    elif filters.customer_type == RETURNING:
+        begin, of_type = F.greatest(month, first + 1), first < month
+    stretch = F.col("_active") & F.col("_activated").isNotNull() if typed else F.col("_active")
+    stretch = stretch & (begin < stop)
+    changes = F.array(
+        F.struct(F.when(stretch, begin).alias("_month"), F.lit(1).alias("_change"), F.lit(0).alias("_churned")),
+        F.struct(F.when(stretch, stop).alias("_month"), F.lit(-1).alias("_change"), F.lit(0).alias("_churned")),
+        F.struct(F.when(of_type & (F.col("_churned") == 1), month).alias("_month"), F.lit(0).alias("_change"), F.lit(1).alias("_churned")),
+    )
+    summed = found.select(F.inline(changes)).where((F.col("_month") >= low) & (F.col("_month") < high))
+    return summed.groupBy("_month").agg(F.sum("_change").alias("_change"), F.sum("_churned").alias("_churned"))
+
+
+def kpi_series(
+    tables: KpiTables,
+    first_month: Month,
+    last_month: Month,
+    filters: KpiFilters = KpiFilters(),
+    *,
+    vertical: str | None,
+    legacy_bound: bool = False,
+) -> DataFrame:
+    """The four KPIs of every month from the first to the last, a row each; as in the functions for one month.
+
+    The plan is the same for one month and for a hundred. Only the rows of the months, one each, come together in one task.
+    """
+    start, end = month_bounds(first_month)[0], month_bounds(last_month)[1]
+    if start >= end:
+        raise ValueError("the last month is before the first")
+    low, high = start.year * 12 + start.month - 1, end.year * 12 + end.month - 1
+    parts = [tables.items.sparkSession.range(low, high, 1, 1).select(F.col("id").cast("int").alias("_month"))]
+    for name, facts, date_column, states in (
+        ("_mrr", tables.revenue_recognitions, "to_be_recognised_on", RECOGNISED_STATES),
+        ("_billed", tables.invoice_cycles, "created_at", BILLED_STATES),
+    ):
+        amounts = _monthly_amounts(facts, date_column, states, (start, end), filters)
+        parts.append(_amount_of_type(amounts, tables, filters, vertical).withColumnRenamed("_amount", name))
+    parts.append(customer_events(tables, first_month, last_month, filters, vertical=vertical, legacy_bound=legacy_bound))
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    months = stacked.groupBy("_month").agg(*[F.sum(c).alias(c) for c in ("_mrr", "_change", "_churned", "_billed")])
+    so_far = Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return months.select(
+        F.make_date(F.floor(F.col("_month") / 12).cast("int"), F.col("_month") % 12 + 1, F.lit(1)).alias("month"),
+        _total(F.col("_mrr")).alias("mrr"),
+        F.coalesce(F.sum("_change").over(so_far), F.lit(0)).alias("active_subscriptions"),
+        F.coalesce("_churned", F.lit(0)).alias("churned_customers"),
+        _total(F.col("_billed")).alias("revenue_billed"),
+    )
+
+
 def month_over_month(values: DataFrame) -> DataFrame:
     """Difference, relative change, direction and whether it is good, for rows ``metric, m0, m1``."""
     m1, m2 = F.coalesce("m0", F.lit(0.0)), F.coalesce("m1", F.lit(0.0))

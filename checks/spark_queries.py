@@ -20,6 +20,7 @@ AS_OF = "2023-02-15"
 LOG_MONTH = "2022-02"
 CUT_MONTHS = ("2022-02", "2022-03")
 KPI_MONTH_1, KPI_MONTH_2 = "1998-02", "1998-03"
+SERIES = ("1995-07", "1997-06")
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -600,3 +601,18 @@ def _(v: DriverViews) -> DataFrame:
 @_query("kpi_by_month")
 def _(v: DriverViews) -> DataFrame:
     return kpi.kpi_by_month(v.kpi, ["1997-01", "1997-04", "1997-07", "1997-10"], vertical=VERTICAL)
+
+
+@_query("kpi_series")
+def _(v: DriverViews) -> DataFrame:
+    return kpi.kpi_series(v.kpi, *SERIES, vertical=VERTICAL)
+
+
+@_query("kpi_series_returning")
+def _(v: DriverViews) -> DataFrame:
+    return kpi.kpi_series(v.kpi, *SERIES, _RETURNING, vertical=VERTICAL)
+
+
+@_query("kpi_series_new")
+def _(v: DriverViews) -> DataFrame:
+    return kpi.kpi_series(v.kpi, *SERIES, _CITY_AND_NEW, legacy_bound=True, vertical=VERTICAL)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import json
+import random
 
 import pytest
 
@@ -133,6 +135,90 @@ def test_months_together_equal_months_alone(tables, filters):
         assert together[metric] == tuple(float(value(one(tables, m, filters, vertical="RENTAL"))) for m in months), metric
 
 
+@pytest.mark.parametrize("legacy", [False, True])
+@pytest.mark.parametrize(
+    "filters",
+    [
+        kpi.KpiFilters(),
+        kpi.KpiFilters(city_ids=[6]),
+        kpi.KpiFilters(customer_type="New"),
+        kpi.KpiFilters(city_ids=[1, 6], customer_type="Returning", verticals=["RENTAL"], tenure_range=(0, 12)),
+    ],
+)
+def test_a_series_equals_single_months(tables, filters, legacy):
+    options = {"vertical": "RENTAL", "legacy_bound": legacy}
+    rows = {str(r.month)[:7]: r for r in kpi.kpi_series(tables, "2023-12", "2024-04", filters, **options).collect()}
+    assert sorted(rows) == ["2023-12", "2024-01", FEB, MAR, "2024-04"]
+    for month, row in rows.items():
+        assert row.mrr == value(kpi.kpi_mrr(tables, month, filters, vertical="RENTAL"))
+        assert row.revenue_billed == value(kpi.kpi_revenue_billed(tables, month, filters, vertical="RENTAL"))
+        assert row.active_subscriptions == value(kpi.kpi_active_subscriptions(tables, month, filters, **options)), month
+        assert row.churned_customers == value(kpi.kpi_churned_customers(tables, month, filters, **options)), month
+
+
+def brute_series(items, orders, filters, months):
+    """Customers active and churned in each month, item by item."""
+    customer_of = {o[0]: json.loads(o[1])["displayId"] for o in orders}
+    first = {}
+    for i in items:
+        if i[14] in customer_of and i[4]:
+            c = customer_of[i[14]]
+            first[c] = min(first.get(c, i[4]), i[4])
+    found = []
+    for start, end, last in map(kpi.month_bounds, months):
+        active, churned = set(), set()
+        for i in items:
+            c = customer_of.get(i[14])
+            if c is None or (filters.plan_months and i[8] != filters.plan_months):
+                continue
+            since = first.get(c)
+            if filters.customer_type == "New" and not (since and start <= since < end):
+                continue
+            if filters.customer_type == "Returning" and not (since and since < start):
+                continue
+            if i[2] != "CANCELLED" and i[4] and i[4] <= last and (i[5] is None or i[5] > last):
+                active.add(c)
+            if i[2] == "PICKED_UP" and i[5] and start <= i[5] < end:
+                churned.add(c)
+        found.append((start, len(active), len(churned)))
+    return found
+
+
+@pytest.mark.parametrize("kind", ["All", "New", "Returning"])
+def test_a_series_of_random_items(spark, tables, kind):
+    """A third of the items under one customer; intervals that overlap, touch, are empty, open, or end before they begin."""
+    pick = random.Random(kind)
+    days = [str(dt.date(2021, 1, 1) + dt.timedelta(days=pick.choice((0, 30, 31, 58, 59, 89))) * pick.randint(0, 12)) for _ in range(40)]
+    orders = [order(i, f"C{0 if i % 3 == 0 else i % 17}") for i in range(1, 91)]
+    items = [
+        item(i, pick.randint(1, 92), pick.choice(["ACTIVE", "PICKED_UP", "CANCELLED"]), pick.choice([*days, None]),
+             pick.choice([*days, None, None]), pick.choice([3, 12]))
+        for i in range(200)
+    ]
+    random_tables = kpi.KpiTables(
+        spark.createDataFrame(items, schemas.ITEMS), spark.createDataFrame(orders, schemas.ORDERS),
+        tables.revenue_recognitions, tables.invoice_cycles, tables.invoiceable_groups,
+    )
+    months = [f"{2020 + i // 12}-{i % 12 + 1:02d}" for i in range(6, 6 + 48)]
+    for filters in (kpi.KpiFilters(customer_type=kind), kpi.KpiFilters(customer_type=kind, plan_months=12)):
+        found = kpi.kpi_series(random_tables, months[0], months[-1], filters, vertical="RENTAL")
+        rows = sorted(as_tuples(found, "month", "active_subscriptions", "churned_customers"))
+        assert rows == brute_series(items, orders, filters, months)
+
+
+def test_a_series_of_empty_tables_and_its_plan(spark, tables):
+    empty = kpi.KpiTables(*[getattr(tables, f.name).limit(0) for f in dataclasses.fields(kpi.KpiTables)])
+    rows = kpi.kpi_series(empty, "2024-01", "2024-02", vertical="RENTAL").collect()
+    assert sorted(map(tuple, rows)) == [(day("2024-01-01"), 0.0, 0, 0, 0.0), (day("2024-02-01"), 0.0, 0, 0, 0.0)]
+    with pytest.raises(ValueError):
+        kpi.kpi_series(tables, "2024-02", "2024-01", vertical="RENTAL")
+
+    def size(last):
+        return len(kpi.kpi_series(tables, "2015-01", last, vertical="RENTAL")._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+    assert size("2015-01") == size("2024-12")  # 120 months are one plan like that of one month
+
+
 def test_month_compare(tables):
     rows = {r.metric: r for r in kpi.kpi_month_compare(tables, FEB, MAR, vertical="RENTAL").collect()}
     assert list(sorted(rows)) == sorted(kpi.METRICS)
