@@ -13,14 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from billcycle.llm.common import SPACE, Words, crc_mod, mixed, steps, table, texts_of
+from billcycle.llm.common import SPACE, Words, crc_mod, mixed, scratch, steps, table, texts_of
 
 FEATURE_BITS = 18
 #: Rows of each class that a model is fitted on, at most.
 ROWS_PER_CLASS = 3000
+#: Bytes of their indicators, at most; beyond it fewer rows of both classes are taken.
+SAMPLE_BYTES = 128 << 20
 ROUNDS = 12
 COST = 1.0
 #: Every so many rows of the sample fit the logistic curve and not the model.
@@ -149,11 +151,14 @@ def _curve(margins: np.ndarray, good: np.ndarray, shares: tuple[float, float]) -
     return float(max(at[0], 1e-3)), float(at[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> Model | None:
+def learn(
+    docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS, sample_bytes: int = SAMPLE_BYTES
+) -> Model | None:
     """A model of labels (doc_id, label 0 or 1) on docs (doc_id, text); None without rows of both classes.
 
-    The sample is bounded: ``per_class`` rows of each class, chosen by a hash of the id. Null ids, labels and texts are left out; an id
-    with both labels counts as 0.
+    The sample is bounded: about ``per_class`` rows of each class, chosen by a hash of the id, and ``sample_bytes`` of their indicators.
+    What is beyond either bound goes by the rank of the hash, so that reruns and rows in any order give the same model. Null ids,
+    labels and texts are left out; an id with both labels counts as 0, and of an id's different texts one is taken, by their hash.
     """
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = dict(known.groupBy("label").count().collect())
@@ -161,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -
         return None
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     share = F.when(F.col("label") == 1, per_class / counts[1]).otherwise(per_class / counts[0])
-    chosen = known.where(place < share).limit(3 * per_class)  # a bounded table, which may go to every task
+    # the rank is 0 to 1 in either class; a bounded table, which may go to every task
+    chosen = known.withColumn("rank", place / F.least(share, F.lit(1.0))).where("rank < 1").orderBy("rank", "doc_id").limit(3 * per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -170,22 +176,27 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -
             cuts = np.searchsorted(of, np.arange(batch.num_rows + 1))
             rows = [found[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "row"]
+                [*(batch.column(c) for c in ("doc_id", "label", "rank")), pa.array(rows, pa.binary())],
+                names=["doc_id", "label", "rank", "row"],
             )
 
     labelled = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one_text = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    labelled = labelled.withColumn("nth", F.row_number().over(one_text)).where("nth = 1")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = (
-        labelled.select("doc_id", "text", F.col("label").cast("int").alias("label"))
-        .mapInArrow(run, f"doc_id {kind}, label int, row binary")
-        .limit(3 * per_class)
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    sample = scratch(
+        labelled.select("doc_id", "text", F.col("label").cast("int").alias("label"), "rank")
+        .mapInArrow(run, f"doc_id {kind}, label int, rank double, row binary")
     )
+    sizes = sample.select("rank", F.length("row").alias("size")).toArrow().sort_by("rank")
+    within = np.cumsum(sizes.column("size").to_numpy()) <= sample_bytes
+    if not within.all():
+        sample = sample.where(F.col("rank") < float(sizes.column("rank")[int(within.argmin())].as_py()))
+    found = sample.select("doc_id", "label", "row").toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
     good = found.column("label").to_numpy() == 1
     if len({*good.tolist()}) < 2:
         return None
-    rows = [np.frombuffer(x, np.uint32).astype(np.int64) for x in found.column("row").to_pylist()]
+    rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in found.column("row")]
     order = np.random.default_rng(5).permutation(len(rows))
     total = counts[0] + counts[1]
     return fit([rows[i] for i in order.tolist()], good[order], (counts[0] / total, counts[1] / total))

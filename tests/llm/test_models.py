@@ -90,6 +90,82 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def labelled_texts(spark, n=60):
+    rows = [(i, " ".join(f"{'fine' if i % 2 else 'junk'}{(i * 7 + k) % 11}" for k in range(3 + i % 5))) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.range(n).selectExpr("id as doc_id", "int(id % 2) as label")
+
+
+def test_the_sample_of_quality_is_that_of_any_order(spark):
+    """A third of all rows repeats one id, with the same text and with others; partitions and order differ."""
+    docs, labels = labelled_texts(spark)
+    hot = docs.where("doc_id = 7")
+    others = spark.range(20).selectExpr("7L as doc_id", "concat('other ', id) as text")
+    models = []
+    for parts in (1, 3, 7):
+        rows = docs.unionByName(others)
+        for _ in range(20):
+            rows = rows.unionByName(hot)
+        models.append(quality.learn(rows.repartition(parts), labels, per_class=12))
+    for model in models[1:]:
+        assert (model.weights == models[0].weights).all() and (model.ratios == models[0].ratios).all()
+        assert (model.bias, model.slope, model.offset) == (models[0].bias, models[0].slope, models[0].offset)
+
+
+def test_the_sample_of_quality_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels = labelled_texts(spark)
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, good, shares: seen.append((rows, good)) or fit(rows, good, shares))
+    assert quality.learn(docs, labels) and quality.learn(docs, labels, sample_bytes=2000)
+    (whole, _), (part, good) = seen
+    assert len(whole) == 60 and 2 < len(part) < 60 and sum(4 * len(x) for x in part) <= 2000 and len(set(good.tolist())) == 2
+
+
+def fit_by_hand(rows, good):
+    """Ratios, weights and bias by plain loops over dictionaries, in the order of rows that the descent takes."""
+    held = [i for i in range(len(rows)) if i % quality.CALIBRATE_EVERY == 0]
+    learn = [i for i in range(len(rows)) if i not in held]
+    counts = {v: Counter(f for i in learn if good[i] == v for f in rows[i]) for v in (True, False)}
+    size = 1 << quality.FEATURE_BITS
+    total = {v: size + sum(counts[v].values()) for v in counts}
+    ratio = {f: math.log((1 + counts[True][f]) / total[True]) - math.log((1 + counts[False][f]) / total[False]) for r in rows for f in r}
+    vectors = []
+    for row in rows:
+        length = math.sqrt(sum(ratio[f] ** 2 for f in row))
+        vectors.append({f: ratio[f] / length for f in row})
+    weights, bias, dual = Counter(), 0.0, [0.0] * len(rows)
+    rng = np.random.default_rng(3)
+    for _ in range(quality.ROUNDS):
+        for i in rng.permutation(np.array(learn)).tolist():
+            x, y = vectors[i], 1.0 if good[i] else -1.0
+            loss = y * (sum(weights[f] * v for f, v in x.items()) + bias) - 1
+            moved = min(max(dual[i] - loss / (1 + sum(v * v for v in x.values())), 0.0), quality.COST)
+            for f, v in x.items():
+                weights[f] += (moved - dual[i]) * y * v
+            bias += (moved - dual[i]) * y
+            dual[i] = moved
+    return ratio, weights, bias
+
+
+def test_the_fit_equals_plain_loops():
+    rng = np.random.default_rng(1)
+    good = rng.random(90) < 0.4
+    rows = [np.unique(rng.integers(0, 40, 12) + (25 if g else 0)).astype(np.uint32) for g in good]
+    model = quality.fit(rows, good, (0.6, 0.4))
+    ratio, weights, bias = fit_by_hand([r.tolist() for r in rows], good.tolist())
+    assert model.bias == pytest.approx(bias, abs=1e-9)
+    for f in ratio:
+        assert model.ratios[f] == pytest.approx(ratio[f], abs=1e-9) and model.weights[f] == pytest.approx(weights[f], abs=1e-9)
+    # margins and scores of rows, by the same dictionaries
+    of, features = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)]), np.concatenate(rows).astype(np.int64)
+    margins = model.margins(of, features, len(rows))
+    for row, margin, score in zip(rows, margins, model.scores(margins), strict=True):
+        length = math.sqrt(sum(ratio[f] ** 2 for f in row.tolist()))
+        by_hand = sum(ratio[f] * weights[f] for f in row.tolist()) / length + bias
+        assert margin == pytest.approx(by_hand, abs=1e-9)
+        assert score == pytest.approx(1 / (1 + math.exp(-(model.slope * by_hand + model.offset))), abs=1e-9)
+
+
 def test_features_are_those_of_each_text_alone():
     texts = [(t or "").encode() for t in ODD_TEXTS] + [b"a b a b b", b"The the THE"]
     of, found = quality.Features().of(texts)
