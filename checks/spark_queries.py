@@ -108,6 +108,32 @@ def _(v: DriverViews) -> DataFrame:
     )
 
 
+@_query("src_csv_side_effect_export")
+def _(v: DriverViews) -> DataFrame:
+    """An export with a line for each side effect, NULL left empty: lines and named effects of each event and cycle."""
+    path = _folder(v.spark, "csv-side-effects")
+    rows = history.state_event_history(v.state_transitions, v.events, entity_types=["item"], vertical=VERTICAL)
+    effects = F.when(F.col("to_state") == "RENEWAL_OVERDUE", F.array(F.lit("NOTICE"), F.lit("LATE_FEE"))).otherwise(
+        F.array(F.lit(None).cast("string"))
+    )
+    lines = rows.select(
+        "event_name",
+        "from_state",
+        "to_state",
+        F.col("tenure_start_date").alias("tsd"),
+        F.col("tenure_end_date").alias("ted"),
+        F.col("tenure_end_date").alias("ctd"),
+        F.col("renewal_overdue_cycle_start_date").alias("ro_start_date"),
+        F.col("renewal_overdue_cycle_end_date").alias("ro_end_date"),
+        F.explode(effects).alias("se_name"),
+    )
+    lines.write.option("header", True).option("nullValue", "").csv(path)
+    read = tables.read_csv_export(v.spark, path, schemas.SIDE_EFFECT_EXPORT)
+    return read.groupBy(*[c for c in read.columns if c != "se_name"]).agg(
+        F.count(F.lit(1)).alias("lines"), F.count("se_name").alias("named"), F.max("se_name").alias("last_name")
+    )
+
+
 @_query("sink_month_snapshot")
 def _(v: DriverViews) -> DataFrame:
     path = _folder(v.spark, "month-snapshots")
@@ -385,6 +411,12 @@ def _(v: DriverViews) -> DataFrame:
     return compare.common_side_by_side(v.a, v.b, ("entity_id", "period_start", "state_transition_id"))
 
 
+@_query("common_side_by_side_by_period")
+def _(v: DriverViews) -> DataFrame:
+    """The default key: a cycle beside itself in the other month."""
+    return compare.common_side_by_side(v.a, v.b)
+
+
 @_query("entity_aggregate")
 def _(v: DriverViews) -> DataFrame:
     return _joined_types(compare.entity_aggregate(v.a))
@@ -455,9 +487,9 @@ def _(v: DriverViews) -> DataFrame:
     return _doubles(rca.rca_presence(v.a, v.b))
 
 
-def _reasons(v: DriverViews, every_link: bool = False) -> DataFrame:
+def _reasons(v: DriverViews, every_link: bool = False, sides: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     return rca.rca_reason(
-        rca.rca_presence(v.a, v.b),
+        rca.rca_presence(*(sides or (v.a, v.b))),
         v.rca_items,
         v.item_links,
         v.rca_purchase_orders,
@@ -476,6 +508,15 @@ def _(v: DriverViews) -> DataFrame:
     return rca.rca_summary(_reasons(v))
 
 
+@_query("rca_summary_of_written_months")
+def _(v: DriverViews) -> DataFrame:
+    """Both months read back from the snapshot table, each from its own folder."""
+    path = _folder(v.spark, "rca-months")
+    tables.write_month_snapshots(cycles.month_snapshots(v.order_cycles, (FIRST_MONTH, SECOND_MONTH)), path)
+    sides = tuple(tables.read_month_snapshot(v.spark, path, m) for m in (FIRST_MONTH, SECOND_MONTH))
+    return rca.rca_summary(_reasons(v, sides=sides))
+
+
 @_query("rca_summary_every_link")
 def _(v: DriverViews) -> DataFrame:
     return rca.rca_summary(_reasons(v, every_link=True))

@@ -34,7 +34,8 @@ def count(plan: str, pattern: str) -> int:
 
 LOG_QUERIES = ("month_snapshot", "month_snapshot_city_renumbered", "overdue_cycles", "pure_overdue", "billing_timeline")
 WRITING = (
-    "src_csv_export", "src_csv_history_export", "sink_month_snapshot", "billing_timeline_maintained", "month_snapshots_maintained",
+    "src_csv_export", "src_csv_history_export", "src_csv_side_effect_export", "sink_month_snapshot",
+    "rca_summary_of_written_months", "billing_timeline_maintained", "month_snapshots_maintained",
 )
 
 
