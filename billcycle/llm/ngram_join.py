@@ -391,3 +391,20 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
 def op10_ngram_join(spark, folder) -> DataFrame:
     return ngram_join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def join_sql(docs: str = "documents") -> str:
+    """The same from all pairs of documents that share a 5-gram, and all that a chain of links reaches."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM {docs}),
+s AS (SELECT DISTINCT rid, array_to_string(w[p : p + least(len(w), 5) - 1], ' ') AS g
+      FROM (SELECT rid, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+o AS (SELECT x.rid AS a, y.rid AS b, count(*) AS shared FROM s x JOIN s y USING (g) GROUP BY x.rid, y.rid),
+l AS (SELECT a, b FROM o JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
+       CASE WHEN n IS NULL THEN doc_id ELSE component_id END::BIGINT AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)"""

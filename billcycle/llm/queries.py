@@ -55,6 +55,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.mixing_sql(),
         "op3_decontamination": decontaminate.decontamination_sql(),
+        "op6_vectors": vector_dedup.vectors_sql(),
         "op7_chat": chat.chat_sql(),
+        "op10_ngram_join": ngram_join.join_sql(),
         "op12_periodic_runs": periodic_runs.runs_sql(),
     }

@@ -404,3 +404,19 @@ def _packed(nodes: DataFrame) -> DataFrame:
 
 def op6_vectors(spark, folder) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+def vectors_sql() -> str:
+    """The same from the cosines of all pairs, and all that a chain of links reaches."""
+    return """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS given FROM embeddings),
+f AS (SELECT rid, list_filter(given, lambda x: x IS NOT NULL AND isfinite(x)) AS v, len(given) AS entries FROM e),
+u AS (SELECT rid, v, sqrt(list_dot_product(v, v)) AS norm FROM f WHERE len(v) = entries AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT x.rid AS a, y.rid AS b FROM u x JOIN u y ON x.rid <> y.rid AND len(x.v) = len(y.v)
+      WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.9),
+n AS (SELECT a AS rid, count(*) AS n_links FROM l GROUP BY a),
+r AS (SELECT rid AS a, rid AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS rid, min(vec_id) AS component_id FROM r JOIN e ON e.rid = b GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id)::BIGINT AS component_id,
+       vec_id = coalesce(component_id, vec_id) AS kept
+FROM e LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)"""
