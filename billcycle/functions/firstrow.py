@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,3 +33,32 @@ def extreme_row(df: DataFrame, keys: Sequence[str], order: Column, latest: bool
     pick = F.max_by if latest else F.min_by
     picked = df.groupBy(*keys).agg(pick(F.struct(*payload), order).alias("_row"))
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def extreme_coded_row(
+    df: DataFrame, keys: Sequence[str], order: Column, known: Mapping[str, Sequence[str]], latest: bool = True
+) -> DataFrame:
+    """:func:`extreme_row` in the hash aggregate: texts of ``known`` values travel as small codes.
+
+    ``known`` names the columns of text and all their values; another value fails the query. ``order`` is one column of fixed
+    width, total and never NULL. Each column is picked for itself, so those that nobody reads are pruned; a column of variable
+    width that is read and not in ``known`` brings the sorted aggregate back, with the same result.
+    """
+    pick = F.max_by if latest else F.min_by
+    payload = [c for c in df.columns if c not in keys]
+    picked = df.withColumn("_order", order).groupBy(*keys).agg(
+        *[pick(code_of(c, known[c]) if c in known else F.col(c), "_order").alias(c) for c in payload]
+    )
+    return picked.select(*[value_of(c, known[c]).alias(c) if c in known and c not in keys else F.col(c) for c in df.columns])
+
+
+def code_of(column: str, values: Sequence[str]) -> Column:
+    """Place of the text among ``values``, from 1; NULL stays NULL."""
+    place = F.array_position(F.array(*map(F.lit, values)), F.col(column))
+    refused = F.raise_error(F.lit(f"{column}: a value other than {', '.join(values)}")).cast("smallint")
+    return F.when(place == 0, refused).otherwise(place.cast("smallint"))
+
+
+def value_of(column: str, values: Sequence[str]) -> Column:
+    """The text that :func:`code_of` stands for."""
+    return F.get(F.array(*map(F.lit, values)), F.col(column) - 1)

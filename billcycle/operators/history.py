@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billcycle.functions.dates import local_time
-from billcycle.functions.firstrow import extreme_row
+from billcycle.functions.firstrow import extreme_coded_row, extreme_row
 from billcycle.functions.jsonx import parse_json
 from billcycle.schemas import (
     EVENT_PRIORITY,
@@ -157,17 +158,28 @@ def export_columns(rows: DataFrame, addresses: DataFrame | None = None) -> DataF
     return found.select(*[F.col(name).cast(kind).alias(name) for name, kind in columns])
 
 
-def renewal_dedup(transitions: DataFrame) -> DataFrame:
+def _priority_and_id() -> Column:
+    """(event priority, transition id) as one number of fixed width, in the same order; a NULL id is the least."""
+    apart = F.lit(Decimal(2**64))
+    number = F.coalesce(F.col("state_transition_id").cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)))
+    return event_priority().cast("decimal(10,0)") * apart + number
+
+
+def renewal_dedup(transitions: DataFrame, *, known: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """One renewal event per entity and effective cycle, applied before overdue; others pass.
 
     One aggregate instead of two branches and a union: a row that is no renewal adds its own id to
-    the key and so stays alone in its group.
+    the key and so stays alone in its group. ``known`` names columns of text with all their values (``event_name`` and the
+    states, say): they are carried as codes, and if all texts that are read are known the aggregate is hashed, not sorted. A value
+    that is not among them fails the query.
     """
     renewal = F.coalesce(F.col("event_name").isin(RENEWAL_APPLIED, RENEWAL_OVERDUE), F.lit(False))
     keyed = transitions.where(F.col("event_name").isNotNull()).withColumn(
         "_alone", F.when(~renewal, F.col("state_transition_id"))
     )
     keys = ["entity_type", "entity_id", "effective_tenure_start", "effective_tenure_end", "_alone"]
+    if known is not None:
+        return extreme_coded_row(keyed, keys, _priority_and_id(), known, latest=False).drop("_alone")
     order = F.struct(event_priority(), F.col("state_transition_id"))
     return extreme_row(keyed, keys, order, latest=False).drop("_alone")
 
@@ -180,9 +192,13 @@ def final_state_history(
     vertical: str | None,
     entity_types: Sequence[str] | None = None,
     entity_ids: Sequence[int] | None = None,
+    states: Sequence[str] | None = None,
     ordered: bool = False,
 ) -> DataFrame:
-    """History of activated entities with one renewal row per cycle; all entities at once."""
+    """History of activated entities with one renewal row per cycle; all entities at once.
+
+    ``states`` asserts that transitions lead from and to these states only; the aggregate then has fixed-width buffers.
+    """
     rows = named_transitions(
         state_transitions,
         events,
@@ -193,7 +209,8 @@ def final_state_history(
         require_activation=True,
         fields=_FINAL_FIELDS,
     )
-    final = renewal_dedup(effective_tenure(rows, overdue_price=False)).select(
+    known = None if states is None else {"event_name": event_names, "from_state": states, "to_state": states}
+    final = renewal_dedup(effective_tenure(rows, overdue_price=False), known=known).select(
         "state_transition_id",
         "entity_type",
         "entity_id",

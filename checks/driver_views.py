@@ -19,6 +19,7 @@ from billcycle.sources.tables import load
 
 CITY = 6
 VERTICAL = "RENTAL"
+STATES = ("ACTIVE", "RENEWAL_OVERDUE")
 FIRST_MONTH, SECOND_MONTH = "1998-02", "1998-03"
 _CITY_OF_NATION = f"cast(element_at(array({CITY}, 1, 2, 4), c_nationkey % 4 + 1) as int) as city_id"
 

@@ -14,7 +14,7 @@ from billcycle.functions.money import as_amount, money_sum
 from billcycle.operators import base, compare, cycles, history, kpi, rca
 from billcycle.plans import maintained, reports
 from billcycle.sources import dimensions, tables
-from checks.driver_views import CITY, FIRST_MONTH, SECOND_MONTH, VERTICAL, DriverViews
+from checks.driver_views import CITY, FIRST_MONTH, SECOND_MONTH, STATES, VERTICAL, DriverViews
 
 AS_OF = "2023-02-15"
 LOG_MONTH = "2022-02"
@@ -259,7 +259,7 @@ def _(v: DriverViews) -> DataFrame:
 @_query("renewal_dedup")
 def _(v: DriverViews) -> DataFrame:
     rows = history.effective_tenure(base.billing_transitions(v.state_transitions, v.events, vertical=VERTICAL))
-    return history.renewal_dedup(rows).select(
+    return history.renewal_dedup(rows, known={"event_name": schemas.HISTORY_EVENTS}).select(
         "state_transition_id", "entity_type", "entity_id", "event_name", "effective_tenure_start"
     )
 
@@ -267,7 +267,7 @@ def _(v: DriverViews) -> DataFrame:
 @_query("final_state_history")
 def _(v: DriverViews) -> DataFrame:
     return history.final_state_history(
-        v.state_transitions, v.events, entity_types=["item", "attachment"], vertical=VERTICAL
+        v.state_transitions, v.events, entity_types=["item", "attachment"], states=STATES, vertical=VERTICAL
     )
 
 

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
 from billcycle import schemas
 from billcycle.operators import base, history
 from tests.samples import ITEM_ID, as_tuples, day, history_events, history_log, log, snapshot, transition
@@ -48,6 +52,32 @@ def test_dedup_keeps_other_events_and_breaks_ties_by_id(spark):
     # 4 beats 5 (lower id) and 3 (overdue); 1 and 2 pass; the attachment has its own key; NULL ends are one cycle
     assert sorted(r.state_transition_id for r in kept.collect()) == [1, 2, 4, 6, 7]
 
+    # carried as codes: the same rows, every column of them
+    known = {"event_name": schemas.HISTORY_EVENTS, "from_state": ["ACTIVE", "NEW"], "to_state": ["ACTIVE", "NEW"]}
+    told = history.effective_tenure(named(spark, rows, names)).withColumns(
+        {
+            "from_state": F.expr("case state_transition_id % 3 when 0 then 'NEW' when 1 then 'ACTIVE' end"),
+            "to_state": F.lit("ACTIVE"),
+            "state_transition_id": F.expr("case when state_transition_id <> 8 then state_transition_id end"),
+        }
+    )
+    plain = history.renewal_dedup(told)
+    coded = history.renewal_dedup(told, known=known)
+    assert coded.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(map(repr, coded.collect())) == sorted(map(repr, plain.collect()))
+    assert {r.state_transition_id for r in coded.collect()} == {1, 2, 4, 6, None}
+
+
+def test_an_unknown_state_is_refused(spark):
+    arguments = dict(entity_types=["item"], vertical="RENTAL")
+    plain = history.final_state_history(history_log(spark), history_events(spark), **arguments)
+    states = sorted({s for r in plain.collect() for s in (r.from_state, r.to_state) if s is not None})
+    coded = history.final_state_history(history_log(spark), history_events(spark), states=states, **arguments)
+    assert sorted(map(repr, coded.collect())) == sorted(map(repr, plain.collect()))
+    short = history.final_state_history(history_log(spark), history_events(spark), states=states[1:], **arguments)
+    with pytest.raises(PySparkException, match="a value other than"):
+        short.collect()
+
 
 def test_effective_tenure_amounts(spark):
     rows = [

@@ -86,6 +86,12 @@ def test_pair_of_months_reads_the_log_once(spark, large):
     assert count(plan, "FileScan") == 1 and count(plan, "from_json") == 1 and "ubquery" not in plan
 
 
+@pytest.mark.parametrize("name", ["renewal_dedup", "final_state_history"])
+def test_dedup_of_known_texts_is_hashed(spark, large, name):
+    plan = plan_of(queries()[name](spark, FOLDER))
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and count(plan, "HashAggregate") == 2
+
+
 @pytest.mark.parametrize("name", ["bridge_detail", "bridge_balance"])
 def test_totals_of_the_bridge_need_no_other_scan(spark, large, name):
     plan = plan_of(queries()[name](spark, FOLDER))
