@@ -88,3 +88,38 @@ def write_month_snapshots(cycles: DataFrame, path: str) -> None:
 def read_month_snapshot(spark: SparkSession, path: str, month: str | dt.date) -> DataFrame:
     """One month of a written snapshot table; the filter prunes to its folder."""
     return load(spark, path).where(F.col(MONTH_COLUMN) == F.lit(month_start(month))).drop(MONTH_COLUMN)
+
+
+def create_month_table(
+    spark: SparkSession, name: str, path: str, columns: T.StructType, *, buckets: int, key: str = "entity_id"
+) -> None:
+    """Declare the table of month snapshots at ``path``, bucketed and sorted by ``key``; months already written there are found.
+
+    Two months of it are aggregated by entity without a shuffle (:func:`entity_pair_of_months` of the table), at a task for each
+    bucket: take as many that a month's share of one fits a task. An entity's cycles in a month are bounded by the calendar;
+    where one entity may hold a large part of all rows, keep to :func:`write_month_snapshots`. A NULL key has one bucket.
+    """
+    wanted = T.StructType([f for f in columns.fields if f.name != MONTH_COLUMN] + [T.StructField(MONTH_COLUMN, T.DateType())])
+    # no rows: the folder is there afterwards, and what it holds stays
+    spark.createDataFrame([], wanted).write.mode("append").partitionBy(MONTH_COLUMN).parquet(path)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} ({wanted.toDDL()}) USING parquet PARTITIONED BY ({MONTH_COLUMN}) "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {int(buckets)} BUCKETS LOCATION '{place}'"
+    )
+    spark.catalog.recoverPartitions(name)
+
+
+def write_month(snapshot: DataFrame, name: str, month: str | dt.date, *, key: str = "entity_id") -> None:
+    """Replace one month of a table of :func:`create_month_table`; other months stay, whatever the session's overwrite mode is.
+
+    Rows are rebalanced by the buckets' own hash: a task writes few buckets, and a large one is split into more files.
+    """
+    spark = snapshot.sparkSession
+    columns = [c for c in spark.table(name).columns if c != MONTH_COLUMN]
+    buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()["data_type"])
+    first = month_start(month)
+    spark.sql(
+        f"INSERT OVERWRITE TABLE {name} PARTITION ({MONTH_COLUMN} = DATE '{first.isoformat()}') SELECT * FROM {{rows}}",
+        rows=snapshot.select(*columns).hint("rebalance", buckets, F.col(key)),
+    )

@@ -427,6 +427,17 @@ def _(v: DriverViews) -> DataFrame:
     return compare.revenue_bridge(_pair(v))
 
 
+@_query("revenue_bridge_of_bucketed_months")
+def _(v: DriverViews) -> DataFrame:
+    """Both months written to a table bucketed by entity and compared without another shuffle of their rows."""
+    path = _folder(v.spark, "bucketed-months")
+    name = f"months_{uuid.uuid4().hex}"
+    tables.create_month_table(v.spark, name, path, v.a.schema, buckets=16)
+    for month, snapshot in ((FIRST_MONTH, v.a), (SECOND_MONTH, v.b)):
+        tables.write_month(snapshot, name, month)
+    return compare.revenue_bridge(compare.entity_pair_of_months(v.spark.table(name), FIRST_MONTH, SECOND_MONTH))
+
+
 @_query("change_driver")
 def _(v: DriverViews) -> DataFrame:
     return _joined_types(compare.change_driver(_pair(v)).drop("change_detail"))

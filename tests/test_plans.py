@@ -35,7 +35,7 @@ def count(plan: str, pattern: str) -> int:
 LOG_QUERIES = ("month_snapshot", "month_snapshot_city_renumbered", "overdue_cycles", "pure_overdue", "billing_timeline")
 WRITING = (
     "src_csv_export", "src_csv_history_export", "src_csv_side_effect_export", "sink_month_snapshot",
-    "rca_summary_of_written_months", "billing_timeline_maintained", "month_snapshots_maintained",
+    "rca_summary_of_written_months", "revenue_bridge_of_bucketed_months", "billing_timeline_maintained", "month_snapshots_maintained",
 )
 
 
@@ -80,6 +80,12 @@ def test_pair_is_one_shuffle(spark, large, tmp_path):
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
+def test_bucketed_months_meet_without_a_shuffle(spark, large):
+    plan = plan_of(queries()["revenue_bridge_of_bucketed_months"](spark, FOLDER))
+    assert count(plan, "FileScan") == 1 and "Bucketed: true" in plan
+    assert "Exchange hashpartitioning" not in plan and count(plan, "Exchange SinglePartition") == 1
+
+
 def test_pair_of_months_reads_the_log_once(spark, large):
     """The totals come with the groups: no other pass, no subquery."""
     plan = plan_of(queries()["log_to_bridge"](spark, FOLDER))

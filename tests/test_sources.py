@@ -86,6 +86,32 @@ def test_sink_replaces_only_its_months(spark, tmp_path):
     assert "snapshot_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+@pytest.mark.parametrize("mode", ["static", "dynamic"])
+def test_bucketed_months(spark, tmp_path, mode):
+    """Only the written month is replaced, also in the mode that replaces all; another session finds what is there."""
+    path, name = str(tmp_path / "it's here"), f"bucketed_{mode}"
+    rows = spark.range(600).selectExpr("if(id % 3 = 0, 7, if(id % 5 = 0, null, id)) as entity_id", "id as v")
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    try:
+        tables.create_month_table(spark, name, path, rows.schema, buckets=4)
+        tables.write_month(rows, name, "2024-02")
+        tables.write_month(rows.where("v < 100").select("v", "entity_id"), name, "2024-03")
+        tables.write_month(rows.where("v < 50").withColumn("more", F.lit(1)), name, dt.date(2024, 3, 9))
+        tables.create_month_table(spark, f"{name}_again", path, rows.schema, buckets=4)
+        for table in (name, f"{name}_again"):
+            months = {m: tables.read_month_snapshot(spark, table, m) for m in ("2024-02", "2024-03")}
+            assert sorted(map(repr, months["2024-02"].collect())) == sorted(map(repr, rows.collect()))
+            assert sorted(map(repr, months["2024-03"].collect())) == sorted(map(repr, rows.where("v < 50").collect()))
+        # an empty snapshot empties its month
+        tables.write_month(rows.where("false"), name, "2024-03")
+        assert spark.table(name).groupBy("snapshot_month").count().collect() == [(dt.date(2024, 2, 1), 600)]
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        for table in (name, f"{name}_again"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def test_dimensions(spark):
     assert dimensions.dim_city(spark).count() == 9
     named = dimensions.dim_city(spark, ["Noida", "Pune", "Atlantis"])
