@@ -28,6 +28,9 @@ SKETCH = 1 << 20
 SLICE = 1 << 14
 #: Bits of the filter by which a task knows the sets that may have a partner.
 FILTER_BITS = 1 << 24
+#: Rows of one column that are held together, or four times the sketch's mean if that is more (a 2^18th of all n-grams); by the
+#: sketch, a column that may have more is cut into parts by node.
+COLUMN = 1 << 16
 #: Sets that a task remembers to have sent already.
 SEEN = 200_000
 #: Nodes of one side of a block in which a component's links are counted.
@@ -128,37 +131,46 @@ def _sketch(slices: DataFrame) -> np.ndarray:
 
 
 def _rare_block(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """gram, node, size, pos: the rarest n-grams of every set in order, as many as the bound asks for."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    """gram, part, cut, node, size, pos: the rarest n-grams of every set in order, as many as the bound asks for.
+
+    A column that may have too many rows is cut into parts by node; the sketch never counts fewer than there are.
+    """
+    shared, most = docs.sparkSession.sparkContext.broadcast(sketch), max(COLUMN, 4 * int(sketch.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, order, seen = set_sizes(n), shared.value, set()
         for batch in steps(batches):
-            parts, nodes, sizes, places = [], [], [], []
+            members, parts, cut, nodes, sizes, places = [], [], [], [], [], []
             for _, found, key in sets(texts_of(batch)):
                 if not len(found) or key in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                first = np.argsort(np.take(order, (found & np.uint64(SKETCH - 1)).astype(np.int64)), kind="stable")
-                own = found[first[: len(found) - _needed(len(found), percent) + 1]]
-                parts.append(own)
+                count = np.take(order, (found & np.uint64(SKETCH - 1)).astype(np.int64))
+                first = np.argsort(count, kind="stable")[: len(found) - _needed(len(found), percent) + 1]
+                own = found[first]
+                several = -(-count[first] // most)
+                members.append(own)
+                parts.append(np.mod(np.int64(key), several).astype(np.int32))
+                cut.append(several > 1)
                 nodes.append(np.full(len(own), key, np.int64))
                 sizes.append(np.full(len(own), len(found), np.int32))
                 places.append(np.arange(len(own), dtype=np.int32))
-            if parts:
+            if members:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(parts).view(np.int64)),
+                        pa.array(np.concatenate(members).view(np.int64)),
+                        pa.array(np.concatenate(parts)),
+                        pa.array(np.concatenate(cut)),
                         pa.array(np.concatenate(nodes)),
                         pa.array(np.concatenate(sizes)),
                         pa.array(np.concatenate(places)),
                     ],
-                    names=["gram", "node", "size", "pos"],
+                    names=["gram", "part", "cut", "node", "size", "pos"],
                 )
 
-    return docs.select("text").mapInArrow(run, "gram long, node long, size int, pos int")
+    return docs.select("text").mapInArrow(run, "gram long, part int, cut boolean, node long, size int, pos int")
 
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
@@ -256,14 +268,15 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     rows = first.where("slice is null").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")
     )
-    column = Window.partitionBy("gram")
+    column = Window.partitionBy("gram", "part")
     block = scratch(
         _rare_block(docs, n, percent, sketch)
-        .repartition("gram")
+        .repartition("gram", "part")
         .withColumn("low", F.min("node").over(column))
         .withColumn("high", F.max("node").over(column))
-        .where("low < high")
-        .dropDuplicates(["gram", "node"])
+        # a part does not tell whether the column has other nodes; one that has none gives no pairs
+        .where("cut or low < high")
+        .dropDuplicates(["gram", "part", "node"])
         .select("gram", "node", "size", "pos")
     )
     may_link = _may_link(percent)
@@ -272,9 +285,10 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # one leader for each column: the node with the largest share of its set in columns that others have too
     rank = F.struct(F.col("shared") / F.col("size"), F.col("node"), F.col("size"), F.col("pos"))
     ranked = block.join(shared.select("node", "shared"), "node")
-    leaders = ranked.groupBy("gram").agg(F.max(rank).alias("top")).select(
+    # written, as minor below, so that the join splits a column that many documents have
+    leaders = scratch(ranked.groupBy("gram").agg(F.max(rank).alias("top")).select(
         "gram", F.col("top.node").alias("leader"), F.col("top.size").alias("other"), F.col("top.pos").alias("other_pos")
-    )
+    ))
     led = (
         block.join(leaders, "gram")
         .where((F.col("node") != F.col("leader")) & may_link)
@@ -299,7 +313,7 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .where("labels > 1")
         .select("gram", "main")
     )
-    minor = coloured.join(main, "gram").where("label <> main")
+    minor = scratch(coloured.join(main, "gram").where("label <> main"))
     peers = coloured.select(
         "gram",
         F.col("node").alias("peer"),

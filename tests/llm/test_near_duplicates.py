@@ -52,8 +52,10 @@ def brute(rows):
     return [len(x) for x in sets], components(len(rows), links)
 
 
-def test_join_equals_all_pairs(spark, prose):
-    """Groups of copies and of near copies around the threshold, chains, a passage in a third of all texts, odd texts."""
+@pytest.mark.parametrize("column", [1 << 16, 3])
+def test_join_equals_all_pairs(spark, prose, monkeypatch, column):
+    """Groups of copies and of near copies around the threshold, chains, a passage in a third of all texts, odd texts; also with columns cut into parts of about three."""
+    monkeypatch.setattr(ngrams, "COLUMN", column)
     passage = prose(999, 60)
     texts = [prose(i, 30 + i % 90) for i in range(90)]
     texts += [prose(200 + i, 40) + " " + passage for i in range(40)] + [passage] * 3
