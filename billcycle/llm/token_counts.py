@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billcycle.llm.common import Words, scratch, steps, table, texts_of
-from billcycle.llm.token_ids import ODD_SPACE, STEP_BYTES, memo_of_process, tokenizer_path
+from billcycle.llm.token_ids import ODD_SPACE, STEP_BYTES, memo_of_process, tokenizer_of_process, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -32,9 +32,8 @@ class Counter:
 
     def __init__(self, path: str) -> None:
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), memo_of_process(path, "", " \n", None)
+        self.tokenizer, self.memo = tokenizer_of_process(path), memo_of_process(path, "", " \n", None)
         self.words = Words(b" \n", lower=False)
         self.odd = regex.compile(ODD_SPACE)
         #: Bytes that such white space may begin with

@@ -13,6 +13,8 @@ so a lost executor leaves at most a file that nobody reads.
 
 from __future__ import annotations
 
+import functools
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,6 +38,8 @@ MEMO = 400_000
 STEP_BYTES = 1 << 22
 #: White space other than space and line feed, in the sense of any of the libraries.
 ODD_SPACE = r"[^\S \n]|[\x1c-\x1f\x85]"
+#: A pre-tokenizer that parts letters from all else, but for the letters of a short form from its apostrophe.
+CLASS_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,17 +98,44 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def splits_by_class(made: dict) -> bool:
+    """Whether a tokenizer (its JSON) splits by CLASS_SPLIT, and changes texts before that in ways that never reach over an ASCII character."""
+    normal, split = made["normalizer"] or {"normalizers": []}, made["pre_tokenizer"] or {}
+    plain = all(
+        x["type"] in ("NFC", "Lowercase") or (x["type"], x.get("pattern")) == ("Replace", {"Regex": r"\s+"})
+        for x in normal.get("normalizers", [normal])
+    )
+    wanted = {"type": "Split", "pattern": {"Regex": CLASS_SPLIT}, "behavior": "Removed", "invert": True}
+    return plain and split.get("pretokenizers", [split])[0] == wanted
+
+
+def word_ends(tokenizer) -> np.ndarray | None:
+    """Whether an id is the last one of a word, for words of letters; None where the vocabulary doesn't tell by a suffix."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    made = json.loads(tokenizer.to_str())
+    suffix, vocab = made["model"].get("end_of_word_suffix"), tokenizer.get_vocab()
+    bytewise = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    if not suffix or suffix.isalpha() or not splits_by_class(made) or made["pre_tokenizer"].get("pretokenizers", [])[1:] != bytewise:
+        return None
+    if not all(x + suffix in vocab for x in ByteLevel.alphabet()):  # a word might end with nothing
+        return None
+    last = np.zeros(max(vocab.values()) + 1, bool)
+    last[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
+    return last
+
+
 def piece_encoder(path: str, between: str, begin: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Function that encodes many pieces in one call: joined by ``between``, the ids dealt out by the offsets of the library.
 
     The caller sees to it that ``between`` neither joins nor changes pieces. Those for which that may not hold are encoded alone: those
     with a special string, white space other than space and line feed, or white space at the end, and those that don't
-    begin with one of ``begin`` where that is given.
+    begin with one of ``begin`` where that is given. Where the last id of a word shows itself, words of letters do without offsets.
     """
     import regex
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = tokenizer_of_process(path)
+    last = word_ends(tokenizer) if between == " " else None
     special = [regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
     doubtful = regex.compile("|".join([*special, ODD_SPACE]))
 
@@ -121,6 +152,15 @@ def piece_encoder(path: str, between: str, begin: str) -> Callable[[list[str]],
                 for i, x in zip(apart, whole, strict=True):
                     found[i] = np.array(x.ids, np.int64)
                 part = [i for i in part if found[i] is None]
+            if last is not None:
+                letters = [i for i in part if pieces[i].isalpha()]
+                for some in (letters[a : a + 1024] for a in range(0, len(letters), 1024)):
+                    ids = np.array(tokenizer.encode(between.join(pieces[i] for i in some), add_special_tokens=False).ids, np.int64)
+                    cuts = (np.flatnonzero(last[ids]) + 1).tolist()
+                    if len(cuts) == len(some):  # each is one word to the tokenizer
+                        for i, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True):
+                            found[i] = ids[a:b]
+                part = [i for i in part if found[i] is None]
             if not part:
                 continue
             joined = tokenizer.encode(between.join(pieces[i] for i in part), add_special_tokens=False)
@@ -145,21 +185,53 @@ def memo_of_process(path: str, between: str, begin: str, keep_ids: str | None) -
     return _memos[key]
 
 
-def word_encoder(path: str, width: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Function from texts (UTF-8) to their ids as bytes, for a tokenizer that drops white space and joins no words.
+class Runs(Words):
+    """Words cut also where an ASCII letter and another visible ASCII character meet, but for a letter after an apostrophe.
 
-    Such a tokenizer gives a text the ids of its words one after the other, where words are cut at spaces and line feeds;
-    the tests hold this against whole texts.
+    So a stem is one piece whatever marks stand beside it. ASCII characters compose with none before them, and of the matches
+    of CLASS_SPLIT only those of short forms hold letters and others.
     """
-    import json
 
+    def __init__(self, gaps: bytes, lower: bool = True) -> None:
+        super().__init__(gaps, lower)
+        self.right = np.zeros(256, np.uint8)
+        self.right[0x21:0x7F] = [1 if chr(x).isalpha() else 2 for x in range(0x21, 0x7F)]
+        self.left = self.right.copy()
+        self.left[ord("'")] = 0
+
+    def bounds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = super().bounds(data)
+        cuts = np.flatnonzero(np.take(self.left, data[:-1]) + np.take(self.right, data[1:]) == 3) + 1
+        starts, ends = (np.sort(np.concatenate([x, cuts]), kind="stable") for x in (starts, ends))
+        return starts, ends
+
+
+@functools.cache
+def tokenizer_of_process(path: str):
+    """The one of this Python worker: to read it takes some tenths of a second, for each of many tasks."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    # where the tokenizer itself lower-cases, words that differ in the case of A to Z only are one
-    lower = '"Lowercase"' in json.dumps(json.loads(tokenizer.to_str())["normalizer"])
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def _traits(path: str) -> tuple[list[bytes], bool, bool]:
+    """A tokenizer's special strings in small letters, whether it lower-cases, and whether Runs are cut as it cuts."""
+    tokenizer = tokenizer_of_process(path)
+    made = json.loads(tokenizer.to_str())
     special = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
-    memo, words = memo_of_process(path, " ", "", width), Words(b" \n", lower=lower)
+    return special, '"Lowercase"' in json.dumps(made["normalizer"]), splits_by_class(made)
+
+
+def word_encoder(path: str, width: str) -> Callable[[list[str | None]], list[bytes]]:
+    """Function from texts (UTF-8) to their ids as bytes, for a tokenizer that drops white space and joins no words.
+
+    Such a tokenizer gives a text the ids of its words one after the other, where words are cut at spaces and line feeds,
+    and between letters and marks where it is known to cut there; the tests hold this against whole texts.
+    """
+    # where the tokenizer itself lower-cases, words that differ in the case of A to Z only are one
+    tokenizer, (special, lower, by_class) = tokenizer_of_process(path), _traits(path)
+    memo, words = memo_of_process(path, " ", "", width), (Runs if by_class else Words)(b" \n", lower=lower)
 
     def encode(texts: list[bytes | None]) -> list[bytes]:
         hashed, where, starts, ends, data = words.located(texts)

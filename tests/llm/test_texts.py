@@ -159,6 +159,28 @@ def test_pieces_encode_as_whole_texts(texts):
     assert token_ids.word_encoder(IDS, "<u2")(raw) == ids
 
 
+def test_letters_and_marks_are_pieces_of_their_own(library):
+    parts = ["a", "Sé", "t", "LL", "'", "'", "''", "!", "5", "_", "\u0301", "İ", "K", "\x1c", "\xa0", "=", "\u0338", "日", "<|", "|>", "endoftext", "-", "\t", " "]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    wanted = [np.array(library[1].encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert token_ids.word_encoder(IDS, "<u2")([t.encode() for t in texts]) == wanted
+
+
+def test_a_worker_reads_the_tokenizer_once_and_a_stem_once(monkeypatch, library, words):
+    import json
+
+    token_ids._memos.clear()
+    token_ids.word_encoder(IDS, "<u2")
+    monkeypatch.setattr(json, "loads", None)  # as long as the vocabulary
+    memo = token_ids.memo_of_process(IDS, " ", "", "<u2")
+    text = " ".join(a + w + b for w in words for a, b in (("", ","), ("(", ")"), ("", "'s"), ("", "...")))
+    encode = token_ids.word_encoder(IDS, "<u2")
+    assert encode([text.encode()])[0] == np.array(library[1].encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    assert len(memo.keys) <= len(set(words)) + 5
+    token_ids._memos.clear()
+
+
 def test_forgotten_pieces_are_learned_again(monkeypatch, library, prose):
     monkeypatch.setattr(token_ids, "MEMO", 50)
     token_ids._memos.clear()
