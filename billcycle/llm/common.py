@@ -19,6 +19,8 @@ ASCII_LOWER = ASCII_UPPER.lower()
 STEP_BYTES = 1 << 20
 #: Bytes whose words are hashed at once.
 STRETCH = 1 << 17
+#: Edges of a step of the components for which one more file is written.
+FILE_EDGES = 1 << 18
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,7 +86,9 @@ def union_find_table(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): node, label (the smallest node of its component).
 
     Alternating large-star and small-star steps; each step's edges are a written table, so neither lineage nor the
-    driver grows. The star minima are written before the join, so that Spark may split a hub's rows.
+    driver grows. The star minima are written before the join, so that Spark may split a hub's rows. No step has more edges
+    than the one before, so few edges are few files, however many partitions the session shuffles into: on a ``file:`` folder
+    each file starts processes that for a moment show the executor's memory a second time.
     """
 
     def mark(e: DataFrame) -> tuple:
@@ -95,12 +99,14 @@ def union_find_table(edges: DataFrame) -> DataFrame:
     )
     before = mark(stars)
     while True:
+        files = before[0] // FILE_EDGES + 1
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = scratch(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = scratch(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(files))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch(large.coalesce(files))
+        least = scratch(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(files))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = scratch(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        stars = scratch(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
         after = mark(stars)
         if after == before:
             break

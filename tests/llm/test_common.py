@@ -48,3 +48,25 @@ def test_components_of_paths_stars_and_loops(spark):
     found = {r.node: r.label for r in common.union_find_table(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{k: 100 for k in range(100, 160)}, 300: 300, 301: 300}
     assert common.union_find_table(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_edges_are_written_in_few_files(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(0, 300) if i % 7] + [(1000 + i, 1000 + i // 2) for i in range(1, 100)]
+    data, small = spark.createDataFrame(edges, "a long, b long"), common.FILE_EDGES
+    settings = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    found, files = [], []
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for most in (small, 120):
+            monkeypatch.setattr(common, "FILE_EDGES", most)
+            labels = common.union_find_table(data)
+            files.append(len(labels.inputFiles()))
+            found.append({r.node: r.label for r in labels.collect()})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    whole = {n: i - i % 7 + 1 for i in range(0, 300) if i % 7 for n in (i, i + 1)} | dict.fromkeys(range(1000, 1100), 1000)
+    assert found == [whole, whole]
+    assert files[0] == 1 and 1 < files[1] <= len(edges) // 120 + 1
